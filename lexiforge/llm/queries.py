@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import quality
+from lexiforge.llm import quality, urls, warc
 from lexiforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_url_filter": lambda s, d: urls.op2_url_filter(table(s, d, "pages")),
+        "op8_warc": lambda s, d: warc.op8_warc(table(s, d, "pages")),
         "op6_quality_rules": lambda s, d: quality.op6_quality_rules(table(s, d, "documents")),
     }
 
