@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import gif, html, licenses, packing, quality, urls, warc
+from lexiforge.llm import gif, html, licenses, mixing, packing, quality, urls, warc
 from lexiforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op8_warc": lambda s, d: warc.op8_warc(table(s, d, "pages")),
         "op3_license_scan": lambda s, d: licenses.op3_license_scan(table(s, d, "documents")),
         "op4_html_text": lambda s, d: html.op4_html_text(table(s, d, "pages")),
+        "op5_mixing": lambda s, d: mixing.op5_mixing(table(s, d, "documents")),
         "op6_quality_rules": lambda s, d: quality.op6_quality_rules(table(s, d, "documents")),
         "op10_packing": lambda s, d: packing.op10_packing(table(s, d, "documents")),
     }
