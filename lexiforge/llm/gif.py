@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -235,7 +236,7 @@ def encode_gifs(df: DataFrame, text: str = "text", out: str = "gif") -> DataFram
     """``df`` with ``out``: the UTF-8 bytes of ``text``, padded to a multiple of 64, as a GIF file."""
 
     @F.pandas_udf("binary")
-    def encode(batches: Iterator) -> Iterator:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: write_gif(padded((t or "").encode("utf-8", "replace"))))
 
@@ -251,10 +252,8 @@ def frames_of(content: bytes | None) -> list[dict] | None:
 
 def decode_gifs(df: DataFrame, content: str = "gif", out: str = "frames") -> DataFrame:
     """``df`` with ``out``: the timed frames of a GIF column, each with its palette indices and histogram."""
-    import pandas as pd
-
     @F.pandas_udf(FRAME)
-    def decode(batches: Iterator) -> Iterator:
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for files in batches:
             yield pd.Series([frames_of(c) for c in files], index=files.index)
 

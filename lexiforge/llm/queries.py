@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import gif, html, licenses, mixing, packing, quality, urls, warc
+from lexiforge.llm import gif, html, licenses, mixing, packing, quality, toxicity, urls, warc
 from lexiforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_gif": lambda s, d: gif.op1_gif(table(s, d, "documents")),
         "op2_url_filter": lambda s, d: urls.op2_url_filter(table(s, d, "pages")),
+        "op7_toxicity": lambda s, d: toxicity.op7_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op8_warc": lambda s, d: warc.op8_warc(table(s, d, "pages")),
         "op3_license_scan": lambda s, d: licenses.op3_license_scan(table(s, d, "documents")),
         "op4_html_text": lambda s, d: html.op4_html_text(table(s, d, "pages")),
