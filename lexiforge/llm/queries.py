@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import gif, html, licenses, mixing, packing, quality, toxicity, urls, warc
+from lexiforge.llm import gif, html, licenses, mixing, ngram_join, packing, quality, toxicity, urls, warc
 from lexiforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op4_html_text": lambda s, d: html.op4_html_text(table(s, d, "pages")),
         "op5_mixing": lambda s, d: mixing.op5_mixing(table(s, d, "documents")),
         "op6_quality_rules": lambda s, d: quality.op6_quality_rules(table(s, d, "documents")),
+        "op9_ngram_jaccard": lambda s, d: ngram_join.op9_ngram_jaccard(table(s, d, "documents")),
         "op10_packing": lambda s, d: packing.op10_packing(table(s, d, "documents")),
     }
 
