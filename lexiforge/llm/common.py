@@ -28,16 +28,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one where it is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiforge-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the folder that the cluster names in ``spark.checkpoint.dir``.
 
     Every executor shares that folder, so a lost executor costs a re-read only. Where the setting
     is absent (tests on one machine) a temporary folder stands in.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiforge-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -19,6 +19,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.llm.common import shared_folder
+
 #: The record format's version and revisit profile, and the base32 alphabet.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,12 +52,7 @@ def header_field(header: Column, name: str) -> Column:
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="lexiforge-")
-    return f"{base.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
 
 
 def write_archive(pages: DataFrame, folder: str, date: str = "2020-01-01T00:00:00Z", min_revisit_bytes: int = 0) -> None:
