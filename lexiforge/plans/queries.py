@@ -620,7 +620,7 @@ def encoding_stats(s, d):
     return E.encoding_stats(coded(s, d), {"unk": unk})
 
 
-@query("perplexity_model", f"{TOKENS} SELECT round(exp(-sum(weight * lp / 1e6) / sum(weight)), 4) AS perplexity FROM tok JOIN voc USING (token_id)")
+@query("perplexity_model", f"{TOKENS}, c AS (SELECT token_id, sum(weight) AS n FROM tok GROUP BY 1) SELECT round(exp(-sum(n * lp) / 1e6 / sum(n)), 4) AS perplexity FROM c JOIN voc USING (token_id)")
 def perplexity_model(s, d):
     v = vocab(s, d)
     return E.perplexity_model(coded(s, d), v.withColumn("lp", F.col("lp") / 1e6)).select(F.round("perplexity", 4).alias("perplexity"))

@@ -82,7 +82,7 @@ def read_dictionary_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_freq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(token, freq) of JSON objects, one per file."""
-    raw = spark.read.text(path, wholetext=True)
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?<=\})\s*\n")).alias("value"))
     return raw.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("token", "freq"))
 
 
