@@ -111,14 +111,20 @@ def scan(text: str, built: tuple) -> list[tuple[str, float, int, int, int, int]]
     found = []
     for name, diagonals in hits.items():
         template, last = tokens[name], None
+        band = min(BAND, max(1, len(template) // 3))  # a short notice may stand twice within a wide band
+        best: list[tuple[int, int, int]] = []
         for d in sorted(set(diagonals)):
-            if last is not None and d - last <= BAND:
+            if last is not None and d - last <= band:
                 continue  # the alignment on that diagonal has this one in its band
             last = d
-            n, first, end = align(template, words, d)
+            n, first, end = align(template, words, d, band)
             if n >= MIN_COVERAGE * len(template):
-                found.append((name, n / len(template), n, len(template), spans[first][0], spans[end][1]))
-    return sorted(set(found), key=lambda x: (x[4], x[0], x[5]))
+                if best and first <= best[-1][2]:  # two alignments of one passage: the better stays
+                    best[-1] = max(best[-1], (n, first, end))
+                else:
+                    best.append((n, first, end))
+        found += [(name, n / len(template), n, len(template), spans[i][0], spans[j][1]) for n, i, j in best]
+    return sorted(found, key=lambda x: (x[4], x[0], x[5]))
 
 
 SCHEMA = "doc_id long, template string, coverage double, matched int, template_words int, start long, end long"
