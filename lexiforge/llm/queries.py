@@ -28,4 +28,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.oracle()}
+    return {
+        "op6_quality_rules": quality.oracle(),
+        "op8_warc": warc.oracle(),
+        "op9_ngram_jaccard": ngram_join.oracle(),
+    }

@@ -126,3 +126,13 @@ def op8_warc(pages: DataFrame) -> DataFrame:
     folder = archive_folder(pages.sparkSession)
     write_archive(pages, folder)
     return read_archive(pages.sparkSession, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+def oracle() -> str:
+    """DuckDB SQL for :func:`op8_warc`."""
+    letter = lambda k, shift: f"substring('{BASE32}', ((CAST('0x' || substring(h, {5 * k + 1}, 5) AS INT) >> {shift}) & 31) + 1, 1)"
+    digest = " || ".join(letter(k, shift) for k in range(8) for shift in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS t, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner FROM pages)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {digest} AS payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> owner THEN owner END AS refers_to, true AS verified FROM p"""
