@@ -17,8 +17,10 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from lexiforge.llm.common import cut_lineage
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_500_000
 RANK_BUCKET_ROWS = 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -113,6 +115,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(public_tokenizers.path(name))
+        self.marks: dict[str, str] = {}  # a letter as the model's byte symbols
         self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
@@ -123,6 +126,23 @@ class Ids:
             return body.lower(), rest
         return word, ""
 
+    def symbols(self, letter: str) -> str:
+        if letter not in self.marks:
+            self.marks[letter] = letter if letter.isascii() else "".join(p for p, _ in self.encoder.pre_tokenizer.pre_tokenize_str(letter))
+        return self.marks[letter]
+
+    def encode(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Lower-cased letters are one unit for the tokenizer as they stand, so they go to its model directly."""
+        rest, tokenize = [], self.encoder.model.tokenize
+        for u in units:
+            if not u.isalpha() or u != u.lower() or not is_normalized("NFC", u):
+                rest.append(u)
+                continue
+            word = u if u.isascii() else "".join(map(self.symbols, u))
+            yield u, array("I", [t.id for t in tokenize(word)]).tobytes()
+        for u, e in zip(rest, self.encoder.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            yield u, array("I", e.ids).tobytes()
+
     def learn(self, new: list[str]) -> None:
         for kept in (self.words, self.units):
             if len(kept) > CACHED_WORDS:
@@ -130,17 +150,16 @@ class Ids:
         parts = [self.split(w) for w in new]
         units = self.units
         unseen = list({u for p in parts for u in p if u and u not in units})
-        encoded = self.encoder.encode_batch_fast(unseen, add_special_tokens=False)
-        units.update((u, np.array(e.ids, dtype="<u4").tobytes()) for u, e in zip(unseen, encoded, strict=True))
+        units.update(self.encode(unseen))
         self.words.update((w, units[a] + units[b] if b else units[a]) for w, (a, b) in zip(new, parts, strict=True))
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         words = [re.split(r"[\t-\r ]+", t.strip("\t\n\v\f\r ")) if self.ODD.search(t) else t.split() for t in texts]
         known = self.words
-        new = {w for ws in words for w in ws if w not in known}
+        new = set().union(*words).difference(known)
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
-            new = {w for ws in words for w in ws}
+            new = set().union(*words)
         if new:
             self.learn(list(new))
         end = np.array([END_ID], dtype="<u4").tobytes()
@@ -201,7 +220,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # A plan has a few rows per length: it grows with the capacity, not with the corpus.
     table = spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("length", "_rank", "_count", "_bin", "_offset"))}))
     slots = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("_rank", "_count", "_bin", "_offset"))).alias("_slots"))
-    found = ranked(pieces, sum(histogram.values())).join(slots, "length")
+    found = ranked(pieces, sum(histogram.values())).join(F.broadcast(slots), "length")  # a row per length
     slot = F.filter("_slots", lambda s: (s["_rank"] <= F.col("rank")) & (F.col("rank") < s["_rank"] + s["_count"]))[0]
     out = found.withColumn("_slot", slot)
     return out.withColumns({"sequence_id": F.col("_slot._bin") + F.col("rank") - F.col("_slot._rank"), "offset": F.col("_slot._offset")}).drop("_slots", "_slot", "rank")
