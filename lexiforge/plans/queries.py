@@ -614,7 +614,10 @@ def train_language_vocab(s, d):
 TOKENS = f"WITH RECURSIVE {PATHS}, tok AS (SELECT unnest(ids) AS token_id, weight FROM best)"
 
 
-@query("encoding_stats", f"{TOKENS} SELECT CAST(sum(weight) AS BIGINT) AS n_tokens, CAST(sum(weight) FILTER (WHERE token_id <> (SELECT token_id FROM unk)) AS BIGINT) AS n_kept, CAST(coalesce(sum(weight) FILTER (WHERE token_id = (SELECT token_id FROM unk)), 0) AS BIGINT) AS n_unk, count(DISTINCT token_id) AS n_types FROM tok")
+@query(
+    "encoding_stats",
+    f"{TOKENS}, c AS (SELECT token_id, CAST(sum(weight) AS BIGINT) AS n FROM tok GROUP BY 1), v AS (SELECT n, token = '{UNK}' AS u FROM c JOIN voc USING (token_id)) SELECT CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN u THEN 0 ELSE n END) AS BIGINT) AS n_kept, CAST(sum(CASE WHEN u THEN n ELSE 0 END) AS BIGINT) AS n_unk, count(*) AS n_types FROM v",
+)
 def encoding_stats(s, d):
     unk = vocab(s, d).where(F.col("token") == UNK).collect()[0]["token_id"]
     return E.encoding_stats(coded(s, d), {"unk": unk})
