@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NONE = float("-inf")
@@ -15,6 +15,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def evaluated(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with new columns that are computed once a row.
+
+    A plain projection may be merged into later ones, and an expression merged into a lambda runs once an element. A
+    generator of one element is not merged, nor are filters on its columns pushed below it.
+    """
+    row = F.struct(*[value.alias(name) for name, value in values.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def minus_infinity() -> Column:
     return F.lit(NONE)
 

@@ -22,6 +22,16 @@ def to_segments(df: DataFrame, text: str = "text", space_split: bool = True) ->
     return segs.groupBy("seg").agg(F.count("*").alias("weight"))
 
 
+def spread(segments: DataFrame) -> DataFrame:
+    """The segments that are not empty, in ``spark.sql.shuffle.partitions`` partitions.
+
+    A segment becomes dozens of substrings: adaptive execution sees only the small rows before and merges them into one task.
+    Both columns are keys, as when edges are packed; by ``seg`` alone the planner would drop this as done already.
+    """
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return segments.where("seg <> ''").repartition(parts, "seg", "weight")
+
+
 def substrings(segments: DataFrame, max_length: int) -> DataFrame:
     """``segments`` with a row for every substring of at most ``max_length``: its end ``e``, length ``l``, ``token``."""
     ends = segments.withColumn("e", F.explode(F.sequence(F.lit(1), F.length("seg"))))
@@ -31,7 +41,7 @@ def substrings(segments: DataFrame, max_length: int) -> DataFrame:
 
 def count_ngrams(segments: DataFrame, max_length: int) -> DataFrame:
     """(token, freq): overlapping occurrences of every substring, by weight."""
-    return substrings(segments.where("seg <> ''"), max_length).groupBy("token").agg(F.sum("weight").alias("freq"))
+    return substrings(spread(segments), max_length).groupBy("token").agg(F.sum("weight").alias("freq"))
 
 
 def seed_vocab(ngrams: DataFrame, min_freq: int, drop: tuple[str, ...] = ("",)) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.functions.arrays import let, log_sum_exp, minus_infinity
+from lexiforge.functions.arrays import evaluated, let, log_sum_exp, minus_infinity
 from lexiforge.functions.patterns import UNK
 from lexiforge.functions.text import SPACE, normalize_for_model, strip
 from lexiforge.operators.ngrams import to_segments, uniform_hash
@@ -63,9 +63,8 @@ def pieces_of(path: Column, seg: Column) -> Column:
 def best_paths(scored: DataFrame) -> DataFrame:
     """(seg, weight, pieces, ids, score) of ``scored(seg, weight, ed)``."""
     n = F.length("seg")
-    solved = let(best_steps(F.col("ed"), n), lambda t: F.struct(trace_back(t, n).alias("path"), F.get(t, n)["s"].alias("score")))
-    out = scored.withColumn("_b", solved)
-    return out.select("seg", "weight", pieces_of(F.col("_b.path"), F.col("seg")).alias("pieces"), F.transform("_b.path", lambda s: s["token_id"]).alias("ids"), F.col("_b.score").alias("score"))
+    out = evaluated(evaluated(scored, _table=best_steps(F.col("ed"), n)), _path=trace_back(F.col("_table"), n))
+    return out.select("seg", "weight", pieces_of(F.col("_path"), F.col("seg")).alias("pieces"), F.transform("_path", lambda s: s["token_id"]).alias("ids"), F.get("_table", n)["s"].alias("score"))
 
 
 def segment_segments(segments: DataFrame, vocab: DataFrame, max_length: int | None = None) -> DataFrame:
@@ -144,8 +143,8 @@ def token_counts(ed: Column, alpha: Column, length: Column) -> Column:
 def path_sums(scored: DataFrame) -> DataFrame:
     """``scored`` with alpha, beta, the log-likelihood and the expected number of tokens."""
     n = F.length("seg")
-    both = let(forward(F.col("ed"), n), lambda a: F.struct(a.alias("alpha"), backward(F.col("ed"), n).alias("beta"), F.get(a, n).alias("loglik"), F.get(token_counts(F.col("ed"), a, n), n).alias("expected_tokens")))
-    return scored.withColumn("_s", both).select("*", "_s.*").drop("_s")
+    both = evaluated(scored, alpha=forward(F.col("ed"), n), beta=backward(F.col("ed"), n))
+    return evaluated(both, loglik=F.get("alpha", n), expected_tokens=F.get(token_counts(F.col("ed"), F.col("alpha"), n), n))
 
 
 def posteriors(sums: DataFrame, normalize: str = "line") -> DataFrame:
@@ -165,7 +164,7 @@ def sample_paths(scored: DataFrame, n: int, alpha: float = 1.0, seed: int = 0) -
     """(seg, weight, draw, pieces, ids): ``n`` paths, each drawn by forward filtering and backward sampling."""
     length = F.length("seg")
     tempered = scored.withColumn("ed", F.transform("ed", lambda x: F.struct(x["e"].alias("e"), x["l"].alias("l"), x["token_id"].alias("token_id"), (x["lp"] * alpha).alias("lp"))))
-    rows = tempered.withColumn("_a", forward(F.col("ed"), length)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    rows = evaluated(tempered, _a=forward(F.col("ed"), length)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
     def pick(at: Column) -> Column:
         u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("seg"), F.col("draw"), at), 11) + 1) / F.lit(float((1 << 53) + 2))
@@ -187,7 +186,7 @@ def sample_paths(scored: DataFrame, n: int, alpha: float = 1.0, seed: int = 0) -
 
     state = F.struct(length.alias("at"), F.array().cast(STEP).alias("path"))
     path = F.aggregate(ends(length), state, back, lambda st: F.reverse(st["path"]))
-    out = rows.withColumn("_p", path)
+    out = evaluated(rows, _p=path)
     return out.select("seg", "weight", "draw", pieces_of(F.col("_p"), F.col("seg")).alias("pieces"), F.transform("_p", lambda s: s["token_id"]).alias("ids"))
 
 
@@ -202,7 +201,7 @@ def nbest_paths(scored: DataFrame, n: int) -> DataFrame:
 
     length = F.length("seg")
     table = F.aggregate(ends(length), empty.cast(f"array<{kind}>"), lambda k, i: F.array_append(k, at(k, i)))
-    rows = scored.select("seg", "weight", F.posexplode(F.get(table, length)).alias("i", "h"))
+    rows = evaluated(scored, _k=F.get(table, length)).select("seg", "weight", F.posexplode("_k").alias("i", "h"))
     start = lambda p, j: F.aggregate(F.slice(p, 1, j), F.lit(0), lambda s, x: s + x)
     pieces = F.transform(F.col("h.p"), lambda n_, j: F.substring("seg", start(F.col("h.p"), j) + 1, n_))
     return rows.select("seg", "weight", (F.col("i") + 1).alias("rank"), pieces.alias("pieces"), F.col("h.s").alias("score"))

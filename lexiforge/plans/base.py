@@ -33,7 +33,7 @@ def seeds(s: SparkSession, d: str) -> DataFrame:
 
 def vocab(s: SparkSession, d: str) -> DataFrame:
     """(token_id, token, freq, theta, lp): lp is ln(theta) in millionths, a whole number, so that sums are exact."""
-    named = checkpointed(ngrams.index_vocab(seeds(s, d)))
+    named = checkpointed(ngrams.index_vocab(checkpointed(seeds(s, d))))  # numbering reads its input twice
     out = ngrams.normalized(named, "freq")
     return checkpointed(out.withColumn("lp", F.round(F.log("theta") * 1e6)))
 

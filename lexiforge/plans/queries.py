@@ -458,8 +458,10 @@ def continuation_lattice(s, d):
     return L.continuation_lattice(segments(s, d), vocab(s, d), HEAD, MAX_LENGTH).select("seg", "e", "l", "token_id")
 
 
-def scored(s, d):
-    return L.with_scores(L.edge_arrays(L.lattice(segments(s, d), vocab(s, d), MAX_LENGTH)), vocab(s, d))
+def scored(s, d, natural: bool = False):
+    """Edge arrays with scores: in millionths, or as natural logarithms."""
+    v = vocab(s, d)
+    return L.with_scores(L.edge_arrays(L.lattice(segments(s, d), v, MAX_LENGTH)), M.with_lp(v) if natural else v)
 
 
 @query("segment_words", f"WITH RECURSIVE {PATHS} SELECT seg, weight, array_to_string(pieces, ' ') AS pieces, array_to_string(ids, ',') AS ids, CAST(score AS BIGINT) AS score FROM best")
@@ -484,20 +486,17 @@ def segment_long_lines(s, d):
 
 @query("path_sums")
 def path_sums(s, d):
-    rows = L.with_scores(L.edge_arrays(L.lattice(segments(s, d), vocab(s, d), MAX_LENGTH)), M.with_lp(vocab(s, d)))
-    return S.path_sums(rows).select("seg", F.round("loglik", 6).alias("loglik"), F.round("expected_tokens", 6).alias("expected_tokens"))
+    return S.path_sums(scored(s, d, natural=True)).select("seg", F.round("loglik", 6).alias("loglik"), F.round("expected_tokens", 6).alias("expected_tokens"))
 
 
 @query("posteriors", f"WITH {SEG} SELECT seg, CAST(1 AS DOUBLE) AS mass FROM seg")
 def posteriors(s, d):
-    rows = L.with_scores(L.edge_arrays(L.lattice(segments(s, d), vocab(s, d), MAX_LENGTH)), M.with_lp(vocab(s, d)))
-    return S.posteriors(S.path_sums(rows)).groupBy("seg").agg(F.round(F.sum("post"), 6).alias("mass"))
+    return S.posteriors(S.path_sums(scored(s, d, natural=True))).groupBy("seg").agg(F.round(F.sum("post"), 6).alias("mass"))
 
 
 @query("sample_paths")
 def sample_paths(s, d):
-    rows = L.with_scores(L.edge_arrays(L.lattice(segments(s, d), vocab(s, d), MAX_LENGTH)), M.with_lp(vocab(s, d)))
-    return S.sample_paths(rows, 2, 0.5).select("seg", "draw", F.array_join("pieces", " ").alias("pieces"))
+    return S.sample_paths(scored(s, d, natural=True), 2, 0.5).select("seg", "draw", F.array_join("pieces", " ").alias("pieces"))
 
 
 @query("nbest_paths", f"WITH RECURSIVE {PATHS} SELECT seg, CAST(score AS BIGINT) AS score FROM best")
@@ -556,8 +555,9 @@ def train_em(s, d):
 
 @query("em_mass", f"WITH {SEG} SELECT CAST(sum(weight) AS DOUBLE) AS mass FROM seg")
 def em_mass(s, d):
-    arrays = L.edge_arrays(L.lattice(segments(s, d), vocab(s, d), MAX_LENGTH))
-    return M.em_counts(arrays, vocab(s, d).drop("lp")).agg(F.round(F.sum("mass"), 3).alias("mass"))
+    v = vocab(s, d)
+    arrays = L.edge_arrays(L.lattice(segments(s, d), v, MAX_LENGTH))
+    return M.em_counts(arrays, v.drop("lp")).agg(F.round(F.sum("mass"), 3).alias("mass"))
 
 
 @query("train_viterbi", f"WITH RECURSIVE {PATHS}, c AS (SELECT token_id, sum(weight) AS n FROM (SELECT unnest(ids) AS token_id, weight FROM best) GROUP BY 1) SELECT voc.token_id, token, round(coalesce(n, 0) / (SELECT sum(n) FROM c), 9) AS theta FROM voc LEFT JOIN c USING (token_id)")
