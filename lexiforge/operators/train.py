@@ -42,8 +42,11 @@ def em_counts(arrays: DataFrame, vocab: DataFrame, repeats: str = "sum", normali
 
 
 def em_step(arrays: DataFrame, vocab: DataFrame, repeats: str = "sum", normalize: str = "line", prune: float | None = None) -> DataFrame:
-    """``vocab`` with new theta; ``prune`` is a threshold for prune_vocab."""
-    mass = em_counts(arrays, vocab, repeats, normalize)
+    """``vocab`` with new theta; ``prune`` is a threshold for prune_vocab.
+
+    The masses, a row per token, are written once: their sum and the quotients would each run the E-step.
+    """
+    mass = checkpointed(em_counts(arrays, vocab, repeats, normalize))
     rest = [c for c in vocab.columns if c not in ("theta", "lp")]
     joined = vocab.select(*rest).join(mass, "token_id", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)) + TINY)
     new = ngrams.normalized(joined, "mass").drop("mass")
@@ -65,8 +68,9 @@ def viterbi_counts(arrays: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def _relative(vocab: DataFrame, counts: DataFrame, n: str) -> DataFrame:
+    """``vocab`` with theta from ``counts``, a row per token, which are written once as they are read twice."""
     rest = [c for c in vocab.columns if c not in ("theta", "lp")]
-    joined = vocab.select(*rest).join(counts, "token_id", "left").withColumn(n, F.coalesce(n, F.lit(0)).cast("double"))
+    joined = vocab.select(*rest).join(checkpointed(counts), "token_id", "left").withColumn(n, F.coalesce(n, F.lit(0)).cast("double"))
     return ngrams.normalized(joined, n).drop(n)
 
 
@@ -155,7 +159,7 @@ def train_corpus(docs: DataFrame, max_length: int = 5, min_freq: int = 50, max_e
     """Seeds from the corpus, training with pruning, renumbered: (token_id, token, theta)."""
     segments = checkpointed(ngrams.to_segments(docs, text))
     seeds = ngrams.seed_vocab(ngrams.count_ngrams(segments, max_length), min_freq)
-    vocab = checkpointed(ngrams.init_theta_random(ngrams.index_vocab(seeds.select("token"))))
+    vocab = checkpointed(ngrams.init_theta_random(ngrams.index_vocab(checkpointed(seeds.select("token")))))
     total = ngrams.unigram_total(segments).collect()[0][0]
     trained = TRAINERS[mode](segments, vocab, max_iter=max_epoch, prune=0.5 / max(1, total), max_length=max_length)
     return V.reindex(ngrams.normalized(trained, "theta"))
@@ -169,5 +173,5 @@ def train_language_vocab(docs: DataFrame, size: int, max_length: int = 16, min_f
     if user_symbols:
         given = docs.sparkSession.createDataFrame([(s,) for s in user_symbols], "token string")
         tokens = ngrams.with_fixed_seeds(tokens, given)
-    vocab = checkpointed(ngrams.init_theta_random(ngrams.index_vocab(tokens)))
+    vocab = checkpointed(ngrams.init_theta_random(ngrams.index_vocab(checkpointed(tokens))))
     return train_vocab(segments, vocab, size, keep_char=True)
