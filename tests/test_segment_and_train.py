@@ -41,6 +41,21 @@ def all_paths(seg):
     return sorted(out, key=lambda x: -x[0])
 
 
+def test_shuffled_vocabulary_and_joined_scores_agree_with_broadcast_and_constant_ones(spark, vocab, scored, monkeypatch):
+    monkeypatch.setattr(L, "MAX_SCORE_ARRAY", 0)
+    monkeypatch.setattr(L, "MAX_BROADCAST_TOKENS", 0)
+    segments = spark.createDataFrame(SEGMENTS, "seg string, weight long")
+    joined = L.with_scores(L.edge_arrays(L.lattice(segments, vocab)), M.with_lp(vocab))
+    assert sorted(joined.collect()) == sorted(scored.collect())
+
+
+def test_folds_are_no_part_of_later_projections(scored):
+    """The forward fold stands once in the optimized plan, whatever reads its result."""
+    plan = S.posteriors(S.path_sums(scored))._jdf.queryExecution().optimizedPlan().toString()
+    sums = [line for line in plan.splitlines() if "array_max" in line]
+    assert len(sums) == 1 and "Generate inline" in sums[0]
+
+
 def test_best_and_nbest_paths(scored):
     for r in S.best_paths(scored).collect():
         best = all_paths(r.seg)[0]
