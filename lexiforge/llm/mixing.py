@@ -8,7 +8,8 @@
 3. Each pass of a source is ``N_BLOCKS`` hash blocks, drawn in a permuted order without replacement. A splitting
    tree deals them to output shards: every node splits its sources' quotas between its halves by a multivariate
    hypergeometric draw, so shard quotas are exact; each shard walks its own path from the root in a Spark task.
-4. Inside a shard rows are shuffled by hash.
+4. Inside a shard rows are shuffled by hash. ``op5_mixing`` deals the mix in this way and reports, for every
+   document, the shard and the turn of each of its copies.
 
 What reaches the driver is a few numbers per source. Documents meet small per-source tables in equi-joins.
 
@@ -32,6 +33,7 @@ WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 N_BLOCKS = 256
 SHARD_WORDS = 50_000_000
+MIN_SHARDS = 16
 SEED = 17
 BIN_BITS = (10, 10, 10, 10, 12)
 FILL_ROUNDS = 3
@@ -184,7 +186,7 @@ def mix(docs: DataFrame, quotas: list[Quota], seed: int = SEED, n_blocks: int =
     if n_blocks & (n_blocks - 1):
         raise ValueError("n_blocks is a power of two")
     width = HASH_BITS - (n_blocks.bit_length() - 1)
-    shards = max(1, -(-int(sum(q.target for q in quotas)) // shard_words))
+    shards = max(MIN_SHARDS, -(-int(sum(q.target for q in quotas)) // shard_words))
     last = [max(-(-q.cut >> width), bool(q.extra)) for q in quotas]  # blocks of the last pass, which may be partial
     counts = [q.passes * n_blocks + n for q, n in zip(quotas, last, strict=True)]
 
@@ -218,6 +220,18 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def op5_mixing(docs: DataFrame) -> DataFrame:
+    """Every document with the copies that the mix deals of it: their number, and the shard and turn of each in order."""
     light = sized(docs)
-    out = with_copies(light, draw_quotas(light))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+    quotas = draw_quotas(light)
+    key = ["doc_id", "source", "size"]
+    # Repeated rows are dealt alike, so their copies are the same set.
+    dealt = mix(light, quotas).groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("copy", "shard", "turn"))).alias("_dealt"))
+    dealt = dealt.select(*[F.col(c).alias(f"_{c}") for c in key], "_dealt")
+    per_source = light.sparkSession.createDataFrame([(q.source, q.source_size, q.target) for q in quotas], "_s string, source_size long, target double")
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = light.join(dealt, same, "left").join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_s")))  # a row per source
+    got = F.coalesce("_dealt", F.array().cast("array<struct<copy:int,shard:bigint,turn:bigint>>"))
+    copies = F.size(got)
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", got["shard"].alias("shard"), got["turn"].alias("turn"))

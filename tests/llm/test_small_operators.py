@@ -243,6 +243,21 @@ def test_mix(spark, docs):
     assert mixing.op5_mixing(many.limit(0)).count() == 0
 
 
+def test_op5_deals_its_copies_to_several_shards(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 7, "big").when(F.col("id") % 10 < 9, "mid").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")).alias("text"))
+    rows = mixing.op5_mixing(docs.union(docs.where("doc_id < 5"))).collect()
+    assert len(rows) == 3005 and all(len(r.shard) == len(r.turn) == r.copies for r in rows)
+    light = mixing.sized(docs)
+    quotas = mixing.draw_quotas(light)
+    want = {r.doc_id: r.copies for r in mixing.with_copies(light, quotas).collect()}
+    one = {r.doc_id: r for r in mixing.op5_mixing(docs).collect()}
+    assert {i: r.copies for i, r in one.items()} == want
+    dealt = Counter((i, s, t) for i, r in one.items() for s, t in zip(r.shard, r.turn, strict=True))
+    assert dealt == Counter((r.doc_id, r.shard, r.turn) for r in mixing.mix(light, quotas).collect())
+    per_shard = Counter(s for _, s, _ in dealt)
+    assert sorted(per_shard) == list(range(mixing.MIN_SHARDS)) and max(per_shard.values()) < 2 * min(per_shard.values())
+
+
 def test_splitting_tree_is_exact():
     counts = [70, 0, 31, 256]
     paths = [mixing.split_path(counts, 13, k, 3) for k in range(13)]
