@@ -3,8 +3,10 @@
 1. Sizes (words) per source; targets by water filling: weights 5, 2, 1 in source order share all words, a source
    stops at three times its own size, and the excess is shared again by weight.
 2. A document's place in its source is a seeded hash. A source's target is some whole passes over all its documents
-   and a last pass over those below a cut. The cut is found by counting words in ever finer hash bins (nothing is
-   sorted, so a source with a third of all rows is as easy as any), then a few documents fill what is missing.
+   and a last pass in hash order that takes each document that still fits. It is a list of runs: a run ends at the
+   first document that does not fit, which is found by counting words in ever finer hash bins (nothing is sorted, so
+   a source with a third of all rows is as easy as any); the next run goes on above it with the documents that are
+   no larger than what is missing, until none is left. Every run starts with less missing than a document's size.
 3. Each pass of a source is ``N_BLOCKS`` hash blocks, drawn in a permuted order without replacement. A splitting
    tree deals them to output shards: every node splits its sources' quotas between its halves by a multivariate
    hypergeometric draw, so shard quotas are exact; each shard walks its own path from the root in a Spark task.
@@ -36,7 +38,6 @@ SHARD_WORDS = 50_000_000
 MIN_SHARDS = 16
 SEED = 17
 BIN_BITS = (10, 10, 10, 10, 12)
-FILL_ROUNDS = 3
 HASH_BITS = 52
 
 
@@ -70,15 +71,20 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 @dataclass
 class Quota:
-    """What is taken of a source: whole passes, then documents whose hash is below ``cut``, then ``extra`` ones."""
+    """What is taken of a source: whole passes, then ``runs`` (low, high, most) of a last pass.
+
+    A run takes the documents with low <= hash < high whose size is at most ``most``. Rows that share id, source and
+    size are taken together, so their sizes count together; ``repeated`` says whether the source has such rows.
+    """
 
     source: str | None
     source_size: int
     target: float
     passes: int
-    cut: int
-    extra: list[int]
+    runs: list[tuple[int, int, int]]
     missing: int = 0
+    last_size: int = 0
+    repeated: bool = False
 
 
 def draw_quotas(docs: DataFrame, seed: int = SEED) -> list[Quota]:
@@ -88,58 +94,64 @@ def draw_quotas(docs: DataFrame, seed: int = SEED) -> list[Quota]:
     for r in targets(per_source).orderBy("position").collect():  # a row per source
         passes = min(MAX_PASSES, int(r["target"] // r["source_size"])) if r["source_size"] else 1
         missing = round(r["target"]) - passes * r["source_size"]
-        quotas.append(Quota(r["source"], r["source_size"], r["target"], passes, 0, [], max(0, missing) if passes < MAX_PASSES else 0))
-    spark, u = docs.sparkSession, place(seed)
-
-    def joined(column: str, values: list[int]) -> DataFrame:
-        rows = [(q.source, v) for q, v in zip(quotas, values, strict=True) if q.missing > 0]
-        table = spark.createDataFrame(rows, f"_s string, {column} long")
-        return docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")  # a row per source
-
-    low = [0] * len(quotas)
-    width = HASH_BITS
-    for bits in BIN_BITS:
-        if not any(q.missing > 0 for q in quotas):
-            break
-        width -= bits
-        inside = (u >= F.col("_low")) & (u < F.col("_low") + (1 << (width + bits)))
-        bins = joined("_low", low).where(inside).groupBy("source", F.shiftright(u - F.col("_low"), width).alias("_bin")).agg(F.sum("size").alias("_n"))
-        up_to = F.sum("_n").over(Window.partitionBy("source").orderBy("_bin"))  # at most 2^bits rows a source
-        ends = bins.withColumn("_sum", up_to).join(F.broadcast(spark.createDataFrame([(q.source, q.missing) for q in quotas], "_s string, _m long")), F.col("source").eqNullSafe(F.col("_s")))
-        stop = ends.groupBy("source").agg(F.min(F.when(F.col("_sum") > F.col("_m"), F.struct("_bin", (F.col("_sum") - F.col("_n")).alias("_before")))).alias("_stop")).select("source", "_stop._bin", "_stop._before")
-        found = {r["source"]: r for r in stop.collect()}
-        for i, q in enumerate(quotas):
-            r = found.get(q.source)
-            if q.missing > 0 and r is not None and r["_bin"] is not None:
-                low[i] += r["_bin"] << width
-                q.missing -= r["_before"]
-    for q, v in zip(quotas, low, strict=True):
-        q.cut = v
-    for _ in range(FILL_ROUNDS):  # the largest document that still fits
-        if not any(q.missing > 0 for q in quotas):
-            break
-        rows = [(q.source, q.cut, q.missing, q.extra or [-1]) for q in quotas if q.missing > 0]
-        state = spark.createDataFrame(rows, "_s string, _cut long, _m long, _x array<long>")
-        open_ = docs.join(F.broadcast(state), F.col("source").eqNullSafe(F.col("_s"))).where((u >= F.col("_cut")) & ~F.array_contains("_x", u))
-        # Documents that share a hash are taken together, so their sizes count together.
-        whole = open_.where((F.col("size") > 0) & (F.col("size") <= F.col("_m"))).groupBy("source", u.alias("_u"), "_m").agg(F.sum("size").alias("_n"))
-        best = whole.where(F.col("_n") <= F.col("_m")).groupBy("source").agg(F.max(F.struct("_n", "_u")).alias("b")).select("source", "b._n", "b._u")
-        found = {r["source"]: r for r in best.collect()}
-        for q in quotas:
-            if q.missing > 0 and q.source in found:
-                q.extra.append(found[q.source]["_u"])
-                q.missing -= found[q.source]["_n"]
+        quotas.append(Quota(r["source"], r["source_size"], r["target"], passes, [], max(0, missing) if passes < MAX_PASSES else 0))
+    open_ = {i: 0 for i, q in enumerate(quotas) if q.missing > 0}  # the hash at which the next run starts
+    if not open_:
+        return quotas
+    spark = docs.sparkSession
+    units = cut_lineage(docs.where("size > 0").select("source", place(seed).alias("_u"), "size").groupBy("source", "_u").agg(F.sum("size").alias("_n"), F.count("*").alias("_rows")))
+    repeated = {r["source"]: r["_r"] for r in units.groupBy("source").agg((F.max("_rows") > 1).alias("_r")).collect()}
+    for q in quotas:
+        q.repeated = repeated.get(q.source, False)
+    while open_:
+        width, low, short = HASH_BITS, dict(open_), {i: quotas[i].missing for i in open_}
+        for bits in BIN_BITS:
+            width -= bits
+            if not low:
+                break
+            state = spark.createDataFrame([(quotas[i].source, v, quotas[i].missing, short[i]) for i, v in low.items()], "_s string, _low long, _most long, _m long")
+            inside = (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_low") + (1 << (width + bits))) & (F.col("_n") <= F.col("_most"))
+            found = units.join(F.broadcast(state), F.col("source").eqNullSafe(F.col("_s"))).where(inside)  # a row per source
+            bins = found.groupBy("source", "_m", F.shiftright(F.col("_u") - F.col("_low"), width).alias("_bin")).agg(F.sum("_n").alias("_n"), F.min("_u").alias("_first"), F.max("_u").alias("_end"))
+            ends = bins.withColumn("_sum", F.sum("_n").over(Window.partitionBy("source").orderBy("_bin")))  # at most 2^bits rows a source
+            stop = F.min(F.when(F.col("_sum") > F.col("_m"), F.struct("_bin", (F.col("_sum") - F.col("_n")).alias("_before"), "_first", "_end"))).alias("_stop")
+            stops = {r["source"]: r for r in ends.groupBy("source").agg(F.max("_sum").alias("_all"), stop).collect()}
+            for i in list(low):
+                q, r = quotas[i], stops.get(quotas[i].source)
+                if r is None or r["_stop"] is None:  # all that is left fits, or nothing is left; the first step says so
+                    if r is not None:
+                        q.runs.append((open_[i], 1 << HASH_BITS, q.missing))
+                        q.missing, q.last_size = q.missing - r["_all"], q.last_size + r["_all"]
+                    del low[i], open_[i]
+                    continue
+                _, before, first, end = r["_stop"]
+                short[i] -= before
+                if first < end:
+                    low[i] += r["_stop"]["_bin"] << width
+                    continue
+                q.runs.append((open_[i], first, q.missing))  # the document at ``first`` does not fit
+                q.last_size += q.missing - short[i]
+                q.missing = short[i]
+                del low[i]
+                if q.missing:
+                    open_[i] = first + 1
+                else:
+                    del open_[i]
     return quotas
 
 
 def with_copies(docs: DataFrame, quotas: list[Quota], seed: int = SEED) -> DataFrame:
     """``docs(doc_id, source, size, ...)`` with source_size, target and copies; scan, small join and project."""
-    rows = [(q.source, q.source_size, q.target, q.passes, q.cut, q.extra) for q in quotas]
-    table = docs.sparkSession.createDataFrame(rows, "_s string, source_size long, target double, _passes int, _cut long, _extra array<long>")
-    u = place(seed)
-    more = (F.col("_passes") < MAX_PASSES) & ((u < F.col("_cut")) | F.array_contains("_extra", u))
+    rows = [(q.source, q.source_size, q.target, q.passes, q.runs) for q in quotas]
+    table = docs.sparkSession.createDataFrame(rows, "_s string, source_size long, target double, _passes int, _runs array<struct<low:bigint,high:bigint,most:bigint>>")
+    u, unit = place(seed), F.col("size")
+    if any(q.repeated and q.runs for q in quotas):
+        many = docs.groupBy(F.col("source").alias("_rs"), u.alias("_ru")).agg(F.sum("size").alias("_unit"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
+        docs = docs.join(many, F.col("source").eqNullSafe(F.col("_rs")) & (u == F.col("_ru")), "left").drop("_rs", "_ru")
+        unit = F.coalesce("_unit", "size")
     joined = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s")))  # a row per source
-    return joined.withColumn("copies", F.col("_passes") + more.cast("int")).drop("_s", "_passes", "_cut", "_extra")
+    more = (F.col("size") > 0) & F.exists("_runs", lambda r: (u >= r["low"]) & (u < r["high"]) & (unit <= r["most"]))
+    return joined.withColumn("copies", F.col("_passes") + more.cast("int")).drop("_s", "_passes", "_runs", "_unit")
 
 
 # --- shards ------------------------------------------------------------------------------------
@@ -187,7 +199,7 @@ def mix(docs: DataFrame, quotas: list[Quota], seed: int = SEED, n_blocks: int =
         raise ValueError("n_blocks is a power of two")
     width = HASH_BITS - (n_blocks.bit_length() - 1)
     shards = max(MIN_SHARDS, -(-int(sum(q.target for q in quotas)) // shard_words))
-    last = [max(-(-q.cut >> width), bool(q.extra)) for q in quotas]  # blocks of the last pass, which may be partial
+    last = [-(-n_blocks * q.last_size // q.source_size) if q.last_size else 0 for q in quotas]  # blocks of the last pass, by its share of the source
     counts = [q.passes * n_blocks + n for q, n in zip(quotas, last, strict=True)]
 
     def walk(batches: Iterator) -> Iterator:
@@ -207,9 +219,9 @@ def mix(docs: DataFrame, quotas: list[Quota], seed: int = SEED, n_blocks: int =
     turned = spark.createDataFrame(turns, "_source int, copy int, _block int, _turn int")
     table = turned.join(dealt, ["_source", "_turn"]).drop("_turn")
     order = spark.createDataFrame([(q.source, i, q.passes, max(1, n)) for i, (q, n) in enumerate(zip(quotas, last, strict=True))], "_s string, _source int, _passes int, _last int")
-    block = F.shiftright(place(seed), width)
+    block, again = F.shiftright(place(seed), width), F.pmod(F.xxhash64(place(seed)), F.col("_last"))  # runs have gaps, so the last pass is dealt anew
     taken = with_copies(docs, quotas, seed).where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    taken = taken.join(F.broadcast(order), F.col("source").eqNullSafe(F.col("_s"))).withColumn("_block", F.when(F.col("copy") == F.col("_passes"), block % F.col("_last")).otherwise(block).cast("int")).drop("_s", "_passes", "_last")
+    taken = taken.join(F.broadcast(order), F.col("source").eqNullSafe(F.col("_s"))).withColumn("_block", F.when(F.col("copy") == F.col("_passes"), again).otherwise(block).cast("int")).drop("_s", "_passes", "_last")
     out = taken.join(table, ["_source", "copy", "_block"]).drop("_source", "_block")
     return out.withColumn("turn", F.xxhash64(F.lit(seed), "shard", "copy", "doc_id")).repartitionByRange("shard", "turn").sortWithinPartitions("shard", "turn")
 

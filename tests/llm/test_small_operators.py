@@ -258,6 +258,39 @@ def test_op5_deals_its_copies_to_several_shards(spark):
     assert sorted(per_shard) == list(range(mixing.MIN_SHARDS)) and max(per_shard.values()) < 2 * min(per_shard.values())
 
 
+def test_last_pass_goes_on_behind_documents_that_do_not_fit(spark):
+    u = mixing.place() / F.lit(1 << mixing.HASH_BITS)
+    at = spark.range(10_000, 11_000).select(F.col("id").alias("doc_id"), F.lit(60_000).cast("long").alias("size"))
+    long_one = at.where((u > 0.28) & (u < 0.32)).orderBy("doc_id").first().doc_id
+    rows = [(i, "b", 100) for i in range(1000)] + [(long_one, "b", 60_000)] + [(i, "a", 100) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    quotas = mixing.draw_quotas(docs)
+    taken = mixing.with_copies(docs, quotas).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"))
+    assert {q.source: q.target for q in quotas} == pytest.approx({"a": 200_000, "b": 80_000})
+    assert {r.source: r.n for r in taken.collect()} == {"a": 200_000, "b": 80_000}
+
+
+def test_last_pass_is_first_fit_in_hash_order(spark):
+    rng = random.Random(3)
+    rows = [(i, "ab"[i % 3 > 0], int(rng.paretovariate(0.7)) * 3 % 5000) for i in range(400)]
+    rows += [r for r in rows if r[0] % 5 == 0] * 2  # repeated rows are taken together
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    light = docs.withColumn("u", mixing.place())
+    quotas = mixing.draw_quotas(docs)
+    want = Counter()
+    for q in quotas:
+        units = Counter()
+        for r in light.where(F.col("source") == q.source).collect():
+            units[r.u] += r["size"]
+        missing = round(q.target) - q.passes * q.source_size
+        want[q.source] = q.passes * q.source_size
+        for n in (units[k] for k in sorted(units)):
+            if n <= missing:
+                missing, want[q.source] = missing - n, want[q.source] + n
+    got = mixing.with_copies(docs, quotas).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"))
+    assert {r.source: r.n for r in got.collect()} == dict(want)
+
+
 def test_splitting_tree_is_exact():
     counts = [70, 0, 31, 256]
     paths = [mixing.split_path(counts, 13, k, 3) for k in range(13)]
