@@ -5,10 +5,13 @@
 2. Pages are put in order by host, URL path and id. The keys alone are sorted first; keys at equal distances cut
    the order into blocks, so a host of any size is spread over as many tasks as it fills blocks. The pages' lines
    are then shuffled once, to their block, with the page on either side of each cut going to both blocks.
-3. A page without an article or main element is compared with the nearest page before and after it in its host:
-   their lines are aligned by longest common subsequence and shared lines are deleted, unless they are half of
-   the page or more: then the two pages are copies of one text. Where a page marks its article, that is its main
-   text, and lines that articles have in common are content (measured: deleting them loses whole paragraphs).
+3. Every page is compared with the nearest page before and after it in its host: their lines are aligned by longest
+   common subsequence, lines inside an article or main element with such lines and lines outside with those outside.
+   Shared lines are deleted, but shared text stays: inside an article a prose line (``PROSE`` characters or more) or a
+   sentence (measured: articles have them in common, and deleting them lost content), all of an article at least half of which is shared (a copy), and on a page without an article the prose lines, where
+   at least half of the page's prose is shared.
+4. Of a page that marks its article, lines outside it are left out, unless those that are its own hold more prose than
+   the article has text: then the article is a teaser, and they are the main text.
 
 Defined cases: null or empty html gives empty text; a null URL or one without ``://`` has no host and is not
 paired; pages with equal host, path and lines are not paired with each other; repeated rows stay repeated rows.
@@ -36,28 +39,49 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 CLOSES_P = BLOCKS - {"br", "body", "html", "td", "th", "li", "dd", "dt", "tr", "option"}
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|promo|sponsor(?:ed|s)?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|widget|header|masthead|footer|comments?|commentlist|respond|disqus|replies|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|pagination|pager|toolbar|skip-link|copyright)(?:$|[\s_-])", re.I)
 ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+PROSE = 80  # characters of a line that is a paragraph rather than a label
+SENTENCE = re.compile(r"[.!?…。！？][\"'»”’)\]]*$")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar", "toolbar"}
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
-def unwanted(tag: str, attributes: str) -> bool:
-    """Elements whose whole content is left out. ``header`` inside an article may hold the title; see block_lines."""
+def unwanted(tag: str, attributes: str) -> str:
+    """Why an element's whole content is left out: by "tag", "role" or "class", or "".
+
+    ``header`` inside an article may hold the title, and a class name may stand for a wrapper; see block_lines.
+    """
     if tag in SKIP:
-        return True
+        return "tag"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    why = "role" if HIDDEN.search(attributes) else ""
     for m in ATTR.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
-        if (m[1].lower() == "role" and value.lower() in ROLES) or (m[1].lower() != "role" and NOISE.search(value)):
-            return True
-    return bool(HIDDEN.search(attributes))
+        if m[1].lower() == "role" and value.lower() in ROLES:
+            return "role"
+        if m[1].lower() != "role" and NOISE.search(value):
+            why = why or "class"
+    return why
 
 
 def block_lines(page: str) -> list[tuple[str, bool]]:
-    """(line, whether it is inside an article or main element) of each block with text, in page order."""
+    """(line, whether it is inside an article or main element) of each block with text, in page order.
+
+    An element with an unwanted class name stays if a main element is in it, or an article where no other article
+    stands outside such elements (comments and cards are articles too): its class name then speaks of the layout.
+    """
+    lines, wrappers = _block_lines(page, frozenset())
+    return _block_lines(page, wrappers)[0] if wrappers else lines
+
+
+def _block_lines(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool]], frozenset[int]]:
+    """The lines, and where the elements begin that have to be spared from their class names."""
     lines: list[tuple[str, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each began an unwanted region
+    classed: list[tuple[int, int]] = []  # of the open elements with an unwanted class name: depth and place
+    around: dict[str, set[int]] = {"main": set(), "article": set()}
+    free = False
     off = inside = at = 0
 
     def close_block() -> None:
@@ -73,6 +97,8 @@ def block_lines(page: str) -> list[tuple[str, bool]]:
             tag, bad = stack.pop()
             off -= bad
             inside -= tag in ("article", "main")
+        while classed and classed[-1][0] >= to:
+            classed.pop()
 
     size = len(page)
     while at < size:
@@ -115,15 +141,21 @@ def block_lines(page: str) -> list[tuple[str, bool]]:
                     break
         if tag == "body":
             pop(0)
-        bad = unwanted(tag, attributes) and not (tag == "header" and inside)
+        why = unwanted(tag, attributes)
+        bad = bool(why) and not (tag == "header" and inside) and m.start() not in spared
+        if tag in around and off == len(classed):  # nothing but class names leaves it out
+            around[tag].update(place for _, place in classed)
+            free = free or not classed
+        if bad and why == "class":
+            classed.append((len(stack), m.start()))
         stack.append((tag, bad))
         off += bad
         inside += tag in ("article", "main")
     close_block()
-    return lines
+    return lines, frozenset(around["main"] if free else around["main"] | around["article"])
 
 
-def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+def common_lines(a: list, b: list) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence; equal ends first, then rows of bits for the middle."""
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
@@ -132,7 +164,7 @@ def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    where: dict[str, int] = {}
+    where: dict = {}
     for j, line in enumerate(y):
         where[line] = where.get(line, 0) | 1 << j
     full = (1 << len(y)) - 1
@@ -157,16 +189,21 @@ def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 def keep_lines(page: tuple, before: tuple | None, after: tuple | None) -> list[str]:
     """The lines of ``page`` = (lines, inside flags) that are its own."""
     lines, flags = page
-    if any(flags):
-        return [t for t, f in zip(lines, flags, strict=True) if f]
-    drop = set()
+    marked = any(flags)
+    # The text by which copies are judged: the article, or the prose of a page that marks none.
+    text = {i for i, t in enumerate(lines) if (flags[i] if marked else len(t) >= PROSE)}
+    length = lambda some: sum(len(lines[i]) for i in some)
+    drop: set[int] = set()
     for other in (before, after):
         if other is None or other[0] == lines:
             continue
-        shared = [i for i, _ in common_lines(lines, other[0])]
-        if 2 * sum(len(lines[i]) for i in shared) < sum(map(len, lines)):  # else the two are copies of one text
-            drop.update(shared)
-    return [t for i, t in enumerate(lines) if i not in drop]
+        shared = {i for i, _ in common_lines(list(zip(lines, flags, strict=True)), list(zip(*other, strict=True)))}
+        copied = 2 * length(shared & text) >= length(text)
+        drop |= {i for i in shared if i not in text or not (copied or (marked and (len(lines[i]) >= PROSE or SENTENCE.search(lines[i]))))}
+    own = [i for i in range(len(lines)) if i not in drop]
+    if marked and length(i for i in own if not flags[i] and len(lines[i]) >= PROSE) <= length(text):
+        own = [i for i in own if flags[i]]
+    return [lines[i] for i in own]
 
 
 LINES = "block int, home boolean, host string, path string, page_id long, url string, lines array<string>, inside array<boolean>"

@@ -204,6 +204,33 @@ def test_warc_archive(spark, tmp_path):
     assert warc.op8_warc(df.limit(0)).count() == 0
 
 
+def test_html_differences_pages_with_and_without_an_article():
+    page = lambda *lines: ([t for t, _ in lines], [f for _, f in lines])
+    menu, footer = [(f"Menu entry {i}", False) for i in range(40)], [("Imprint and contact", False)]
+    long = "This paragraph is quoted by two articles of the site, and it is long enough to be content in both of them."
+    # a large shared menu around short texts, without an article element
+    one, two = page(*menu, ("A short note.", False), *footer), page(*menu, ("Another one.", False), *footer)
+    assert html.keep_lines(one, two, None) == ["A short note."]
+    # shared labels inside articles go, shared paragraphs and copied articles stay
+    a = page(*menu, ("Share this", True), (long, True), ("The first article says a thing that no other article says, at length.", True))
+    c = page(*menu, ("Share this", True), (long, True), ("x" * 300, True))
+    assert html.keep_lines(c, a, None) == [long, "x" * 300]
+    copy = page(("Elsewhere", False), ("Share this", True), (long, True))
+    assert html.keep_lines(copy, a, None) == ["Share this", long]
+    # an article teaser does not hide a main text outside it; menus are shared
+    own = ["The main text of this page stands outside the article element, and it is a good deal longer.", "Short own line"]
+    teaser = page(*menu, ("Read on", True), *[(t, False) for t in own])
+    assert html.keep_lines(teaser, a, None) == ["Read on", *own]
+
+
+def test_html_keeps_wrappers_of_the_article():
+    text = lambda page: [t for t, _ in html.block_lines(page)]
+    assert text("<div class='layout has-sidebar'><h1>T</h1><article><p>Body</p></article></div><div class='sidebar'>no</div>") == ["T", "Body"]
+    assert text("<div class='with-comments'><main>Body</main><div class='comments'>no</div></div>") == ["Body"]
+    assert text("<article>Body</article><div class='comments'><article>no</article></div>") == ["Body"]
+    assert text("<nav class='menu'><article>no</article></nav><p>Body</p>") == ["Body"]
+
+
 # --- mixing ------------------------------------------------------------------------------------
 
 
