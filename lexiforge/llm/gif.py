@@ -2,7 +2,8 @@
 
 ``encode_gifs`` stores a byte string per row as 8-bit samples of a GIF; ``decode_gifs`` reads any GIF column:
 it decodes the LZW code streams, applies palettes, transparency and disposal, and gives an array of timed
-frames with their pixels' histogram. Both are row-wise Arrow jobs: no shuffle, memory bounded by a batch.
+frames: palette indices and palette as stored, the RGBA picture of the whole screen as shown, and histograms of the
+drawn pixels by brightness and of the shown picture by colour. Both are row-wise Arrow jobs: no shuffle, memory bounded by a batch.
 
 Defined cases: null or empty content of ``decode_gifs`` has no frames; malformed content has a null frame
 array; null text is the empty text; repeated rows are stored and read alike.
@@ -24,9 +25,10 @@ WIDTH = 64
 FRAME_ROWS = 1024
 DELAY_MS = 100
 HISTOGRAM_BINS = 16
+COLOR_BITS = 2  # of each of red, green and blue in the bins of a colour histogram
 MAX_CODES = 4096
 
-FRAME = "array<struct<frame_no:int,start_ms:long,delay_ms:int,left:int,top:int,width:int,height:int,disposal:int,transparent:int,indices:binary,histogram:array<long>>>"
+FRAME = "array<struct<frame_no:int,start_ms:long,delay_ms:int,left:int,top:int,width:int,height:int,disposal:int,transparent:int,indices:binary,histogram:array<long>,palette:binary,screen_width:int,screen_height:int,canvas:binary,colors:array<long>>>"
 
 
 # --- LZW ---------------------------------------------------------------------------------------
@@ -156,8 +158,21 @@ def interlaced(height: int) -> list[int]:
     return [y for start, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(start, height, step)]
 
 
+def color_histogram(canvas: np.ndarray) -> list[int]:
+    """Opaque pixels of an RGBA picture by the upper bits of red, green and blue."""
+    r, g, b = (canvas[..., k].astype(np.int16) >> (8 - COLOR_BITS) for k in range(3))
+    return np.bincount(((r << 2 * COLOR_BITS) | (g << COLOR_BITS) | b)[canvas[..., 3] > 0], minlength=1 << 3 * COLOR_BITS).tolist()
+
+
+def shown_samples(frame: dict) -> bytes:
+    """The red values that the shown picture has where the frame was drawn: with a grey palette, its samples."""
+    canvas = np.frombuffer(frame["canvas"], np.uint8).reshape(frame["screen_height"], frame["screen_width"], 4)
+    top, left = frame["top"], frame["left"]
+    return canvas[top : top + frame["height"], left : left + frame["width"], 0].tobytes()
+
+
 def read_gif(data: bytes, canvases: bool = False) -> Iterator[dict]:
-    """The frames of a GIF file: descriptor, timing, palette indices, and with ``canvases`` the shown RGBA picture."""
+    """The frames of a GIF file: descriptor, timing, palette indices, and with ``canvases`` palette and shown RGBA picture."""
     if data[:3] != b"GIF" or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
@@ -214,7 +229,7 @@ def read_gif(data: bytes, canvases: bool = False) -> Iterator[dict]:
             drawn = np.dstack([palette[np.minimum(pixels, len(palette) - 1)].reshape(h, w, 3), np.full((h, w, 1), 255, np.uint8)])[: area.shape[0], : area.shape[1]]
             shown = (pixels != transparent).reshape(h, w)[: area.shape[0], : area.shape[1]] if transparent >= 0 else np.ones(area.shape[:2], bool)
             area[shown] = drawn[shown]
-            frame["canvas"] = canvas.tobytes()
+            frame |= {"palette": palette.tobytes(), "screen_width": width, "screen_height": height, "canvas": canvas.tobytes(), "colors": color_histogram(canvas)}
             if disposal == 2:
                 canvas[top : top + h, left : left + w] = 0
             elif disposal == 3:
@@ -245,13 +260,13 @@ def encode_gifs(df: DataFrame, text: str = "text", out: str = "gif") -> DataFram
 
 def frames_of(content: bytes | None) -> list[dict] | None:
     try:
-        return list(read_gif(content)) if content else []
+        return list(read_gif(content, canvases=True)) if content else []
     except (ValueError, IndexError):
         return None
 
 
 def decode_gifs(df: DataFrame, content: str = "gif", out: str = "frames") -> DataFrame:
-    """``df`` with ``out``: the timed frames of a GIF column, each with its palette indices and histogram."""
+    """``df`` with ``out``: the timed frames of a GIF column, each with its palette indices and the picture shown."""
     @F.pandas_udf(FRAME)
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for files in batches:
@@ -280,8 +295,8 @@ def store_and_digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             payload = (text or "").encode("utf-8", "replace")
             media = write_gif(padded(payload))
-            frames = list(read_gif(media))
-            back = b"".join(f["indices"] for f in frames)
+            frames = list(read_gif(media, canvases=True))  # as in decode_gifs
+            back = b"".join(map(shown_samples, frames))
             histogram = np.sum([f["histogram"] for f in frames], axis=0)
             feature = f"{HISTOGRAM_BINS}:" + ",".join(map(str, histogram.tolist()))
             rows.append((doc_id, len(payload), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(frames)))

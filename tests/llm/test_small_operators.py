@@ -87,6 +87,22 @@ def test_disposal_transparency_and_local_palettes():
     assert [f["start_ms"] for f in frames] == [0, 50, 100, 150] and [sum(f["histogram"]) for f in frames] == [2, 1, 1, 1]
 
 
+def test_gif_columns_hold_the_shown_pictures(spark):
+    """A picture, then a transparent delta frame over its right half, after which the screen is cleared."""
+
+    def frame(codes, disposal, transparent):
+        packed = sum(c << (3 * i) for i, c in enumerate(codes)).to_bytes(4, "little")
+        return b"!\xf9\x04" + bytes([disposal << 2 | (transparent >= 0), 5, 0, max(transparent, 0), 0]) + b",\0\0\0\0\x02\0\x01\0\0\x02" + gif.sub_blocks(packed)
+
+    palette = bytes([0, 0, 0, 255, 255, 255, 255, 0, 0, 0, 0, 255])
+    data = b"GIF89a\x02\0\x01\0\x81\0\0" + palette + frame([4, 1, 2, 5], 1, -1) + frame([4, 0, 3, 5], 2, 0) + frame([4, 0, 1, 5], 1, 0) + b";"
+    rows = gif.gif_frames(spark.createDataFrame([(1, bytearray(data))], "doc_id long, gif binary")).orderBy("frame_no").collect()
+    white, red, blue, clear = b"\xff\xff\xff\xff", b"\xff\0\0\xff", b"\0\0\xff\xff", b"\0\0\0\0"
+    assert [bytes(r.canvas) for r in rows] == [white + red, white + blue, clear + white]
+    assert all(bytes(r.palette) == palette and (r.screen_width, r.screen_height) == (2, 1) for r in rows)
+    assert [{k: n for k, n in enumerate(r.colors) if n} for r in rows] == [{63: 1, 48: 1}, {63: 1, 3: 1}, {63: 1}]
+
+
 # --- URLs --------------------------------------------------------------------------------------
 
 
