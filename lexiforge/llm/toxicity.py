@@ -1,27 +1,33 @@
-"""Toxicity: a support vector machine on a subsequence string kernel with Nyström landmarks.
+"""Toxicity: a support vector machine on a subsequence string kernel with Nyström landmarks, trained on labelled sentences.
 
 Kernel: two words are alike by the letter triples that both hold as subsequences, each weighted by
 ``DECAY`` per skipped letter, up to ``MAX_STEP - 1`` skipped between two letters. So a word with letters or signs put
 in, or with another ending, stays close to the word that was learnt. Words spelt letter by letter are joined first.
-
-Training: labelled documents are cut into sentences and words are counted over distinct sentences of either label
-(a bounded, documented sample of ``TRAIN_ROWS`` labelled documents; Spark counts, the driver gets at most
-``MAX_WORDS`` words). Words seen nearly always in toxic sentences are positive, words of clean ones negative.
-The kernel rows against the landmarks, whitened, are the features of a linear machine with squared hinge loss.
-Its decision is linear in the triples, so it folds into one table of triple weights for scoring.
-
-Clean words that the first machine takes for toxic join the negative ones for a second fit.
-
-A document's evidence is the margins of its ``EVIDENCE`` most toxic word occurrences; a logistic curve fitted on the
-training documents turns them into a score. Scoring is one Arrow pass over whole texts, without a shuffle.
-
-Defined cases: null, blank and letter-free texts have the lowest margin; without labels of both kinds every score
-is the share of toxic labels (0 if there are none); repeated rows are scored alike.
+Two sentences are alike by the sum over their pairs of words of this likeness to the power of ``POWER``, so that words
+that share a few triples by chance add little.
+
+Training: the labelled documents (a bounded, documented sample of ``TRAIN_ROWS``) are cut into sentences, as sets of
+words; Spark cuts and deduplicates them, and at most ``TRAIN_SENTENCES`` of either label, drawn by hash, reach the
+driver. A sentence of toxic and of clean documents is clean. A document is labelled, not each of its sentences, so
+training goes in rounds: the first takes all sentences of toxic documents for positive, later ones those of each toxic
+document that the machine before finds most toxic, if it puts them above nearly all clean ones. Landmarks are words of
+the labelled sentences (one-word sentences): those that the positive ones hold beyond chance, and the clean ones nearest
+to them. The features of a sentence are its kernel values against the landmarks, whitened; a linear machine with squared
+hinge loss is fitted on them. The last round adds the clean sentences of the whole sample that were taken for toxic.
+
+A sentence's kernel is a sum over its words, so each word has a share and a sentence's margin is the sum of its words'
+shares and the bias. A document's evidence is the margins of its ``EVIDENCE`` most toxic sentences; a logistic curve
+fitted on the training documents turns them into a score. Scoring is one Arrow pass over whole texts, without a
+shuffle, in batches bounded by characters.
+
+Defined cases: null, blank and letter-free texts have the lowest evidence; a sentence of more than ``RUN`` words is
+taken in runs of that many, a word of more than ``LONG_WORD`` characters in pieces; without labels of both kinds every
+score is the share of toxic labels (0 if there are none); repeated rows are scored alike; a document with both labels
+is clean in training; columns named like a result are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,15 +40,20 @@ from pyspark.sql import functions as F
 from lexiforge.llm.common import cut_lineage
 
 TRAIN_ROWS = 20_000
-MAX_WORDS = 12_000
-N_LANDMARKS = 192
+TRAIN_SENTENCES = 25_000
+HARD_SENTENCES = 8_000
+N_LANDMARKS = 128
+ROUNDS = 2
 DECAY, MAX_STEP = 0.6, 3
 PENALTY = 1e-4
-MAX_WEIGHT = 200
+POWER = 3
 THRESHOLD = 0.7
 CACHED_WORDS = 1_000_000
+BATCH_CHARS = 1_000_000
 EVIDENCE = 4
-FLOOR = -1.0  # margins count from here to its opposite
+RUN = 8
+LONG_WORD = 64
+FLOOR = -2.0  # margins count from here to its opposite
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåçéèêëíìîïñóòôöõúùûüßœæ"
 LEET = dict(zip("013457@", "oieasta", strict=True))
@@ -57,20 +68,24 @@ for _i, _c in enumerate(LETTERS):
 for _c, _l in LEET.items():
     CODE[ord(_c)] = LETTERS.index(_l) + 1
 
+BREAK = ""  # stands for the end of a line
 SPELT = re.compile(r"(?<!\S)(?:[^\W\d_]\s+){2,}[^\W\d_](?!\S)")
-NO_SIGNS = {c: None for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in LEET}
+LONG = re.compile(rf"\S{{{LONG_WORD + 1}}}")
+PIECES = re.compile(rf"\S{{1,{LONG_WORD}}}")
+LAST = re.compile(r"[.!?…][\"'»”’)\]]*$|^[|]$")
+NO_SIGNS = {c: None for c in [*range(33, 127), ord(BREAK)] if not chr(c).isalnum() and chr(c) not in LEET}
 
 
 def word_list(text: str) -> list[str]:
-    """Lower-cased words; three or more single letters in a row are one word."""
+    """Lower-cased words, with a mark at each line's end; three or more single letters in a row follow as one word."""
     low = text.lower()
-    found = low.split()
-    joined = [re.sub(r"\s+", "", m[0]) for m in SPELT.finditer(low)]
+    found = (PIECES.findall if LONG.search(low) else str.split)(low.replace("\n", f" {BREAK} "))
+    joined = [w for m in SPELT.finditer(low) for w in (BREAK, *PIECES.findall(re.sub(r"\s+", "", m[0])))]
     return found + joined if joined else found
 
 
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, triple code, weight) of every gapped letter triple of the words."""
+    """(word number, triple code, weight) of every gapped letter triple of the words; a word's weights have norm one."""
     trimmed = [w.translate(NO_SIGNS) for w in words]
     flat = np.frombuffer("".join(f"\x02{w}\x03" for w in trimmed).encode("utf-32-le", "replace"), dtype=np.uint32)
     owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in trimmed])
@@ -87,137 +102,242 @@ def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             out.append((owner[at], (a[at] * CLASSES + b[at]) * CLASSES + c[at], np.full(len(at), DECAY ** (one + two - 2), dtype=np.float32)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
-    return tuple(np.concatenate(p) for p in zip(*out, strict=True))
+    owner, code, weight = (np.concatenate(p) for p in zip(*out, strict=True))
+    norm = np.sqrt(np.bincount(owner, weights=weight.astype(np.float64) ** 2, minlength=len(words)))
+    return owner, code, (weight / norm[owner]).astype(np.float32)
+
+
+def runs(ends: np.ndarray) -> np.ndarray:
+    """Where sentences begin, from flags of their last words; after ``RUN`` words a new one begins."""
+    if not len(ends):
+        return np.zeros(0, dtype=np.int64)
+    first = np.r_[True, ends[:-1]]
+    start = np.flatnonzero(first)
+    at = np.arange(len(ends)) - np.repeat(start, np.diff(np.r_[start, len(ends)]))
+    return np.flatnonzero(at % RUN == 0)
 
 
-def lengths(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """The kernel norm of each word, one where it has no triple."""
-    norm = np.sqrt(np.bincount(owner, weights=weight.astype(np.float64) ** 2, minlength=n))
-    return np.where(norm > 0, norm, 1.0)
+class Landmarks:
+    """Words against which the kernel is worked out, as a table of their triples."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        owner, code, weight = triples(words)
+        used = np.unique(code)
+        self.place = np.full(CLASSES**3, -1, dtype=np.int32)
+        self.place[used] = np.arange(len(used))
+        self.table = np.zeros((len(used), len(words)), dtype=np.float32)
+        np.add.at(self.table, (self.place[code], owner), weight)
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """A row per word, a column per landmark. Triples that no landmark holds add nothing."""
+        out = np.zeros((len(words), len(self.words)), dtype=np.float32)
+        for first in range(0, len(words), 4096):  # bounds the triples in memory
+            owner, code, weight = triples(words[first : first + 4096])
+            at = self.place[code]
+            keep = np.flatnonzero(at >= 0)
+            keep = keep[np.argsort(owner[keep], kind="stable")]
+            owner, at, weight = owner[keep], at[keep], weight[keep]
+            for i in range(0, len(owner), 20_000):
+                own = owner[i : i + 20_000]
+                begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                out[first + own[begins]] += np.add.reduceat(self.table[at[i : i + 20_000]] * weight[i : i + 20_000, None], begins, axis=0)
+        return out**POWER
 
 
 @dataclass
 class Model:
-    weights: np.ndarray | None  # per triple code
+    landmarks: Landmarks | None
+    weights: np.ndarray | None = None  # per landmark
     bias: float = 0.0
     slopes: tuple[float, ...] = (0.0,) * EVIDENCE
     shift: float = 0.0
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        owner, code, weight = triples(words)
-        total = np.bincount(owner, weights=self.weights[code] * weight, minlength=len(words))
-        has = np.bincount(owner, minlength=len(words)) > 0
-        return np.clip(np.where(has, total / lengths(owner, weight, len(words)) + self.bias, FLOOR), FLOOR, -FLOOR)
+    def shares(self, words: list[str]) -> np.ndarray:
+        """What each word adds to its sentence's margin."""
+        return (self.landmarks.kernel(words) @ self.weights).astype(np.float64)
+
+    def margins(self, sentences: list[list[str]]) -> np.ndarray:
+        flat = [w for s in sentences for w in s]
+        owner = np.repeat(np.arange(len(sentences)), list(map(len, sentences)))
+        known = list(dict.fromkeys(flat))
+        share = dict(zip(known, self.shares(known).tolist(), strict=True))
+        return np.bincount(owner, weights=[share[w] for w in flat], minlength=len(sentences)) + self.bias
 
     def probability(self, evidence: Column) -> Column:
         return 1 / (1 + F.exp(-sum((F.lit(s) * evidence[i] for i, s in enumerate(self.slopes)), F.lit(self.shift))))
 
 
+class Scorer:
+    """The evidence of texts; the shares of words are kept from text to text."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.place = model, {}
+        self.share, self.last = np.zeros(1024), np.zeros(1024, dtype=bool)
+
+    def learn(self, new: list[str]) -> None:
+        n = len(self.place)
+        if n + len(new) > len(self.share):
+            size = 2 * (n + len(new))
+            self.share, self.last = (np.concatenate([x[:n], np.zeros(size - n, dtype=x.dtype)]) for x in (self.share, self.last))
+        self.share[n : n + len(new)] = self.model.shares(new)
+        self.last[n : n + len(new)] = [w == BREAK or LAST.search(w) is not None for w in new]
+        self.place.update(zip(new, range(n, n + len(new)), strict=True))
+
+    def of(self, texts: list[str | None]) -> list[list[float]]:
+        lists = [word_list(t) if t else [] for t in texts]
+        if len(self.place) > CACHED_WORDS:
+            self.place = {}
+        new = set().union(*lists).difference(self.place)
+        if new:
+            self.learn(sorted(new))
+        get, out = self.place.__getitem__, []
+        for words in lists:
+            at = np.fromiter(map(get, words), dtype=np.int64, count=len(words))
+            margin = np.zeros(0)
+            if len(at):
+                sentence = np.cumsum(np.bincount(runs(self.last[at]), minlength=len(at))) - 1
+                pairs = np.unique(sentence * len(self.share) + at)  # a word counts once a sentence
+                margin = np.bincount(pairs // len(self.share), weights=self.share[pairs % len(self.share)])
+                margin = np.clip(margin + self.model.bias, FLOOR, -FLOOR)
+            top = np.sort(np.partition(margin, len(margin) - EVIDENCE)[-EVIDENCE:] if len(margin) > EVIDENCE else margin)[::-1]
+            out.append([*top.tolist(), *[FLOOR] * (EVIDENCE - len(top))])
+        return out
+
+
+def bounded(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[list[str | None]]:
+    """``texts`` in lists of at most 256 of them and, if more than one, ``most`` characters."""
+    held, size = [], 0
+    for t in texts:
+        n = len(t or "")
+        if held and (len(held) == 256 or size + n > most):
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += n
+    if held:
+        yield held
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def sentence_words(rows: DataFrame) -> DataFrame:
-    """(word, bad, good): in how many distinct toxic and clean sentences of ``rows(text, toxic)`` a word is.
+def sentences_of(text: str) -> list[str]:
+    """The sentences as scoring sees them: their distinct words, joined by blanks."""
+    words = word_list(text)
+    if not words:
+        return []
+    starts = runs(np.array([w == BREAK or LAST.search(w) is not None for w in words], dtype=bool)).tolist()
+    return [" ".join(sorted({w for w in words[a:b] if w != BREAK})) for a, b in zip(starts, [*starts[1:], len(words)], strict=True)]
+
+
+def labelled_sentences(rows: DataFrame) -> DataFrame:
+    """(s, toxic, doc): the distinct sentences of ``rows(doc_id, text, toxic)``; of both labels they are clean."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for doc, text, toxic in frame.itertuples(index=False):
+                found = list({s for s in sentences_of(text) if s})
+                yield pd.DataFrame({"s": found, "toxic": [toxic] * len(found), "doc": [doc] * len(found)})
+
+    cuts = rows.select("doc_id", "text", "toxic").mapInPandas(cut, "s string, toxic long, doc long")
+    return cuts.groupBy("s").agg(F.min("toxic").alias("toxic"), F.min("doc").alias("doc"))
 
-    A sentence of both labels counts as clean; copies of a sentence count once.
-    """
-    sentences = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[.!?\n|]+"))).alias("s"))
-    distinct = sentences.groupBy(F.xxhash64("s").alias("h")).agg(F.min("toxic").alias("toxic"), F.first("s").alias("s"))
-    words = F.array_distinct(F.filter(F.split("s", r"[^\p{L}\p{M}]+"), lambda w: F.length(w) > 2))
-    bad, good = F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
-    return distinct.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(bad, good)
 
+# --- fitting, on the bounded sample ------------------------------------------------------------
 
-def fit_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
+
+def fit_machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the rows within the margin."""
-    z = np.hstack([x, np.ones((len(x), 1))])
+    z = np.hstack([z, np.ones((len(z), 1), dtype=z.dtype)])
     w = np.zeros(z.shape[1])
     ridge = np.full(z.shape[1], PENALTY)
     ridge[-1] = 1e-9
-    for _ in range(25):
-        active = y * (z @ w) < 1
-        za = z[active] * cost[active, None]
-        new = np.linalg.solve(z[active].T @ za + np.diag(ridge), za.T @ y[active])
-        if np.allclose(new, w, atol=1e-8):
+    before = None
+    for _ in range(15):
+        active = y * (z @ w.astype(z.dtype)) < 1
+        if before is not None and not (active != before).any():
             break
-        w = new
+        before = active
+        za = z[active]
+        weighted = za * cost[active, None].astype(z.dtype)
+        w = np.linalg.solve((za.T @ weighted).astype(np.float64) + np.diag(ridge), (weighted.T @ y[active].astype(z.dtype)).astype(np.float64))
     return w[:-1], float(w[-1])
 
 
-def train_words(counts: list[tuple[str, int, int]], n_landmarks: int = N_LANDMARKS) -> Model | None:
-    """The machine from (word, toxic sentences, clean sentences) rows; None without both kinds of words."""
-    counts = sorted(counts)
-    positive = [(w, b, g) for w, b, g in counts if b >= 3 and b >= 9 * g]
-    negative = [(w, b, g) for w, b, g in counts if g and b < 9 * g]
-    if not positive or not negative:
-        return None
-    positive.sort(key=lambda c: (-c[1], c[0]))
-    words = [c[0] for c in positive] + [c[0] for c in negative]
-    owner, code, weight = triples(words)
-    norm = lengths(owner, weight, len(words))
-    unit = weight / norm[owner]
-    half = min(len(positive), n_landmarks * 2 // 3)
-    first = kernel_rows(owner, code, unit, len(words), np.arange(half))
-    closest = np.argsort(-first[len(positive) :].max(axis=1), kind="stable")[: n_landmarks - half] + len(positive)
-    marks = np.concatenate([np.arange(half), closest])
-    k = np.hstack([first, kernel_rows(owner, code, unit, len(words), closest)])
-    values, vectors = np.linalg.eigh(k[marks])
-    keep = values > 1e-6 * values.max()
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-    y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    # A word weighs as many labelled sentences as hold it, up to a bound; either class weighs one half.
-    many = np.r_[np.minimum([c[1] for c in positive], MAX_WEIGHT), np.minimum([c[2] for c in negative], MAX_WEIGHT / 10)]
-    cost = 0.5 * many / np.where(y > 0, many[y > 0].sum(), many[y < 0].sum())
-    w, bias = fit_machine(k @ whiten, y, cost)
-    share = np.zeros(len(words))
-    share[marks] = whiten @ w
-    table = np.bincount(code, weights=share[owner] * unit, minlength=CLASSES**3)
-    return Model(table.astype(np.float32), bias)
-
-
-def kernel_rows(owner: np.ndarray, code: np.ndarray, unit: np.ndarray, n: int, marks: np.ndarray) -> np.ndarray:
-    """Normalised kernel of every word against the marked ones."""
-    out = np.zeros((n, len(marks)))
-    for j, mark in enumerate(marks.tolist()):
-        mine = owner == mark
-        table = np.bincount(code[mine], weights=unit[mine], minlength=CLASSES**3)
-        out[:, j] = np.bincount(owner, weights=table[code] * unit, minlength=n)
-    return out
+class Sample:
+    """Sentences as word numbers."""
 
+    def __init__(self, sentences: list[str]) -> None:
+        split = [s.split() for s in sentences]
+        self.words = sorted({w for s in split for w in s})
+        number = {w: i for i, w in enumerate(self.words)}
+        self.flat = np.array([number[w] for s in split for w in s], dtype=np.int64)
+        self.starts = np.cumsum([0, *map(len, split)])
 
-def with_evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``evidence``: the margins of the whole text's most toxic word occurrences, highest first."""
-    kept: dict[str, float] = {}  # of a task
+    def __len__(self) -> int:
+        return len(self.starts) - 1
 
-    @F.pandas_udf("array<double>")
-    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for at in range(0, len(texts), 256):
-                lists = [word_list(t) if t else [] for t in texts.iloc[at : at + 256]]
-                if len(kept) > CACHED_WORDS:
-                    kept.clear()
-                new = list({w for ws in lists for w in ws if w not in kept})
-                if new:
-                    kept.update(zip(new, model.margins(new).tolist(), strict=True))
-                for ws in lists:
-                    out.append(heapq.nlargest(EVIDENCE, [*map(kept.__getitem__, ws), *[FLOOR] * EVIDENCE]))
-            yield pd.Series(out, index=texts.index)
+    def times(self, rows: np.ndarray) -> np.ndarray:
+        """In how many of the rows each word is."""
+        return np.bincount(np.concatenate([self.flat[self.starts[i] : self.starts[i + 1]] for i in rows]), minlength=len(self.words))
 
-    return docs.withColumn("evidence", evidence(F.col(text)))
+    def summed(self, per_word: np.ndarray) -> np.ndarray:
+        """Sums over the words of every sentence."""
+        parts = [np.add.reduceat(per_word[self.flat[self.starts[i] : self.starts[j]]], self.starts[i:j] - self.starts[i], axis=0) for i in range(0, len(self), 4096) for j in [min(i + 4096, len(self))]]
+        return np.concatenate(parts)
 
+    def fit(self, marks: list[int], rows: np.ndarray, y: np.ndarray) -> tuple[Model, np.ndarray]:
+        """The machine on ``rows`` with labels ``y``, and the words' shares. Either label weighs one half."""
+        landmarks = Landmarks([self.words[i] for i in marks])
+        per_word = landmarks.kernel(self.words)
+        values, vectors = np.linalg.eigh(per_word[marks].astype(np.float64))
+        keep = values > 1e-5 * values.max()
+        whiten = vectors[:, keep] / np.sqrt(values[keep])
+        cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+        w, bias = fit_machine(self.summed(per_word)[rows] @ whiten.astype(np.float32), y, cost)
+        model = Model(landmarks, (whiten @ w).astype(np.float32), bias)
+        return model, per_word @ model.weights
 
-def hardest(words: DataFrame, model: Model, rows: int) -> list[tuple[str, int, int]]:
-    """The clean words that the model takes for the most toxic."""
+    def margins(self, shares: np.ndarray, bias: float) -> np.ndarray:
+        return self.summed(shares) + bias
 
-    def margins(batches: Iterator) -> Iterator:
-        for frame in batches:
-            if len(frame):
-                yield frame.assign(margin=model.margins(frame["word"].tolist()))
 
-    scored = words.where("good >= 1 and bad < 9 * good").mapInPandas(margins, "word string, bad long, good long, margin double")
-    return [tuple(r)[:3] for r in scored.where(F.col("margin") > FLOOR).orderBy(F.desc("margin"), "word").limit(rows).collect()]
+def train_sentences(sentences: list[tuple[str, int, int | None]], n_landmarks: int = N_LANDMARKS, rounds: int = ROUNDS, hard: list[str] | None = None, start: Model | None = None) -> Model | None:
+    """The machine from (sentence, toxic, document) rows; None without sentences of both labels.
+
+    With ``start`` the rounds go on from that model.
+    """
+    rows = sorted({r for r in sentences if r[0].strip()}, key=lambda r: (r[1], r[0])) + [(s, 0, None) for s in sorted(hard or []) if s.strip()]
+    toxic = np.array([r[1] for r in rows], dtype=bool)
+    if not toxic.any() or toxic.all():
+        return None
+    sample = Sample([r[0] for r in rows])
+    bad, good = np.flatnonzero(toxic), np.flatnonzero(~toxic)
+    document = np.array([-1 if r[2] is None else r[2] for r in rows])
+    in_bad, in_good = sample.times(bad), sample.times(good)
+    positive, model = bad, start
+    if start is not None:
+        shares = start.shares(sample.words)
+    for turn in range(rounds):
+        if turn or start is not None:
+            margins = sample.margins(shares, model.bias)
+            order = bad[np.lexsort((-margins[bad], document[bad]))]
+            first = np.flatnonzero(np.r_[True, document[order][1:] != document[order][:-1]])
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+            found = order[(place < EVIDENCE) & (margins[order] > np.quantile(margins[good], 0.98))]
+            positive = found if len(found) else positive
+            in_bad = sample.times(positive)
+        # Landmarks: words that are in more of the positive sentences than chance has it, then those like them that are clean.
+        rate_bad, rate_good = in_bad / len(positive), in_good / len(good)
+        excess = (rate_bad - rate_good) / np.sqrt(rate_bad / len(positive) + rate_good / len(good) + 1e-12)
+        marks = [i for i in np.argsort(-excess, kind="stable")[: n_landmarks * 2 // 3].tolist() if excess[i] > 0]
+        near = Landmarks([sample.words[i] for i in marks]).kernel(sample.words).max(axis=1) * (in_good > 0)
+        near[marks] = 0
+        marks += np.argsort(-near, kind="stable")[: n_landmarks - len(marks)].tolist()
+        model, shares = sample.fit(sorted(set(marks)), np.r_[positive, good], np.r_[np.ones(len(positive)), -np.ones(len(good))])
+    return model
 
 
 def fit_curve(evidence: np.ndarray, toxic: np.ndarray, steps: int = 80) -> tuple[tuple[float, ...], float]:
@@ -232,21 +352,46 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray, steps: int = 80) -> tuple
     return tuple(w[:-1].tolist()), float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+# --- Spark operators ---------------------------------------------------------------------------
+
+
+def with_evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``evidence``: the margins of the whole text's most toxic sentences, highest first."""
+
+    @F.pandas_udf("array<double>")
+    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for texts in batches:
+            yield pd.Series([e for part in bounded(texts.tolist()) for e in scorer.of(part)], index=texts.index, dtype=object)
+
+    return docs.withColumn("evidence", evidence(F.col(text)))
+
+
+def hardest(sentences: DataFrame, model: Model, rows: int = HARD_SENTENCES) -> list[str]:
+    """The clean sentences that the model takes for the most toxic."""
+
+    def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            if len(frame):
+                yield frame.assign(margin=model.margins([s.split() for s in frame["s"]]))[["s", "margin"]]
+
+    scored = sentences.where("toxic = 0").select("s").mapInPandas(margins, "s string, margin double")
+    return [r[0] for r in scored.where("margin > -1").orderBy(F.desc("margin"), "s").limit(rows).collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: int = TRAIN_SENTENCES) -> Model:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)`` that are not held out."""
-    known = labels.where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("long").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded by parameter
+    known = labels.where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.min("toxic").cast("long").alias("toxic"))
+    sample = cut_lineage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))  # bounded by parameter
     rows_ = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())
-    words = cut_lineage(sentence_words(rows_))
-    # MAX_WORDS at most reach the driver: the commonest toxic ones, and clean ones drawn by hash.
-    toxic = words.where("bad >= 3 and bad >= 9 * good").orderBy(F.desc("bad"), "word").limit(MAX_WORDS // 6)
-    clean = words.where("good >= 2").orderBy(F.xxhash64("word")).limit(MAX_WORDS // 2)
-    counts = [tuple(r) for r in toxic.union(clean).select("word", "bad", "good").distinct().collect()]
-    model = train_words(counts)
+    found = cut_lineage(labelled_sentences(rows_))
+    of = lambda toxic: found.where(F.col("toxic") == toxic).orderBy(F.xxhash64("s"), "s").limit(sentences)
+    picked = [tuple(r) for r in of(1).union(of(0)).select("s", "toxic", "doc").collect()]  # bounded by parameter
+    model = train_sentences(picked)
     if model is None:
         share = sample.agg(F.avg("toxic")).collect()[0][0]
         return Model(None, shift=float(np.log((share + 1e-6) / (1 - share + 1e-6))) if share else -14.0)
-    model = train_words(list({c[0]: c for c in counts + hardest(words, model, MAX_WORDS // 3)}.values())) or model
+    model = train_sentences(picked, rounds=1, hard=hardest(found, model), start=model) or model
     pairs = with_evidence(rows_, model).select("evidence", "toxic").collect()  # a few numbers a sampled row
     model.slopes, model.shift = fit_curve(np.array([r[0] for r in pairs]), np.array([r[1] for r in pairs], dtype=float))
     return model
@@ -255,7 +400,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score and predicted."""
     flat = F.array(*[F.lit(FLOOR)] * EVIDENCE)
-    scored = docs.withColumn("evidence", flat) if model.weights is None else with_evidence(docs, model, text)
+    scored = docs.withColumn("evidence", flat) if model.landmarks is None else with_evidence(docs, model, text)
     return scored.withColumn("score", model.probability(F.col("evidence"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("evidence")
 
 

@@ -421,12 +421,63 @@ def test_components(spark):
 
 
 def test_kernel_tolerates_inserted_characters():
-    good = [(w, 0, 5) for w in "there inner other reading stand thing letter water horse garden window paper simple little morning".split()]
-    model = toxicity.train_words([("idiot", 30, 0), ("worthless", 30, 0), ("disgusting", 30, 0), *good])
+    plain = "there inner other reading stand thing letter water horse garden window paper simple little morning".split()
+    rng = random.Random(2)
+    sentences = [(" ".join(sorted(rng.sample(plain, 5))), 0, None) for _ in range(200)]
+    sentences += [(" ".join(sorted([*rng.sample(plain, 4), bad])), 1, i) for i in range(60) for bad in ("idiot", "worthless", "disgusting")]
+    model = toxicity.train_sentences(sentences, 24)
     words = ["idiot", "i.d.i.o.t", "idi0t", "iddiiot", "worth-less", "disgusstingg", "inner", "reader", "watering", ""]
-    margins = dict(zip(words, model.margins(words).tolist(), strict=True))
+    margins = dict(zip(words, model.margins([["garden", "horse", "letter", "water", w] for w in words]).tolist(), strict=True))
     assert all(margins[w] > 0 for w in words[:6]) and all(margins[w] < 0 for w in words[6:])
     assert "idiot" in toxicity.word_list("you i d i o t there") and toxicity.word_list("") == []
+    assert toxicity.train_sentences([("a b", 1, 1)]) is None
+
+
+def test_kernel_is_the_subsequence_kernel():
+    """Against plain Python: all letter triples in order with bounded gaps, unit length, to the power."""
+    def table(word):
+        marked, out = "<" + word + ">", Counter()
+        for i, a in enumerate(marked):
+            for one in range(1, toxicity.MAX_STEP + 1):
+                for two in range(1, toxicity.MAX_STEP + 1):
+                    if i + one + two < len(marked):
+                        out[a, marked[i + one], marked[i + one + two]] += toxicity.DECAY ** (one + two - 2)
+        return out
+
+    def plain(x, y):
+        a, b = table(x), table(y)
+        return (sum(v * b[k] for k, v in a.items()) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5) ** toxicity.POWER
+
+    words, marks = ["idiot", "idiom", "window", "xyz", "a", "idiotic"], ["idiot", "window"]
+    got = toxicity.Landmarks(marks).kernel(words)
+    table_of = {w: [sum(1 for _ in table(w))] for w in words}
+    assert all(table_of[w] for w in words)
+
+    def weights(word):  # repeated triples of a word are separate terms of its norm in the vectorised form
+        owner, code, weight = toxicity.triples([word])
+        return Counter({c: float(weight[code == c].sum()) for c in set(code.tolist())})
+
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks):
+            a, b = weights(w), weights(m)
+            assert got[i, j] == pytest.approx(sum(v * b[k] for k, v in a.items()) ** toxicity.POWER, abs=1e-5)
+            if len(set(w)) == len(w) and len(set(m)) == len(m):
+                assert got[i, j] == pytest.approx(plain(w, m), abs=1e-5)
+
+
+def test_scoring_equals_sentence_by_sentence(spark):
+    sentences = [("a garden grows", 0, None), ("the horse runs", 0, None), ("you idiot", 1, 1), ("moron there", 1, 2)] * 3
+    model = toxicity.train_sentences(sentences, 8)
+    texts = [None, "", " \n ", "...", "You idiot. The horse runs! a | b", "word " * 3000 + "moron", "x" * 5000, "i d i o t", "idiot " * 40, "you\nidiot\n"]
+    got = toxicity.Scorer(model).of(texts)
+    for text, evidence in zip(texts, got, strict=True):
+        words = toxicity.word_list(text or "")
+        starts = toxicity.runs(toxicity.np.array([w == toxicity.BREAK or bool(toxicity.LAST.search(w)) for w in words], dtype=bool)).tolist()
+        margins = [min(max(float(model.margins([sorted(set(words[a:b]))])[0]), toxicity.FLOOR), -toxicity.FLOOR) for a, b in zip(starts, [*starts[1:], len(words)])]
+        want = sorted(margins, reverse=True)[: toxicity.EVIDENCE]
+        assert evidence == pytest.approx(want + [toxicity.FLOOR] * (toxicity.EVIDENCE - len(want)), abs=1e-5)
+    assert all(max(map(len, toxicity.word_list("y" * 1000 + " z"))) <= toxicity.LONG_WORD for _ in range(1))
+    assert [len(p) for p in toxicity.bounded(["abc"] * 5, 6)] == [2, 2, 1] and list(toxicity.bounded(["abcdefghi"], 6)) == [["abcdefghi"]]
 
 
 def test_toxicity_query(spark, docs):
@@ -442,3 +493,6 @@ def test_toxicity_query(spark, docs):
             assert r.predicted == truth[r.doc_id]
     none = toxicity.op7_toxicity(docs, data.select("doc_id", "toxic").limit(0))
     assert {r.predicted for r in none.collect()} == {0}
+    assert toxicity.op7_toxicity(docs.limit(0), data.select("doc_id", "toxic")).count() == 0
+    both = toxicity.score(data.select("doc_id", "text", F.lit("x").alias("score"), F.lit("y").alias("evidence")), toxicity.Model(None))
+    assert sorted(both.columns) == ["doc_id", "predicted", "score", "text"]
