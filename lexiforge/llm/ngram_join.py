@@ -1,20 +1,23 @@
-"""N-gram Jaccard join: documents whose sets of word 3-grams overlap by 90 % or more, and their components.
+"""N-gram Jaccard join: documents whose sets of word n-grams overlap by a given share or more, and their components.
 
-1. One pass makes each document's set of hashed 3-grams, its size and a 128-bit fingerprint. Equal sets are one
-   class from here on (a pre-aggregated group-by, so any number of copies is cheap).
-2. Buckets. Sets that link differ in at most a ninth of the smaller one, so if the 3-grams are dealt into one more
-   part than that by a hash, some part is equal in both. Each class emits a hash per part (``part_signatures``);
-   classes that share one are candidates, and candidates' components are clusters. Every link lies in a cluster.
+1. One pass makes each document's set of hashed n-grams, its size and a 64-bit fingerprint. Equal sets are one
+   class from here on, named by the fingerprint (a pre-aggregated group-by, so any number of copies is cheap).
+2. Dealing to tasks. Sets that link differ in at most a known number of n-grams, so if the n-grams are dealt into one
+   more part than that by a hash, some part is equal in both. Each class emits a hash per part (``part_signatures``);
+   classes that share one are joined up, and the components of that are clusters. Every link lies in a cluster.
 3. Signature trees. A cluster's sets, in blocks of bounded size, become the leaves of trees whose nodes hold the
    OR of the members' token bitmaps, their AND, and their size range. Two trees are walked together; a pair of
-   nodes is left out when its largest possible overlap cannot reach the threshold, or when all its members are
-   linked already. Surviving leaf pairs are compared exactly.
-4. The links' components give each document the smallest doc_id that it reaches.
+   nodes is left out when its largest possible overlap cannot reach the threshold. The sets of surviving leaf pairs
+   are compared exactly; a class counts the documents that it links to, and a block reports a spanning forest.
+4. The forests' components give each document the smallest doc_id that it reaches.
 
-No pair table is built: a block reports a spanning forest of its links, at most a row per member.
+No pair table is built: a block sends at most two rows a member. Without counting (``count_links=False``) pairs whose
+sets are linked up already are left out too.
 
-Defined cases: null or blank texts have no 3-gram, size 0, and are components of their own; fewer than three words
-are one n-gram; repeated rows are in one component; an empty table gives no rows.
+Defined cases: a row is a document: rows with one doc_id and different texts are different documents, rows with a null
+doc_id join others but name no component (null where a component has no other); null or blank texts have no n-gram,
+size 0, no link, and are components of their own; fewer than ``gram`` words are one n-gram; repeated rows link; an empty
+table gives no rows; of the input only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -33,14 +36,12 @@ GRAM = 3
 PERCENT = 90
 BITS = 2048
 LEAF = 4
-BLOCK_SETS = 512
-BLOCK_TOKENS = 1_000_000
-SMALLEST = 9  # smaller sets link to equal ones only
-FEW_PARTS = 24
+BLOCK_SETS = 2048
+BLOCK_TOKENS = 2_000_000
+FEW_PARTS = 12
 CACHED_WORDS = 1_000_000
 
-SIZES = "doc_id long, n_shingles long, f1 long, f2 long, signatures array<long>"
-SETS = "cluster long, node long, tokens binary"
+SIZES = "doc_id long, text_hash long, n_shingles long, node long, signatures array<long>"
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -81,69 +82,60 @@ class Shingles:
         return np.unique(out)
 
 
-def size_classes(top: int) -> list[tuple[int, int]]:
-    """(smallest, largest) sizes of the classes, each half as wide again as the one before."""
-    out, low = [], SMALLEST
-    while low <= top:
-        high = low * 3 // 2
-        out.append((low, high))
-        low = high + 1
-    return out
-
+def fingerprint(tokens: np.ndarray) -> int:
+    with np.errstate(over="ignore"):
+        return int(scramble(scramble(tokens, 501).sum(dtype=np.uint64, keepdims=True), len(tokens)).view(np.int64)[0])
 
-CLASSES = size_classes(1 << 40)
-STARTS = np.array([low for low, _ in CLASSES])
 
+class Parts:
+    """How sets are dealt into parts, for a threshold.
 
-def part_signatures(tokens: np.ndarray) -> np.ndarray:
-    """A hash of each part of the set, for its own size class and, near a class's lower end, the one below.
+    Of two different sets that link, the smaller has n tokens and they differ in at most n * (100 - p) / p. Sizes form
+    classes, each half as wide again as the one before; a set is dealt for its own class and, if a smaller set of the
+    class below may link to it, for that one, so both sets are dealt for the class of the smaller, into a part more
+    than their differences: some part has no difference.
 
-    Of two sets that link, take the class of the smaller: they differ in d <= largest // 9 tokens, and of d + 1
-    parts one has no difference. Empty parts say nothing and are left out. With few parts, a set that has empty
-    ones is dealt again by another hash, until none is empty: at the first hash for which one of two sets has no
-    empty part, the part without difference is not empty. With many parts, over a third of them has no difference
-    and that all of these are empty is less likely than two equal 64-bit hashes.
+    Empty parts say nothing and are left out. With few parts, a set that has empty ones is dealt again by another hash,
+    until none is empty: at the first hash for which one of two sets has no empty part, the part without difference is
+    not empty. With more parts, over a third of them has no difference; sets are dealt so often that all of these being
+    empty is less likely than two equal 64-bit hashes.
     """
-    n = len(tokens)
-    if n < SMALLEST:
-        return np.zeros(0, dtype=np.int64)
-    own = int(np.searchsorted(STARTS, n, side="right")) - 1
-    out = []
-    for c in (own, own - 1):
-        if c < 0 or (c < own and PERCENT * n > 100 * CLASSES[c][1]):
-            continue
-        parts = CLASSES[c][1] * (100 - PERCENT) // PERCENT + 1
-        for seed in range(64):
-            mixed = scramble(tokens, seed + 1)
-            part = (mixed >> np.uint64(16)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            sorted_ = part[order]
-            first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-            with np.errstate(over="ignore"):
-                sums = np.add.reduceat(scramble(mixed[order], 77), first)
-            out.append(scramble(sums ^ scramble(sorted_[first], 1000 + 64 * c + seed)))
-            if len(first) == parts or parts >= FEW_PARTS:
-                break
-    return np.concatenate(out).view(np.int64)
-
-
-def document_sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    make = Shingles()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            n, f1, f2, signatures = [], [], [], []
-            for text in part.column(1).to_pylist():
-                tokens = make.of(text)
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        self.smallest = -(-percent // (100 - percent))  # smaller sets link to equal ones only
+        self.classes, low = [], self.smallest
+        while low < 1 << 40:
+            high = max(low, low * 3 // 2)
+            parts = high * (100 - percent) // percent + 1
+            # e^(-low / parts) is the share of empty parts, 0.37 that of parts without difference
+            hashes = 0 if parts < FEW_PARTS else max(1, int(np.ceil(44.4 / (0.37 * low))))
+            self.classes.append((high, parts, hashes))
+            low = high + 1
+        self.highs = np.array([c[0] for c in self.classes])
+
+    def signatures(self, tokens: np.ndarray) -> np.ndarray:
+        n = len(tokens)
+        if n < self.smallest:
+            return np.zeros(0, dtype=np.int64)
+        own = int(np.searchsorted(self.highs, n))
+        out = []
+        for c in (own, own - 1):
+            high, parts, hashes = self.classes[c]
+            if c < 0 or (c < own and self.percent * n > 100 * high):
+                continue
+            for seed in range(hashes or 64):
+                mixed = scramble(tokens, seed + 1)
+                part = (mixed >> np.uint64(16)) % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                sorted_ = part[order]
+                first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
                 with np.errstate(over="ignore"):
-                    sums = [int(scramble(tokens, s).sum(dtype=np.uint64).view(np.int64)) if len(tokens) else 0 for s in (501, 502)]
-                n.append(len(tokens))
-                f1.append(sums[0])
-                f2.append(sums[1])
-                signatures.append(part_signatures(tokens))
-            offsets = np.cumsum([0, *map(len, signatures)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signatures)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], names=["doc_id", "n_shingles", "f1", "f2", "signatures"])
+                    sums = np.add.reduceat(scramble(mixed[order], 77), first)
+                out.append(scramble(sums ^ scramble(sorted_[first], 1000 + 64 * c + seed)))
+                if not hashes and len(first) == parts:
+                    break
+        return np.concatenate(out).view(np.int64)
 
 
 # --- signature trees ---------------------------------------------------------------------------
@@ -203,122 +195,217 @@ def may_link(x: Node, y: Node, percent: int = PERCENT) -> bool:
     return (100 + percent) * most >= percent * (x.low + y.low)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+class Block:
+    """Sets of one block, or of two that are compared: links inside, or between the two."""
 
+    def __init__(self, sets: list[np.ndarray], weights: list[int], percent: int = PERCENT) -> None:
+        self.sets, self.percent, self.weights = sets, percent, np.array(weights, dtype=np.int64)
+        self.sizes = np.array(list(map(len, sets)), dtype=np.int64)
+        values, self.flat = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, np.int64))
+        self.starts = np.cumsum([0, *self.sizes])
+        self.mark = np.zeros(len(values), dtype=bool)
+        self.root = list(range(len(sets)))
+        self.links = np.zeros(len(sets), dtype=np.int64)  # by weight
+        self.edges: list[tuple[int, int]] = []
 
-def forest(sets: list[np.ndarray], left: list[int], right: list[int] | None) -> list[tuple[int, int]]:
-    """Links that join up all sets of a block (or of two blocks) that links join up."""
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    one = signature_tree(sets, left)
-    two = one if right is None else signature_tree(sets, right)
-    found = []
-    stack = [(one, two)] if one and two else []
-    while stack:
-        x, y = stack.pop()
-        if not may_link(x, y):
-            continue
-        roots = {find(i) for i in x.members}
-        if len(roots) == 1 and all(find(i) in roots for i in y.members):
-            continue
-        if not x.kids and not y.kids:
+    def survivors(self, left: list[int], right: list[int] | None) -> dict[int, list[Node]]:
+        """For each leaf of the left tree (by its first member) the right leaves that may hold a link to it."""
+        one = signature_tree(self.sets, left)
+        two = one if right is None else signature_tree(self.sets, right)
+        out: dict[int, list[Node]] = {}
+        self.leaves: dict[int, Node] = {}
+        stack = [(one, two)] if one and two else []
+        while stack:
+            x, y = stack.pop()
+            if not may_link(x, y, self.percent):
+                continue
+            if not x.kids and not y.kids:
+                self.leaves[x.members[0]] = x
+                out.setdefault(x.members[0], []).append(y)
+            elif x is y:
+                stack += [(a, b) for k, a in enumerate(x.kids) for b in x.kids[k:]]
+            elif x.kids and (not y.kids or len(x.members) >= len(y.members)):
+                stack += [(a, y) for a in x.kids]
+            else:
+                stack += [(x, b) for b in y.kids]
+        return out
+
+    def compare(self, left: list[int], right: list[int] | None, count: bool) -> None:
+        """Tests the pairs of surviving leaves; ``count`` is off: only those that are not linked up already."""
+        for first, leaves in self.survivors(left, right).items():
+            x = self.leaves[first]
             for k, i in enumerate(x.members):
-                for j in x.members[k + 1 :] if x is y else y.members:
-                    if find(i) != find(j) and linked(sets[i], sets[j]):
-                        root[find(i)] = find(j)
-                        found.append((i, j))
-        elif x is y:
-            stack += [(a, b) for k, a in enumerate(x.kids) for b in x.kids[k:]]
-        elif x.kids and (not y.kids or len(x.members) >= len(y.members)):
-            stack += [(a, y) for a in x.kids]
-        else:
-            stack += [(x, b) for b in y.kids]
-    return found
-
-
-def block_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each (cluster, i, j): of one block if i = j, else between two. Rows are sorted by these three."""
-
-    def links(key: tuple, rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
-        nodes = [r[0] for r in rows]
-        sets = [np.frombuffer(r[2], dtype=np.uint64) for r in rows]
-        left = [k for k, r in enumerate(rows) if r[1] == key[1]]
-        right = None if key[1] == key[2] else [k for k, r in enumerate(rows) if r[1] == key[2]]
-        return [(nodes[i], nodes[j]) for i, j in forest(sets, left, right)]
-
-    key, rows, out = None, [], []
-    for batch in batches:
-        for cluster, i, j, node, block, tokens in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-            if key != (cluster, i, j):
-                if rows:
-                    out += links(key, rows)
-                key, rows = (cluster, i, j), []
-                if len(out) > 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
-                    out = []
-            rows.append((node, block, tokens))
-    if rows:
-        out += links(key, rows)
-    yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+                others = np.array([j for y in leaves for j in (x.members[k + 1 :] if y is x else y.members)], dtype=np.int64)
+                if not count and len(others):
+                    root = self.find(i)
+                    others = others[[self.find(j) != root for j in others.tolist()]]
+                most, least = np.maximum(self.sizes[others], self.sizes[i]), np.minimum(self.sizes[others], self.sizes[i])
+                others = others[100 * least >= self.percent * most]
+                if not len(others):
+                    continue
+                mine = self.flat[self.starts[i] : self.starts[i + 1]]
+                self.mark[mine] = True
+                for at in range(0, len(others), 1024):  # bounds what is gathered at once
+                    some = others[at : at + 1024]
+                    sizes = self.sizes[some]
+                    offsets = np.cumsum(sizes) - sizes
+                    tokens = np.arange(int(sizes.sum())) + np.repeat(self.starts[some] - offsets, sizes)
+                    common = np.add.reduceat(self.mark[self.flat[tokens]].astype(np.int64), offsets)
+                    hit = some[100 * common >= self.percent * (self.sizes[i] + sizes - common)]
+                    self.links[i] += self.weights[hit].sum()
+                    self.links[hit] += self.weights[i]
+                    for j in hit.tolist():
+                        a, b = self.find(i), self.find(j)
+                        if a != b:
+                            self.root[a] = b
+                            self.edges.append((i, j))
+                self.mark[mine] = False
+
+
+LINKS = "u long, v long, links long"
+
+
+def block_links(percent: int, count: bool):  # noqa: ANN201
+    """An Arrow job over rows (cluster, i, j, node, block, weight, tokens), sorted by the first three.
+
+    Of each (cluster, i, j), one block if i = j, else two: (u, v) of a spanning forest of its links, and (u, links):
+    the documents that a class links to in it.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+
+        def close() -> None:
+            block = Block([np.frombuffer(r[3], dtype=np.uint64) for r in rows], [r[2] for r in rows], percent)
+            left = [k for k, r in enumerate(rows) if r[1] == key[1]]
+            block.compare(left, None if key[1] == key[2] else [k for k, r in enumerate(rows) if r[1] == key[2]], count)
+            out.extend((rows[i][0], rows[j][0], None) for i, j in block.edges)
+            out.extend((r[0], None, n) for r, n in zip(rows, block.links.tolist(), strict=True) if n and count)
+            rows.clear()
+
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in range(3)], names=["u", "v", "links"])
+        for batch in batches:
+            for cluster, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if key != (cluster, i, j):
+                    if rows:
+                        close()
+                    key = (cluster, i, j)
+                    if len(out) > 4096:
+                        yield flush()
+                        out.clear()
+                rows.append(row)
+        if rows:
+            close()
+        yield flush()
+
+    return run
 
 
 # --- the join ----------------------------------------------------------------------------------
 
 
-def candidate_edges(sized: DataFrame, classes: DataFrame) -> DataFrame:
-    """(u, v): a class and the smallest class with which it shares a part signature."""
-    rows = sized.where(F.size("signatures") > 0).join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "f1", "f2"), ["doc_id", "n_shingles", "f1", "f2"], "left_semi")
-    parts = rows.select(F.explode("signatures").alias("s"), "doc_id")
-    from pyspark.sql import Window
+def document_sizes(gram: int, percent: int):  # noqa: ANN201
+    """An Arrow job over (doc_id, text_hash, text): size, fingerprint and part signatures of each text's set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, parts = Shingles(gram), Parts(percent)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                n, nodes, signatures = [], [], []
+                for text in part.column(2).to_pylist():
+                    tokens = make.of(text)
+                    n.append(len(tokens))
+                    nodes.append(fingerprint(tokens) if len(tokens) else None)
+                    signatures.append(parts.signatures(tokens))
+                offsets = np.cumsum([0, *map(len, signatures)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signatures)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "text_hash", "n_shingles", "node", "signatures"])
 
-    low = F.min("doc_id").over(Window.partitionBy("s"))
-    return parts.select("doc_id", low.alias("m")).where("doc_id <> m").select(F.col("doc_id").alias("u"), F.col("m").alias("v")).distinct()
+    return run
 
 
-def links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(u, v): a spanning forest of the links inside ``clusters(node, component)``."""
+def candidate_edges(parts: DataFrame) -> DataFrame:
+    """(u, v): a class and the smallest class with which it shares a part signature, of ``parts(s, node)``.
+
+    The smallest is found by a group-by with partial sums; the join back is an equi-join that Spark may split.
+    """
+    low = parts.groupBy("s").agg(F.min("node").alias("m"), F.max("node").alias("_high")).where("m <> _high").drop("_high")
+    return parts.join(low, "s").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def class_sets(docs: DataFrame, clusters: DataFrame, gram: int) -> DataFrame:
+    """(cluster, node, n, weight, tokens): the set of every class of ``clusters``, from one row of each class.
+
+    Rows are found by ``key``, their doc_id, or the text's hash for those that have none, of which a text has one.
+    """
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles()
+        make = Shingles(gram)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [make.of(t) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "node", "n", "tokens"])
+                sets = [make.of(t) for t in part.column(3).to_pylist()]
+                # A doc_id may have several texts: only that of the class stays.
+                keep = pa.array([len(s) > 0 and fingerprint(s) == node for s, node in zip(sets, part.column(1).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "node", "weight", "tokens"]).filter(keep)
+
+    known = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
+    unknown = docs.where("doc_id is null").groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))
+    rows = known.union(unknown).join(clusters.select("key", "node", "cluster", "weight"), "key")
+    return rows.select("cluster", "node", "weight", "text").mapInArrow(tokens, "cluster long, node long, weight long, tokens binary").dropDuplicates(["node"])
+
 
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(clusters.select("node", F.col("component").alias("cluster")), "node").dropDuplicates(["node"])
-    sets = rows.select("cluster", "node", "text").mapInArrow(tokens, "cluster long, node long, n long, tokens binary")
+def links(sets: DataFrame, clusters: DataFrame, percent: int, count: bool) -> DataFrame:
+    """(u, v, links) of :func:`block_links` over ``sets``; ``clusters(cluster, n_shingles)`` tells their sizes."""
     spread = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_TOKENS)).cast("int")
-    blocks = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).select("cluster", spread.alias("blocks"))
-    placed = sets.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = clusters.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).select("cluster", spread.alias("blocks"))
+    many = blocks.where("blocks > 1")  # few: a cluster of that size is more than a block
+    placed = sets.join(many, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.select("cluster", "node", "block", "tokens", other.alias("o")).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "block", "tokens")
-    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(block_links, "u long, v long")
+    dealt = placed.select("cluster", "node", "block", "weight", "tokens", other.alias("o")).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "block", "weight", "tokens")
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(block_links(percent, count), LINKS)
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``."""
-    sized = cut_lineage(docs.select("doc_id", "text").mapInArrow(document_sizes, SIZES))
-    key = ["n_shingles", "f1", "f2"]
-    classes = cut_lineage(sized.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    clusters = connected_components(candidate_edges(sized, classes))
-    clusters = cut_lineage(clusters.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node"))
-    found = connected_components(links(docs, clusters))
-    named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    own = sized.select("doc_id", *key).join(named, key, "left")
-    return own.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, text_hash, component) of ``docs(doc_id, text)``, a row per row.
+
+    ``n_links``: to how many other documents a document links; null without ``count_links``. ``component`` names the
+    component by a hash (null for blank texts), where ``component_id`` names it by its smallest doc_id.
+    """
+    if not 50 <= percent < 100:
+        raise ValueError("percent is at least 50 and below 100")
+    docs = docs.select("doc_id", "text")
+    sized = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(document_sizes(gram, percent), SIZES))
+    own = F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", "text_hash").alias("key"))
+    classes = cut_lineage(sized.where("node is not null").groupBy("node").agg(F.min(own).alias("own"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles")))
+    first = sized.where(F.size("signatures") > 0).join(classes.select("node", F.col("own.key").alias("_key")), "node").where(F.coalesce("doc_id", "text_hash") == F.col("_key"))
+    parts = first.select(F.explode("signatures").alias("s"), "node")
+    found = connected_components(candidate_edges(parts))
+    clusters = cut_lineage(found.select("node", F.col("component").alias("cluster")).join(classes.select("node", F.col("own.key").alias("key"), "weight", "n_shingles"), "node"))
+    out = cut_lineage(links(class_sets(docs, clusters, gram), clusters, percent, count_links))
+    joined = connected_components(out.where("v is not null").select("u", "v"))
+    others = out.where("links is not null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("others"))
+    named = classes.select("node", "least", "weight").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(smallest, "component").join(others, "node", "left")
+    n_links = (F.coalesce("others", F.lit(0)) + F.col("weight") - 1) if count_links else F.lit(None).cast("long")
+    named = named.select("node", "component", "component_id", n_links.alias("n_links"))
+    rows = sized.select("doc_id", "n_shingles", "node", "text_hash").join(named, "node", "left")
+    blank = F.col("node").isNull()
+    zero = F.lit(0 if count_links else None).cast("long")
+    return rows.select("doc_id", "n_shingles", F.when(blank, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(blank, zero).otherwise(F.col("n_links")).alias("n_links"), "text_hash", "component")
 
 
 def op9_ngram_jaccard(docs: DataFrame) -> DataFrame:
-    return jaccard_components(docs)
+    return jaccard_components(docs).drop("text_hash", "component")
 
 
 def oracle() -> str:
@@ -332,5 +419,6 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, k.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1) k USING (doc_id)"""
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other),
+k AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1), m AS (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, k.component_id, CAST(coalesce(m.n_links, 0) AS BIGINT) AS n_links FROM documents d LEFT JOIN n USING (doc_id) JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)"""

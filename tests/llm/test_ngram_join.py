@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from lexiforge.llm import ngram_join as N
 
 
-def grams(text):
+def grams(text, gram=3):
     w = (text or "").encode().lower().split()
-    return set() if not w else ({tuple(w)} if len(w) < 3 else {tuple(w[i : i + 3]) for i in range(len(w) - 2)})
+    return set() if not w else ({tuple(w)} if len(w) < gram else {tuple(w[i : i + gram]) for i in range(len(w) - gram + 1)})
 
 
-def brute_force(rows):
-    """(doc_id, set size, smallest doc_id reachable), all pairs that share a 3-gram."""
-    sets, root, holders = [grams(t) for _, t in rows], list(range(len(rows))), {}
+def brute_force(rows, gram=3, percent=90):
+    """(doc_id, set size, smallest doc_id reachable, links), all pairs that share a word n-gram."""
+    sets, root, holders, n_links = [grams(t, gram) for _, t in rows], list(range(len(rows))), {}, Counter()
 
     def find(i):
         while root[i] != i:
@@ -26,20 +26,26 @@ def brute_force(rows):
     for i, s in enumerate(sets):
         shared = Counter(j for g in s for j in holders.get(g, ()))
         for j, n in shared.items():
-            if 100 * n >= 90 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 root[max(find(i), find(j))] = min(find(i), find(j))
+                n_links.update((i, j))
         for g in s:
             holders.setdefault(g, []).append(i)
     least = {}
     for i, (d, _) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), d), d)
-    return sorted((d, len(s), least[find(i)] if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return ordered((d, len(s), least.get(find(i)) if s else d, n_links[i]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+def ordered(rows):
+    return sorted(map(tuple, rows), key=repr)
 
 
 def test_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    assert sorted(map(tuple, N.op9_ngram_jaccard(docs).collect())) == brute_force(rows)
+    assert ordered(N.op9_ngram_jaccard(docs).collect()) == brute_force(rows)
 
 
 def test_near_copies_near_the_threshold_and_edge_cases(spark):
@@ -58,7 +64,7 @@ def test_near_copies_near_the_threshold_and_edge_cases(spark):
         next_id += 1
     rows.append(rows[3])
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("clash")).repartition(5)
-    assert sorted(map(tuple, N.op9_ngram_jaccard(docs).collect())) == brute_force(rows)
+    assert ordered(N.op9_ngram_jaccard(docs).collect()) == brute_force(rows)
     assert N.op9_ngram_jaccard(docs.limit(0)).count() == 0
 
 
@@ -72,22 +78,46 @@ def test_large_clusters_in_several_blocks(spark, monkeypatch):
         words[rng.randrange(120)] = f"x{i}"
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, N.op9_ngram_jaccard(docs).collect())) == brute_force(rows)
+    assert ordered(N.op9_ngram_jaccard(docs).collect()) == brute_force(rows)
+
+
+def test_five_words_and_eighty_percent_without_counting(spark):
+    rng = random.Random(16)
+    rows = []
+    for size in (5, 8, 9, 14, 30, 60, 200, 900):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for _ in range(14):
+            words = list(base)
+            for _ in range(rng.randrange(0, max(2, size // 40) + 1)):
+                words[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words[: size - rng.randrange(0, size // 8 + 1)])))
+    found = N.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, count_links=False)
+    assert ordered(r[:3] for r in found.select("doc_id", "n_shingles", "component_id").collect()) == ordered(r[:3] for r in brute_force(rows, 5, 80))
+
+
+def test_repeated_and_null_ids_do_not_depend_on_partitions(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"{p}{rng.randrange(10**6)}" for _ in range(80)) for p in "abc")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (None, c), (9, c + " z"), (None, "alone here now"), (None, "Alone here now"), (None, None), (7, a), (7, c)]
+    for parts in (1, 3, 5):
+        assert ordered(N.op9_ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()) == brute_force(rows)
 
 
 def test_signatures_and_bounds_lose_no_link():
     rng = np.random.default_rng(0)
-    linked = 0
-    for _ in range(1500):
-        a = np.unique(rng.integers(0, 2**63, int(rng.integers(9, 400)), dtype=np.uint64))
-        d = int(len(a) / 9 * rng.random() * 1.2)
-        k = int(rng.integers(0, d + 1))
-        b = np.unique(np.concatenate([a[rng.permutation(len(a))[k:]], rng.integers(0, 2**63, d - k, dtype=np.uint64)]))
-        if N.linked(a, b):
-            linked += 1
-            assert set(N.part_signatures(a).tolist()) & set(N.part_signatures(b).tolist())
-            assert N.may_link(N.signature_tree([a], [0]), N.signature_tree([b], [0]))
-    assert linked > 1000
+    for percent in (90, 80):
+        parts, linked, room = N.Parts(percent), 0, percent / (100 - percent)
+        for _ in range(1500):
+            a = np.unique(rng.integers(0, 2**63, int(rng.integers(4, 400)), dtype=np.uint64))
+            d = int(len(a) / room * rng.random() * 1.2)
+            k = int(rng.integers(0, d + 1))
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[k:]], rng.integers(0, 2**63, d - k, dtype=np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= percent * (len(a) + len(b) - common) and N.fingerprint(a) != N.fingerprint(b):
+                linked += 1
+                assert set(parts.signatures(a).tolist()) & set(parts.signatures(b).tolist())
+                assert N.may_link(N.signature_tree([a], [0]), N.signature_tree([b], [0]), percent)
+        assert linked > 800
 
 
 def test_pipeline(spark, sf):
@@ -100,9 +130,12 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in kept.collect()} == verdict and kept.columns == P.COLUMNS
     unique = P.drop_near_duplicates(spark, kept, sf)
     rows = [(r.doc_id, r.text) for r in kept.collect()]
-    assert sorted(r.doc_id for r in unique.collect()) == [d for d, _, c in brute_force(rows) if d == c]
+    assert sorted(r.doc_id for r in unique.collect()) == sorted(d for d, _, c, _ in brute_force(rows, 5, 80) if d == c)
     mixed = P.mix_sources(spark, unique, sf)
     want = {r.doc_id: r.copies for r in mixing.op5_mixing(unique).where("copies > 0").collect()}
     assert Counter(r.doc_id for r in mixed.collect()) == want and mixed.columns == P.COLUMNS
+    odd = kept.limit(20).union(kept.limit(20)).union(kept.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("text_hash", F.lit("clash"))
+    assert P.drop_near_duplicates(spark, odd, sf).count() == P.drop_near_duplicates(spark, kept.limit(20), sf).count()
+    assert P.drop_near_duplicates(spark, kept.limit(0), sf).count() == 0
     last = P.run(spark, sf)
     assert last.count() > 0 and last.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
