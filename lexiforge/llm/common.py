@@ -29,19 +29,19 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Where it is unset, a local session (as in
+    tests) gets a temporary one; on a cluster that would lose data, so it is an error there."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiforge-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiforge-"))
     return context.getCheckpointDir().rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Every executor shares that folder, so a lost executor costs a re-read only. Where the setting
-    is absent (tests on one machine) a temporary folder stands in.
-    """
+    """Materialises ``df`` in the shared folder, so a lost executor costs a re-read only."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 

@@ -13,10 +13,12 @@
 4. Inside a shard rows are shuffled by hash. ``op5_mixing`` deals the mix in this way and reports, for every
    document, the shard and the turn of each of its copies.
 
-What reaches the driver is a few numbers per source. Documents meet small per-source tables in equi-joins.
+What reaches the driver is a few numbers per source. Documents meet per-source tables in equi-joins; these tables are
+broadcast up to ``MAX_BROADCAST_SOURCES`` sources and shuffled beyond.
 
 Defined cases: a null source is a source of its own, last in order; null or blank texts have size 0 and are taken
-once per whole pass; rows with the same id, source and size are taken together; an empty table gives no rows.
+once per whole pass; rows with the same id, source and size are taken together; an empty table gives no rows; of the
+input of ``op5_mixing`` only doc_id, source and text are read; ``mix`` replaces columns named copy, shard or turn.
 """
 
 from __future__ import annotations
@@ -39,6 +41,12 @@ MIN_SHARDS = 16
 SEED = 17
 BIN_BITS = (10, 10, 10, 10, 12)
 HASH_BITS = 52
+MAX_BROADCAST_SOURCES = 10_000
+
+
+def small(table: DataFrame, sources: int) -> DataFrame:
+    """A table of a row per source, to be broadcast if there are few."""
+    return F.broadcast(table) if sources <= MAX_BROADCAST_SOURCES else table
 
 
 def word_count(text: Column) -> Column:
@@ -111,7 +119,7 @@ def draw_quotas(docs: DataFrame, seed: int = SEED) -> list[Quota]:
                 break
             state = spark.createDataFrame([(quotas[i].source, v, quotas[i].missing, short[i]) for i, v in low.items()], "_s string, _low long, _most long, _m long")
             inside = (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_low") + (1 << (width + bits))) & (F.col("_n") <= F.col("_most"))
-            found = units.join(F.broadcast(state), F.col("source").eqNullSafe(F.col("_s"))).where(inside)  # a row per source
+            found = units.join(small(state, len(low)), F.col("source").eqNullSafe(F.col("_s"))).where(inside)
             bins = found.groupBy("source", "_m", F.shiftright(F.col("_u") - F.col("_low"), width).alias("_bin")).agg(F.sum("_n").alias("_n"), F.min("_u").alias("_first"), F.max("_u").alias("_end"))
             ends = bins.withColumn("_sum", F.sum("_n").over(Window.partitionBy("source").orderBy("_bin")))  # at most 2^bits rows a source
             stop = F.min(F.when(F.col("_sum") > F.col("_m"), F.struct("_bin", (F.col("_sum") - F.col("_n")).alias("_before"), "_first", "_end"))).alias("_stop")
@@ -149,7 +157,7 @@ def with_copies(docs: DataFrame, quotas: list[Quota], seed: int = SEED) -> DataF
         many = docs.groupBy(F.col("source").alias("_rs"), u.alias("_ru")).agg(F.sum("size").alias("_unit"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
         docs = docs.join(many, F.col("source").eqNullSafe(F.col("_rs")) & (u == F.col("_ru")), "left").drop("_rs", "_ru")
         unit = F.coalesce("_unit", "size")
-    joined = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s")))  # a row per source
+    joined = docs.join(small(table, len(quotas)), F.col("source").eqNullSafe(F.col("_s")))
     more = (F.col("size") > 0) & F.exists("_runs", lambda r: (u >= r["low"]) & (u < r["high"]) & (unit <= r["most"]))
     return joined.withColumn("copies", F.col("_passes") + more.cast("int")).drop("_s", "_passes", "_runs", "_unit")
 
@@ -214,14 +222,23 @@ def mix(docs: DataFrame, quotas: list[Quota], seed: int = SEED, n_blocks: int =
 
     dealt = spark.range(shards).mapInPandas(walk, "_source int, _turn int, shard long")
     # Which (pass, block) of a source has which turn: passes come one after the other, blocks permuted in each.
-    passes = [(i, p, n_blocks) for i, q in enumerate(quotas) for p in range(q.passes)] + [(i, q.passes, n) for i, (q, n) in enumerate(zip(quotas, last, strict=True)) if n]
-    turns = [(i, p, b, p * n_blocks + permuted(b, n, zlib.crc32(f"{seed}:{i}:{p}".encode()))) for i, p, n in passes for b in range(n)]
-    turned = spark.createDataFrame(turns, "_source int, copy int, _block int, _turn int")
+    passes = [(i, p, n_blocks, zlib.crc32(f"{seed}:{i}:{p}".encode())) for i, q in enumerate(quotas) for p in range(q.passes)]
+    passes += [(i, q.passes, n, zlib.crc32(f"{seed}:{i}:{q.passes}".encode())) for i, (q, n) in enumerate(zip(quotas, last, strict=True)) if n]
+
+    def turns(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in batches:
+            rows = [(i, p, b, p * n_blocks + permuted(b, n, s)) for i, p, n, s in frame.itertuples(index=False) for b in range(n)]
+            yield pd.DataFrame(rows, columns=["_source", "copy", "_block", "_turn"])
+
+    turned = spark.createDataFrame(passes, "_source int, copy int, n int, seed long").mapInPandas(turns, "_source int, copy int, _block int, _turn int")
     table = turned.join(dealt, ["_source", "_turn"]).drop("_turn")
     order = spark.createDataFrame([(q.source, i, q.passes, max(1, n)) for i, (q, n) in enumerate(zip(quotas, last, strict=True))], "_s string, _source int, _passes int, _last int")
     block, again = F.shiftright(place(seed), width), F.pmod(F.xxhash64(place(seed)), F.col("_last"))  # runs have gaps, so the last pass is dealt anew
+    docs = docs.drop("copy", "shard", "turn")
     taken = with_copies(docs, quotas, seed).where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    taken = taken.join(F.broadcast(order), F.col("source").eqNullSafe(F.col("_s"))).withColumn("_block", F.when(F.col("copy") == F.col("_passes"), again).otherwise(block).cast("int")).drop("_s", "_passes", "_last")
+    taken = taken.join(small(order, len(quotas)), F.col("source").eqNullSafe(F.col("_s"))).withColumn("_block", F.when(F.col("copy") == F.col("_passes"), again).otherwise(block).cast("int")).drop("_s", "_passes", "_last")
     out = taken.join(table, ["_source", "copy", "_block"]).drop("_source", "_block")
     return out.withColumn("turn", F.xxhash64(F.lit(seed), "shard", "copy", "doc_id")).repartitionByRange("shard", "turn").sortWithinPartitions("shard", "turn")
 
@@ -243,7 +260,7 @@ def op5_mixing(docs: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c in key:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    out = light.join(dealt, same, "left").join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_s")))  # a row per source
+    out = light.join(dealt, same, "left").join(small(per_source, len(quotas)), F.col("source").eqNullSafe(F.col("_s")))
     got = F.coalesce("_dealt", F.array().cast("array<struct<copy:int,shard:bigint,turn:bigint>>"))
     copies = F.size(got)
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", got["shard"].alias("shard"), got["turn"].alias("turn"))

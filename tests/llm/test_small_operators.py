@@ -319,6 +319,16 @@ def test_op5_deals_its_copies_to_several_shards(spark):
     assert sorted(per_shard) == list(range(mixing.MIN_SHARDS)) and max(per_shard.values()) < 2 * min(per_shard.values())
 
 
+def test_many_sources_are_joined_without_broadcasts(spark, monkeypatch):
+    rows = [(i, f"s{i % 40}" if i % 40 else None, (i * 7) % 50, "clash", "clash") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long, copy string, shard string")
+    quotas = mixing.draw_quotas(docs)
+    want = sorted(map(tuple, mixing.mix(docs, quotas).collect()))
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 3)
+    assert [q.runs for q in mixing.draw_quotas(docs)] == [q.runs for q in quotas]
+    assert sorted(map(tuple, mixing.mix(docs, quotas).collect())) == want
+
+
 def test_last_pass_goes_on_behind_documents_that_do_not_fit(spark):
     u = mixing.place() / F.lit(1 << mixing.HASH_BITS)
     at = spark.range(10_000, 11_000).select(F.col("id").alias("doc_id"), F.lit(60_000).cast("long").alias("size"))
