@@ -41,7 +41,7 @@ BLOCK_TOKENS = 2_000_000
 FEW_PARTS = 12
 CACHED_WORDS = 1_000_000
 
-SIZES = "doc_id long, text_hash long, n_shingles long, node long, signatures array<long>"
+SIZES = "doc_id long, text_hash long, n_shingles long, node long, signatures array<long>, near array<long>"
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -272,35 +272,41 @@ class Block:
 LINKS = "u long, v long, links long"
 
 
-def block_links(percent: int, count: bool):  # noqa: ANN201
-    """An Arrow job over rows (cluster, i, j, node, block, weight, tokens), sorted by the first three.
+def block_links(gram: int, percent: int, count: bool):  # noqa: ANN201
+    """An Arrow job over rows (cluster, i, j, node, block, weight, text), sorted by the first three.
 
     Of each (cluster, i, j), one block if i = j, else two: (u, v) of a spanning forest of its links, and (u, links):
-    the documents that a class links to in it.
+    the documents that a class links to in it. Texts that are not of their class (a doc_id may have several) are left
+    out, and so are repeats.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        key, rows, out, make = None, {}, [], Shingles(gram)  # rows: node -> (block, weight, set)
 
         def close() -> None:
-            block = Block([np.frombuffer(r[3], dtype=np.uint64) for r in rows], [r[2] for r in rows], percent)
-            left = [k for k, r in enumerate(rows) if r[1] == key[1]]
-            block.compare(left, None if key[1] == key[2] else [k for k, r in enumerate(rows) if r[1] == key[2]], count)
-            out.extend((rows[i][0], rows[j][0], None) for i, j in block.edges)
-            out.extend((r[0], None, n) for r, n in zip(rows, block.links.tolist(), strict=True) if n and count)
+            nodes, found = list(rows), list(rows.values())
+            block = Block([r[2] for r in found], [r[1] for r in found], percent)
+            left = [k for k, r in enumerate(found) if r[0] == key[1]]
+            block.compare(left, None if key[1] == key[2] else [k for k, r in enumerate(found) if r[0] == key[2]], count)
+            out.extend((nodes[i], nodes[j], None) for i, j in block.edges)
+            out.extend((node, None, n) for node, n in zip(nodes, block.links.tolist(), strict=True) if n and count)
             rows.clear()
 
         flush = lambda: pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in range(3)], names=["u", "v", "links"])
         for batch in batches:
-            for cluster, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
-                if key != (cluster, i, j):
-                    if rows:
-                        close()
-                    key = (cluster, i, j)
-                    if len(out) > 4096:
-                        yield flush()
-                        out.clear()
-                rows.append(row)
+            for at in range(0, batch.num_rows, 256):
+                for cluster, i, j, node, block, weight, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if key != (cluster, i, j):
+                        if rows:
+                            close()
+                        key = (cluster, i, j)
+                        if len(out) > 4096:
+                            yield flush()
+                            out.clear()
+                    if node not in rows:
+                        tokens = make.of(text)
+                        if len(tokens) and fingerprint(tokens) == node:
+                            rows[node] = (block, weight, tokens)
         if rows:
             close()
         yield flush()
@@ -312,66 +318,66 @@ def block_links(percent: int, count: bool):  # noqa: ANN201
 
 
 def document_sizes(gram: int, percent: int):  # noqa: ANN201
-    """An Arrow job over (doc_id, text_hash, text): size, fingerprint and part signatures of each text's set."""
+    """An Arrow job over (doc_id, text_hash, text): size, fingerprint and part signatures of each text's set.
+
+    Of the rows of a batch that share a signature the first lists it and the others name its set in ``near``, so
+    however many rows share a signature, few of them are sent on.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, parts = Shingles(gram), Parts(percent)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                n, nodes, signatures = [], [], []
-                for text in part.column(2).to_pylist():
+            n, nodes, signatures = [], [], []
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column(2).slice(at, 256).to_pylist():
                     tokens = make.of(text)
                     n.append(len(tokens))
                     nodes.append(fingerprint(tokens) if len(tokens) else None)
                     signatures.append(parts.signatures(tokens))
-                offsets = np.cumsum([0, *map(len, signatures)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signatures)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "text_hash", "n_shingles", "node", "signatures"])
+            if not n:
+                continue
+            flat, owner = np.concatenate(signatures), np.repeat(np.arange(len(n)), list(map(len, signatures)))
+            values, first, back = np.unique(flat, return_index=True, return_inverse=True)
+            ids = np.array([0 if x is None else x for x in nodes], dtype=np.int64)
+            at = np.sort(first)
+            others = ids[owner] != ids[owner[first][back]]
+            pairs = np.unique(np.stack([owner[others], owner[first][back][others]]), axis=1)
+
+            def lists(values: np.ndarray, of: np.ndarray) -> pa.ListArray:
+                offsets = np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)  # noqa: B023
+                return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists(flat[at], owner[at]), lists(ids[pairs[1]], pairs[0])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "node", "signatures", "near"])
 
     return run
 
 
-def candidate_edges(parts: DataFrame) -> DataFrame:
-    """(u, v): a class and the smallest class with which it shares a part signature, of ``parts(s, node)``.
+def candidate_edges(sized: DataFrame) -> DataFrame:
+    """(u, v) such that classes which share a part signature are joined up, of ``sized(node, signatures, near)``.
 
-    The smallest is found by a group-by with partial sums; the join back is an equi-join that Spark may split.
+    Signatures are shuffled once, for the smallest class of each and for the join with it.
     """
+    parts = sized.select(F.explode("signatures").alias("s"), "node").where("s is not null and node is not null").repartition("s")
     low = parts.groupBy("s").agg(F.min("node").alias("m"), F.max("node").alias("_high")).where("m <> _high").drop("_high")
-    return parts.join(low, "s").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v")).distinct()
+    far = parts.join(low, "s").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
+    return far.union(sized.select(F.col("node").alias("u"), F.explode("near").alias("v"))).distinct()
 
 
-def class_sets(docs: DataFrame, clusters: DataFrame, gram: int) -> DataFrame:
-    """(cluster, node, n, weight, tokens): the set of every class of ``clusters``, from one row of each class.
+def links(docs: DataFrame, clusters: DataFrame, gram: int, percent: int, count: bool) -> DataFrame:
+    """(u, v, links) of :func:`block_links` over ``clusters(cluster, node, key, weight, n_shingles)``.
 
-    Rows are found by ``key``, their doc_id, or the text's hash for those that have none, of which a text has one.
+    A class's text is found by ``key``: a doc_id, or the text's hash for rows without one, of which a text keeps one.
     """
-
-    def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles(gram)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [make.of(t) for t in part.column(3).to_pylist()]
-                # A doc_id may have several texts: only that of the class stays.
-                keep = pa.array([len(s) > 0 and fingerprint(s) == node for s, node in zip(sets, part.column(1).to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "node", "weight", "tokens"]).filter(keep)
-
-    known = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
-    unknown = docs.where("doc_id is null").groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))
-    rows = known.union(unknown).join(clusters.select("key", "node", "cluster", "weight"), "key")
-    return rows.select("cluster", "node", "weight", "text").mapInArrow(tokens, "cluster long, node long, weight long, tokens binary").dropDuplicates(["node"])
-
-
-def links(sets: DataFrame, clusters: DataFrame, percent: int, count: bool) -> DataFrame:
-    """(u, v, links) of :func:`block_links` over ``sets``; ``clusters(cluster, n_shingles)`` tells their sizes."""
     spread = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_TOKENS)).cast("int")
     blocks = clusters.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).select("cluster", spread.alias("blocks"))
-    many = blocks.where("blocks > 1")  # few: a cluster of that size is more than a block
-    placed = sets.join(many, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = clusters.join(blocks.where("blocks > 1"), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    known = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
+    unknown = docs.where("doc_id is null").groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))
+    rows = known.union(unknown).join(placed.select("key", "node", "cluster", "weight", "block", "blocks"), "key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.select("cluster", "node", "block", "weight", "tokens", other.alias("o")).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "block", "weight", "tokens")
-    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(block_links(percent, count), LINKS)
+    dealt = rows.select("cluster", "node", "block", "weight", "text", other.alias("o")).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "block", "weight", "text")
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(block_links(gram, percent, count), LINKS)
 
 
 def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
@@ -385,12 +391,11 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     docs = docs.select("doc_id", "text")
     sized = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(document_sizes(gram, percent), SIZES))
     own = F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", "text_hash").alias("key"))
-    classes = cut_lineage(sized.where("node is not null").groupBy("node").agg(F.min(own).alias("own"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles")))
-    first = sized.where(F.size("signatures") > 0).join(classes.select("node", F.col("own.key").alias("_key")), "node").where(F.coalesce("doc_id", "text_hash") == F.col("_key"))
-    parts = first.select(F.explode("signatures").alias("s"), "node")
-    found = connected_components(candidate_edges(parts))
+    per_class = sized.where("node is not null").groupBy("node")
+    classes = cut_lineage(per_class.agg(F.min(own).alias("own"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles")))
+    found = connected_components(candidate_edges(sized))
     clusters = cut_lineage(found.select("node", F.col("component").alias("cluster")).join(classes.select("node", F.col("own.key").alias("key"), "weight", "n_shingles"), "node"))
-    out = cut_lineage(links(class_sets(docs, clusters, gram), clusters, percent, count_links))
+    out = cut_lineage(links(docs, clusters, gram, percent, count_links))
     joined = connected_components(out.where("v is not null").select("u", "v"))
     others = out.where("links is not null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("others"))
     named = classes.select("node", "least", "weight").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
