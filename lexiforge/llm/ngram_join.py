@@ -5,6 +5,7 @@
 2. Dealing to tasks. Sets that link differ in at most a known number of n-grams, so if the n-grams are dealt into one
    more part than that by a hash, some part is equal in both. Each class emits a hash per part (``part_signatures``);
    classes that share one are joined up, and the components of that are clusters. Every link lies in a cluster.
+   Large clusters are split into blocks by ranges of set sizes, of which only neighbouring ones meet.
 3. Signature trees. A cluster's sets, in blocks of bounded size, become the leaves of trees whose nodes hold the
    OR of the members' token bitmaps, their AND, and their size range. Two trees are walked together; a pair of
    nodes is left out when its largest possible overlap cannot reach the threshold. The sets of surviving leaf pairs
@@ -22,6 +23,7 @@ table gives no rows; of the input only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -367,16 +369,26 @@ def candidate_edges(sized: DataFrame) -> DataFrame:
 def links(docs: DataFrame, clusters: DataFrame, gram: int, percent: int, count: bool) -> DataFrame:
     """(u, v, links) of :func:`block_links` over ``clusters(cluster, node, key, weight, n_shingles)``.
 
-    A class's text is found by ``key``: a doc_id, or the text's hash for rows without one, of which a text keeps one.
+    A cluster of more than a block is split by ranges of set sizes and then by hash; only blocks of the same range or of
+    neighbouring ones meet. A class's text is found by ``key``: a doc_id, or the text's hash for rows without one, of which a text keeps one.
     """
-    spread = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_TOKENS)).cast("int")
-    blocks = clusters.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).select("cluster", spread.alias("blocks"))
-    placed = clusters.join(blocks.where("blocks > 1"), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_TOKENS)).cast("int")
+    # Sizes of sets that link are in one range or in neighbouring ones; a little wider, for the logarithm's rounding.
+    span = F.floor(F.log("n_shingles") / (math.log(100 / percent) * 1.0001)).cast("int")
+    large = clusters.groupBy("cluster").agg(blocks.alias("_b")).where("_b > 1").select("cluster")
+    ranges = clusters.join(large, "cluster", "left_semi").groupBy("cluster", span.alias("_r")).agg(blocks.alias("_b"))
+    layout = ranges.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_b"))).alias("_of"))  # some hundred ranges at most
+    block = lambda r, k: r.cast("long") * (1 << 32) + k
+    placed = clusters.withColumn("_r", span).join(layout, "cluster", "left").withColumn("_k", F.pmod(F.xxhash64("node"), F.coalesce(F.try_element_at("_of", F.col("_r")), F.lit(1))))
+    placed = placed.withColumn("block", F.when(F.col("_of").isNull(), F.lit(0).cast("long")).otherwise(block(F.col("_r"), F.col("_k"))))
+    in_range = lambda r: F.when(F.try_element_at("_of", r).isNull(), F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.try_element_at("_of", r) - 1), lambda k: block(r, k)))
+    others = F.concat(*[in_range(F.col("_r") + d) for d in (-1, 0, 1)])
+    pairs = F.transform(F.when(F.col("_of").isNull(), F.array(F.col("block"))).otherwise(others), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    placed = placed.select("key", "node", "cluster", "weight", "block", pairs.alias("pairs"))
     known = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
     unknown = docs.where("doc_id is null").groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))
-    rows = known.union(unknown).join(placed.select("key", "node", "cluster", "weight", "block", "blocks"), "key")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.select("cluster", "node", "block", "weight", "text", other.alias("o")).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "block", "weight", "text")
+    rows = known.union(unknown).join(placed, "key")
+    dealt = rows.select("cluster", "node", "block", "weight", "text", F.explode("pairs").alias("p")).select("cluster", "p.i", "p.j", "node", "block", "weight", "text")
     return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(block_links(gram, percent, count), LINKS)
 
 
