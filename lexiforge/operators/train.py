@@ -22,9 +22,16 @@ TINY = 1e-30
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset a local session (as in tests) gets a temporary folder; on a cluster that is an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiforge-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiforge-"))
     return df.checkpoint()
 
 

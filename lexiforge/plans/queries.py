@@ -69,24 +69,24 @@ def concat_corpora(s, d):
     return both.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query("freq_files", f"WITH {NG} SELECT token, freq FROM ng WHERE freq >= 1000")
+@query("freq_files", f"WITH {NG} SELECT token, freq FROM ng")
 def freq_files(s, d):
     path = scratch(s, "freq")
-    corpus.write_freq(grams(s, d).where("freq >= 1000"), path)
+    corpus.write_freq(grams(s, d), path)
     return corpus.read_freq(s, path)
 
 
-@query("vocab_tsv", f"WITH {VOC} SELECT CAST(row_number() OVER (ORDER BY token) - 1 AS INT) AS pos, token, round(ln(theta), 6) AS score FROM voc WHERE freq >= 1000")
+@query("vocab_tsv", f"WITH {VOC} SELECT CAST(row_number() OVER (ORDER BY token) - 1 AS INT) AS pos, token, round(ln(theta), 6) AS score FROM voc")
 def vocab_tsv(s, d):
     path = scratch(s, "vocab")
-    vocab_files.write_vocab(vocab(s, d).where("freq >= 1000").withColumnRenamed("token_id", "pos"), path)
+    vocab_files.write_vocab(vocab(s, d).withColumnRenamed("token_id", "pos"), path)
     return vocab_files.read_vocab(s, path).withColumn("score", F.round("score", 6))
 
 
-@query("vocab_json", f"WITH {NG} SELECT token, CAST(freq AS DOUBLE) AS score FROM ng WHERE freq >= 1000")
+@query("vocab_json", f"WITH {NG} SELECT token, CAST(freq AS DOUBLE) AS score FROM ng")
 def vocab_json(s, d):
     path = scratch(s, "json")
-    corpus.write_freq(grams(s, d).where("freq >= 1000"), path)
+    corpus.write_freq(grams(s, d), path)
     return vocab_files.read_vocab_json(s, path).select("token", "score")
 
 
