@@ -83,8 +83,13 @@ def effective_max_length(vocab: DataFrame) -> DataFrame:
 
 
 def uniform_hash(*columns: str, seed: int = 0) -> F.Column:
-    """A number in (0, 1) that depends on the columns and the seed only."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) + 1) / F.lit(float((1 << 53) + 2))
+    """A number in (0, 1) that depends on the columns and the seed only: 52 bits of an MD5, which any engine can repeat."""
+    return unit_interval(F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+
+
+def unit_interval(*parts: F.Column) -> F.Column:
+    digits = F.left(F.md5(F.concat_ws(":", *parts)), F.lit(13))
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def normalized(vocab: DataFrame, weight: str | F.Column) -> DataFrame:

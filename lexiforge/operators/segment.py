@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions.arrays import evaluated, let, log_sum_exp, minus_infinity
 from lexiforge.functions.patterns import UNK
 from lexiforge.functions.text import SPACE, normalize_for_model, strip
-from lexiforge.operators.ngrams import to_segments, uniform_hash
+from lexiforge.operators.ngrams import to_segments, uniform_hash, unit_interval
 from lexiforge.operators.lattice import edge_arrays, lattice, with_scores
 
 MAX_FOLD_LENGTH = 200
@@ -167,7 +167,7 @@ def sample_paths(scored: DataFrame, n: int, alpha: float = 1.0, seed: int = 0) -
     rows = evaluated(tempered, _a=forward(F.col("ed"), length)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
     def pick(at: Column) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("seg"), F.col("draw"), at), 11) + 1) / F.lit(float((1 << 53) + 2))
+        u = unit_interval(F.lit(str(seed)), F.col("seg"), F.col("draw").cast("string"), at.cast("string"))
         none = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("l"), F.lit(-1).alias("token_id"))
 
         def add(st: Column, x: Column) -> Column:

@@ -35,9 +35,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_lp(vocab: DataFrame) -> DataFrame:
-    """ln(theta) as ``lp``; null where theta is 0."""
-    return vocab.withColumn("lp", F.when(F.col("theta") > 0, F.log("theta")))
+def with_lp(vocab: DataFrame, ticks: float | None = None) -> DataFrame:
+    """ln(theta) as ``lp``; null where theta is 0.
+
+    With ``ticks`` it is rounded to whole multiples of 1 / ticks and given in them: sums of scores are exact then, so
+    equal paths tie on every machine.
+    """
+    log = F.log("theta") if ticks is None else F.round(F.log("theta") * ticks)
+    return vocab.withColumn("lp", F.when(F.col("theta") > 0, log))
 
 
 def em_counts(arrays: DataFrame, vocab: DataFrame, repeats: str = "sum", normalize: str = "line") -> DataFrame:
@@ -68,9 +73,9 @@ def train_em(segments: DataFrame, vocab: DataFrame, max_iter: int = 2, repeats:
     return vocab
 
 
-def viterbi_counts(arrays: DataFrame, vocab: DataFrame) -> DataFrame:
+def viterbi_counts(arrays: DataFrame, vocab: DataFrame, ticks: float | None = None) -> DataFrame:
     """(token_id, n) on best paths, by weight."""
-    paths = best_paths(with_scores(arrays, with_lp(vocab)))
+    paths = best_paths(with_scores(arrays, with_lp(vocab, ticks)))
     return paths.select(F.explode("ids").alias("token_id"), "weight").groupBy("token_id").agg(F.sum("weight").alias("n"))
 
 
@@ -81,11 +86,11 @@ def _relative(vocab: DataFrame, counts: DataFrame, n: str) -> DataFrame:
     return ngrams.normalized(joined, n).drop(n)
 
 
-def train_viterbi(segments: DataFrame, vocab: DataFrame, max_iter: int = 2, prune: float | None = None, max_length: int | None = None) -> DataFrame:
+def train_viterbi(segments: DataFrame, vocab: DataFrame, max_iter: int = 2, prune: float | None = None, max_length: int | None = None, ticks: float | None = None) -> DataFrame:
     """Hard EM: relative counts on best paths, without smoothing; unseen tokens get 0."""
     arrays = edge_arrays(lattice(segments, vocab, max_length)).persist()
     for _ in range(max_iter):
-        vocab = _relative(vocab, viterbi_counts(arrays, vocab), "n")
+        vocab = _relative(vocab, viterbi_counts(arrays, vocab, ticks), "n")
         vocab = checkpointed(vocab if prune is None else V.prune_vocab(vocab, prune))
     arrays.unpersist()
     return vocab
@@ -93,35 +98,34 @@ def train_viterbi(segments: DataFrame, vocab: DataFrame, max_iter: int = 2, prun
 
 def batched(segments: DataFrame, batches: int, seed: int = 0) -> DataFrame:
     """``segments`` with a batch number by hash."""
-    return segments.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), "seg"), F.lit(batches)).cast("int"))
+    return segments.withColumn("batch", F.floor(ngrams.uniform_hash("seg", seed=seed) * batches).cast("int"))
 
 
-def batch_shares(arrays: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(batch, token_id, share): relative counts of each batch's best paths; ``arrays`` has a batch column."""
-    paths = best_paths(with_scores(arrays, with_lp(vocab))).join(arrays.select("seg", "batch"), "seg")
+def batch_shares(arrays: DataFrame, vocab: DataFrame, batches: int, seed: int = 0, ticks: float | None = None) -> DataFrame:
+    """(batch, token_id, share): relative counts of each batch's best paths."""
+    paths = batched(best_paths(with_scores(arrays, with_lp(vocab, ticks))), batches, seed)
     counts = paths.select("batch", F.explode("ids").alias("token_id"), "weight").groupBy("batch", "token_id").agg(F.sum("weight").alias("n"))
     totals = counts.groupBy("batch").agg(F.sum("n").alias("total"))
     return counts.join(totals, "batch").select("batch", "token_id", (F.col("n") / F.col("total")).alias("share"))
 
 
-def train_viterbi_batch(segments: DataFrame, vocab: DataFrame, max_iter: int = 1, batch: int = 256, seed: int = 0, max_length: int | None = None) -> DataFrame:
+def train_viterbi_batch(segments: DataFrame, vocab: DataFrame, max_iter: int = 1, batch: int = 256, seed: int = 0, max_length: int | None = None, ticks: float | None = None) -> DataFrame:
     """The mean of the batches' relative counts, all batches against the same probabilities."""
     n = max(1, segments.count() // batch)
-    edges = edge_arrays(lattice(segments, vocab, max_length))
-    arrays = batched(edges, n, seed).persist()
+    arrays = edge_arrays(lattice(segments, vocab, max_length)).persist()
     for _ in range(max_iter):
-        mean = batch_shares(arrays, vocab).groupBy("token_id").agg((F.sum("share") / n).alias("share"))
+        mean = batch_shares(arrays, vocab, n, seed, ticks).groupBy("token_id").agg((F.sum("share") / n).alias("share"))
         vocab = checkpointed(_relative(vocab, mean, "share"))
     arrays.unpersist()
     return vocab
 
 
-def train_viterbi_stepwise(segments: DataFrame, vocab: DataFrame, batches: int = 4, decay: float = 0.8, seed: int = 0, max_length: int | None = None) -> DataFrame:
+def train_viterbi_stepwise(segments: DataFrame, vocab: DataFrame, batches: int = 4, decay: float = 0.8, seed: int = 0, max_length: int | None = None, ticks: float | None = None) -> DataFrame:
     """Online: theta moves towards each batch's relative counts by (step + 2) ** -decay; a Spark job per batch."""
     arrays = batched(edge_arrays(lattice(segments, vocab, max_length)), batches, seed).persist()
     for step in range(batches):
         rate = (step + 2) ** -decay
-        part = _relative(vocab, viterbi_counts(arrays.where(F.col("batch") == step), vocab), "n").select("token_id", F.col("theta").alias("_new"))
+        part = _relative(vocab, viterbi_counts(arrays.where(F.col("batch") == step), vocab, ticks), "n").select("token_id", F.col("theta").alias("_new"))
         mixed = vocab.join(part, "token_id").withColumn("theta", F.col("theta") * (1 - rate) + F.col("_new") * rate)
         vocab = checkpointed(mixed.select(*vocab.columns))
     arrays.unpersist()
@@ -131,9 +135,14 @@ def train_viterbi_stepwise(segments: DataFrame, vocab: DataFrame, batches: int =
 TRAINERS = {"em": train_em, "viterbi": train_viterbi, "viterbi_batch": train_viterbi_batch, "viterbi_stepwise": train_viterbi_stepwise}
 
 
-def train_vocab(segments: DataFrame, vocab: DataFrame, size: int, shrink_ratio: float = 0.8, max_epoch: int = 2, mode: str = "em", keep_char: bool = False, seed: int = 0) -> DataFrame:
+def trainer_options(mode: str, epochs: int, ticks: float | None = None) -> dict:
+    """Keyword arguments of a trainer: the online form has no epochs, and only best paths have ties."""
+    return ({} if mode == "viterbi_stepwise" else {"max_iter": epochs}) | ({} if mode == "em" else {"ticks": ticks})
+
+
+def train_vocab(segments: DataFrame, vocab: DataFrame, size: int, shrink_ratio: float = 0.8, max_epoch: int = 2, mode: str = "em", keep_char: bool = False, seed: int = 0, max_length: int | None = None, ticks: float | None = None) -> DataFrame:
     """Trains, keeps the best ``shrink_ratio``, renumbers and restarts until ``size`` tokens are left; then trains."""
-    options = {"max_iter": max_epoch} if mode != "viterbi_stepwise" else {}
+    options = trainer_options(mode, max_epoch, ticks) | {"max_length": max_length}
     n = vocab.count()
     while n > size:
         trained = TRAINERS[mode](segments, vocab, **options)
@@ -143,11 +152,10 @@ def train_vocab(segments: DataFrame, vocab: DataFrame, size: int, shrink_ratio:
     return TRAINERS[mode](segments, vocab, **options)
 
 
-def reestimate_scores(original: DataFrame, segments: DataFrame, mode: str = "em", epochs: int = 2, max_length: int | None = None) -> DataFrame:
+def reestimate_scores(original: DataFrame, segments: DataFrame, mode: str = "em", epochs: int = 2, max_length: int | None = None, ticks: float | None = None) -> DataFrame:
     """(pos, token, score): new ln(theta) for a fixed vocabulary ``original(pos, token)``, in its order."""
     start = ngrams.vocab_uniform(original.select("token").union(original.sparkSession.range(1).select(F.lit(UNK).alias("token"))).distinct())
-    options = {"max_iter": epochs} if mode != "viterbi_stepwise" else {}
-    return V.scores_in_order(original, TRAINERS[mode](segments, checkpointed(start), max_length=max_length, **options))
+    return V.scores_in_order(original, TRAINERS[mode](segments, checkpointed(start), max_length=max_length, **trainer_options(mode, epochs, ticks)))
 
 
 def retrain_wordpiece_vocab(vocab: DataFrame, segments: DataFrame, max_iter: int = 1, prefix: str = "##") -> DataFrame:
@@ -162,23 +170,27 @@ def retrain_wordpiece_vocab(vocab: DataFrame, segments: DataFrame, max_iter: int
     return out
 
 
-def train_corpus(docs: DataFrame, max_length: int = 5, min_freq: int = 50, max_epoch: int = 2, mode: str = "em", text: str = "text") -> DataFrame:
+def train_corpus(docs: DataFrame, max_length: int = 5, min_freq: int = 50, max_epoch: int = 2, mode: str = "em", text: str = "text", ticks: float | None = None) -> DataFrame:
     """Seeds from the corpus, training with pruning, renumbered: (token_id, token, theta)."""
     segments = checkpointed(ngrams.to_segments(docs, text))
     seeds = ngrams.seed_vocab(ngrams.count_ngrams(segments, max_length), min_freq)
     vocab = checkpointed(ngrams.init_theta_random(ngrams.index_vocab(checkpointed(seeds.select("token")))))
     total = ngrams.unigram_total(segments).collect()[0][0]
-    trained = TRAINERS[mode](segments, vocab, max_iter=max_epoch, prune=0.5 / max(1, total), max_length=max_length)
+    trained = TRAINERS[mode](segments, vocab, prune=0.5 / max(1, total), max_length=max_length, **trainer_options(mode, max_epoch, ticks))
     return V.reindex(ngrams.normalized(trained, "theta"))
 
 
-def train_language_vocab(docs: DataFrame, size: int, max_length: int = 16, min_freq: int = 2, digits: bool = True, user_symbols: tuple[str, ...] = (), text: str = "text") -> DataFrame:
-    """A vocabulary of ``size`` tokens of one language, with digits split and user symbols kept."""
+def train_language_vocab(docs: DataFrame, size: int, max_length: int = 16, min_freq: int = 2, digits: bool = True, user_symbols: tuple[str, ...] = (), text: str = "text", byte_fallback: bool = False) -> DataFrame:
+    """A vocabulary of ``size`` tokens of one language, with digits split and user symbols kept.
+
+    With ``byte_fallback`` the 256 byte pieces are kept too.
+    """
     lines = docs.withColumn(text, split_digits(F.col(text))) if digits else docs
     segments = checkpointed(ngrams.to_segments(lines, text))
     tokens = ngrams.seed_vocab(ngrams.count_ngrams(segments, max_length), min_freq).select("token")
-    if user_symbols:
-        given = docs.sparkSession.createDataFrame([(s,) for s in user_symbols], "token string")
+    kept = [*user_symbols, *(f"<0x{i:02X}>" for i in range(256) if byte_fallback)]
+    if kept:
+        given = docs.sparkSession.createDataFrame([(s,) for s in kept], "token string")
         tokens = ngrams.with_fixed_seeds(tokens, given)
     vocab = checkpointed(ngrams.init_theta_random(ngrams.index_vocab(checkpointed(tokens))))
     return train_vocab(segments, vocab, size, keep_char=True)

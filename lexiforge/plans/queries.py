@@ -11,7 +11,8 @@ from lexiforge.functions import text as X
 from lexiforge.functions.patterns import HEAD, RUN_SYMBOLS, SYMBOLS, UNK
 from lexiforge.operators import conversations as C, lattice as L, metrics as E, ngrams as N, segment as S, train as M, vocab as V
 from lexiforge.plans import recipes
-from lexiforge.plans.base import EDGES, MARKERS, MAX_LENGTH, MIN_FREQ, NG, PATHS, SEEDS, SEG, SUB, VOC, WORDS, grams, scratch, seeds, segments, table, typed, vocab
+from lexiforge.plans.base import EDGES, LN_EDGES, MARKERS, MAX_LENGTH, MIN_FREQ, NG, PATHS, SEEDS, SEG, SUB, VOC, WORDS
+from lexiforge.plans.base import edges_sql, forward_sql, grams, nbest_sql, paths_sql, scratch, seeds, segments, sums_sql, table, typed, unit_sql, vocab
 from lexiforge.sources import corpus, vocab_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,11 +47,11 @@ def document_lines(s, d):
     return corpus.document_lines(table(s, d, "documents"))
 
 
-@query("jsonl_text_lines", "SELECT CAST(sum(len(string_split(coalesce(text, ''), chr(10))) + 1) AS BIGINT) AS n_lines, CAST(sum(length(replace(coalesce(text, ''), chr(10), ''))) AS BIGINT) AS n_chars FROM documents")
+@query("jsonl_text_lines", "SELECT text, count(*) AS n FROM (SELECT unnest(list_append(string_split(coalesce(text, ''), chr(10)), '')) AS text FROM documents) GROUP BY 1")
 def jsonl_text_lines(s, d):
     path = scratch(s, "jsonl")
     table(s, d, "documents").select("text").write.json(path)
-    return corpus.read_jsonl_text(s, path).agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+    return corpus.read_jsonl_text(s, path).groupBy("text").agg(F.count("*").alias("n"))
 
 
 @query("extract_lines", r"SELECT d.doc_id, regexp_replace(text, '\s+$', '') AS text FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -58,7 +59,14 @@ def extract_lines(s, d):
     return corpus.extract_lines(table(s, d, "documents").select("doc_id", "text"), table(s, d, "labels").where("quality = 1"), "doc_id").select("doc_id", "text")
 
 
-@query("sample_corpus")
+@query("read_line_ids", "SELECT doc_id AS line_id FROM labels WHERE quality = 1")
+def read_line_ids(s, d):
+    path = scratch(s, "ids")
+    table(s, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string")).write.text(path)
+    return corpus.read_line_ids(s, path)
+
+
+@query("sample_corpus", f"SELECT doc_id, source, CAST(n AS INT) AS n_bytes FROM (SELECT doc_id, source, strlen(text) AS n, sum(coalesce(strlen(text), 0)) OVER (PARTITION BY source ORDER BY {unit_sql("'0:' || doc_id")}, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM documents) WHERE run <= 50000")
 def sample_corpus(s, d):
     return corpus.sample_corpus(table(s, d, "documents"), 50_000).select("doc_id", "source", F.octet_length("text").alias("n_bytes"))
 
@@ -228,9 +236,12 @@ def effective_max_length(s, d):
     return N.effective_max_length(seeds(s, d))
 
 
-@query("init_theta_random")
+RANDOM = f"ur AS (SELECT token_id, token, {unit_sql("'0:' || token")} AS u FROM voc), vr AS (SELECT token_id, token, u / (SELECT sum(u) FROM ur) AS theta FROM ur)"
+
+
+@query("init_theta_random", f"WITH {VOC}, {RANDOM} SELECT token, round(theta, 12) AS theta FROM vr")
 def init_theta_random(s, d):
-    return N.init_theta_random(seeds(s, d).select("token"))
+    return N.init_theta_random(seeds(s, d).select("token")).select("token", F.round("theta", 12).alias("theta"))
 
 
 @query("add_word", f"WITH {VOC} SELECT token_id, token FROM voc UNION ALL SELECT CAST(count(*) AS INT), '▁lexiforge' FROM voc")
@@ -358,7 +369,7 @@ def shrink_vocab_soft(s, d):
     return V.shrink_vocab(counted(s, d), 2000, hard_limit=False, keep_char=True)
 
 
-@query("shrink_vocab_hard")
+@query("shrink_vocab_hard", f"WITH {VOC}, o AS (SELECT token_id, token, freq, row_number() OVER (ORDER BY freq DESC, {unit_sql("'0:' || token")}, token) AS r FROM voc WHERE length(token) > 1 AND token <> '{UNK}'), x AS (SELECT count(*) AS n FROM voc WHERE length(token) = 1 OR token = '{UNK}') SELECT token_id, token, CAST(freq AS DOUBLE) AS theta FROM o, x WHERE r <= 2000 - n UNION ALL SELECT token_id, token, CAST(freq AS DOUBLE) FROM voc WHERE length(token) = 1 OR token = '{UNK}'")
 def shrink_vocab_hard(s, d):
     return V.shrink_vocab(counted(s, d), 2000, hard_limit=True, keep_char=True)
 
@@ -448,12 +459,17 @@ def lattice(s, d):
     return L.lattice(segments(s, d), vocab(s, d), MAX_LENGTH).select("seg", "e", "l", "token_id")
 
 
-@query("candidate_ids", f"WITH {EDGES} SELECT sub.seg, count(*) AS n, CAST(sum(voc.token_id) AS BIGINT) AS id_sum FROM sub JOIN voc USING (token) GROUP BY sub.seg")
+@query("candidate_ids", f"WITH {EDGES} SELECT sub.seg, array_to_string(list(voc.token_id ORDER BY e, l), ',') AS ids FROM sub JOIN voc USING (token) GROUP BY sub.seg")
 def candidate_ids(s, d):
-    return L.candidate_ids(segments(s, d), vocab(s, d), MAX_LENGTH).groupBy("seg").agg(F.count("*").alias("n"), F.sum("token_id").alias("id_sum"))
+    packed = L.edge_arrays(L.candidate_ids(segments(s, d), vocab(s, d), MAX_LENGTH))
+    return packed.select("seg", F.array_join(F.col("ed.token_id").cast("array<string>"), ",").alias("ids"))
 
 
-@query("continuation_lattice", f"WITH {EDGES}, c AS (SELECT sub.seg, CAST(e AS INT) AS e, CAST(l AS INT) AS l, CASE WHEN e > l THEN '▁' || token ELSE token END AS token FROM sub) SELECT c.seg, c.e, c.l, coalesce(voc.token_id, unk.token_id) AS token_id FROM c LEFT JOIN voc USING (token) CROSS JOIN unk WHERE voc.token_id IS NOT NULL OR c.l = 1")
+#: Later pieces are looked up with the head mark; every vocabulary token has the same probability.
+CONTINUED = f"vu AS MATERIALIZED (SELECT token_id, token, ln(1 / (SELECT count(*) FROM voc)) AS lp FROM voc), {edges_sql('vu', '', "CASE WHEN e > l THEN '▁' || token ELSE token END")}"
+
+
+@query("continuation_lattice", f"WITH {VOC}, {CONTINUED} SELECT seg, e, l, token_id FROM ed")
 def continuation_lattice(s, d):
     return L.continuation_lattice(segments(s, d), vocab(s, d), HEAD, MAX_LENGTH).select("seg", "e", "l", "token_id")
 
@@ -484,27 +500,41 @@ def segment_long_lines(s, d):
     return S.segment_long_lines(table(s, d, "documents"), vocab(s, d), "doc_id").select("doc_id", F.array_join("pieces", " ").alias("pieces"))
 
 
-@query("path_sums")
+@query("path_sums", f"WITH RECURSIVE {LN_EDGES}, {sums_sql()} SELECT seg, round(loglik, 6) AS loglik, round(t, 6) AS expected_tokens FROM fa JOIN tot USING (seg)")
 def path_sums(s, d):
     return S.path_sums(scored(s, d, natural=True)).select("seg", F.round("loglik", 6).alias("loglik"), F.round("expected_tokens", 6).alias("expected_tokens"))
 
 
-@query("posteriors", f"WITH {SEG} SELECT seg, CAST(1 AS DOUBLE) AS mass FROM seg")
+@query("posteriors", f"WITH RECURSIVE {LN_EDGES}, {sums_sql()} SELECT seg, e, l, token_id, round(p / t, 6) AS post FROM po JOIN tot USING (seg)")
 def posteriors(s, d):
-    return S.posteriors(S.path_sums(scored(s, d, natural=True))).groupBy("seg").agg(F.round(F.sum("post"), 6).alias("mass"))
+    return S.posteriors(S.path_sums(scored(s, d, natural=True))).select("seg", "e", "l", "token_id", F.round("post", 6).alias("post"))
 
 
-@query("sample_paths")
+@query(
+    "sample_paths",
+    f"WITH RECURSIVE {VOC}, vn AS (SELECT token_id, token, 0.5 * ln(theta) AS lp FROM voc), {edges_sql('vn')}, {forward_sql()}, h AS (SELECT seg, e, l, sum(exp(lp + a[e - l + 1] - a[e + 1])) OVER (PARTITION BY seg, e ORDER BY l ROWS UNBOUNDED PRECEDING) AS hi FROM ed JOIN fa USING (seg)),"
+    " g AS MATERIALIZED (SELECT seg, e, l, hi, lag(hi, 1, 0) OVER w AS lo, lead(hi) OVER w IS NULL AS is_last FROM h WINDOW w AS (PARTITION BY seg, e ORDER BY l)),"
+    f" bk(seg, draw, p, pieces) AS (SELECT seg, draw, length(seg), CAST([] AS VARCHAR[]) FROM seg, (SELECT unnest([1, 2]) AS draw) UNION ALL SELECT bk.seg, draw, p - l, list_prepend(substring(bk.seg, p - l + 1, l), pieces) FROM (SELECT *, {unit_sql("'0:' || seg || ':' || draw || ':' || p")} AS u FROM bk WHERE p > 0) bk JOIN g ON g.seg = bk.seg AND g.e = bk.p AND lo < u AND (u <= hi OR is_last))"
+    " SELECT seg, draw, array_to_string(pieces, ' ') AS pieces FROM bk WHERE p = 0",
+)
 def sample_paths(s, d):
     return S.sample_paths(scored(s, d, natural=True), 2, 0.5).select("seg", "draw", F.array_join("pieces", " ").alias("pieces"))
 
 
-@query("nbest_paths", f"WITH RECURSIVE {PATHS} SELECT seg, CAST(score AS BIGINT) AS score FROM best")
+CUT = "array_to_string(list_transform(range(1, len(lens) + 1), lambda j: substring(seg, CAST(1 + coalesce(list_sum(lens[1:j - 1]), 0) AS BIGINT), lens[j])), ' ')"
+
+
+@query("nbest_paths", f"WITH RECURSIVE {EDGES}, {nbest_sql(3)} SELECT seg, rank, {CUT} AS pieces, CAST(score AS BIGINT) AS score FROM nbest")
 def nbest_paths(s, d):
-    return S.nbest_paths(scored(s, d), 3).where("rank = 1").select("seg", F.col("score").cast("long").alias("score"))
+    return S.nbest_paths(scored(s, d), 3).select("seg", "rank", F.array_join("pieces", " ").alias("pieces"), F.col("score").cast("long").alias("score"))
+
+
+@query("nbest_point", f"WITH RECURSIVE {EDGES}, {nbest_sql(2)} SELECT seg, rank, {CUT} AS pieces, CAST(score AS BIGINT) AS score FROM nbest")
+def nbest_point(s, d):
+    return S.nbest_point(scored(s, d), 2).select("seg", "rank", F.array_join("pieces", " ").alias("pieces"), F.col("score").cast("long").alias("score"))
 
 
-@query("sample_from_nbest")
+@query("sample_from_nbest", f"WITH RECURSIVE {EDGES}, {nbest_sql(4)} SELECT seg, rank, {CUT} AS pieces FROM nbest QUALIFY row_number() OVER (PARTITION BY seg ORDER BY score * 1e-6 - ln(-ln({unit_sql("'0:' || seg || ':' || rank")})) DESC) <= 2")
 def sample_from_nbest(s, d):
     return S.sample_from_nbest(scored(s, d), 2, 4, 1e-6).select("seg", "rank", F.array_join("pieces", " ").alias("pieces"))
 
@@ -515,6 +545,13 @@ def pieces_to_ids(s, d):
     return S.pieces_to_ids(lines, vocab(s, d), "item_id").select("item_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
+@query("ids_to_pieces", f"WITH {VOC}, w AS (SELECT item_id, x[i] AS token, i FROM (SELECT item_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda y: y <> '') AS x FROM benchmark))) SELECT item_id, string_agg(coalesce(voc.token, '{UNK}'), ' ' ORDER BY i) AS pieces FROM w LEFT JOIN voc USING (token) GROUP BY item_id")
+def ids_to_pieces(s, d):
+    v = vocab(s, d)
+    lines = table(s, d, "benchmark").select("item_id", X.words(F.col("text")).alias("pieces"))
+    return S.ids_to_pieces(S.pieces_to_ids(lines, v, "item_id"), v, "item_id").select("item_id", F.array_join("pieces", " ").alias("pieces"))
+
+
 @query("decode_corpus", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''), ' ') AS text FROM documents")
 def decode_corpus(s, d):
     v = vocab(s, d)
@@ -522,18 +559,20 @@ def decode_corpus(s, d):
     return lines.select("doc_id", X.decode_pieces(F.col("pieces")).alias("text"))
 
 
-@query("byte_fallback", r"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), '') AS text FROM benchmark")
+@query("byte_fallback", r"WITH t AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), '') AS text FROM benchmark) SELECT item_id, text, array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN regexp_matches(substring(text, i, 1), '[a-z]') THEN substring(text, i, 1) ELSE rtrim(regexp_replace(hex(encode(substring(text, i, 1))), '(..)', '<0x\1> ', 'g')) END), ' ') AS pieces FROM t")
 def byte_fallback(s, d):
     chars = X.chars(F.array_join(X.words(F.col("text")), ""))
     known = F.transform(chars, lambda c: c.rlike("[a-z]"))
-    return table(s, d, "benchmark").select("item_id", X.decode_pieces(X.byte_fallback(chars, known)).alias("text"))
+    rows = table(s, d, "benchmark").select("item_id", X.byte_fallback(chars, known).alias("p"))
+    return rows.select("item_id", F.array_join("p", " ").alias("pieces"), X.decode_pieces(F.col("p")).alias("text"))
 
 
-@query("add_eod", "SELECT item_id, CAST(2 * length(text) + 2 AS INT) AS n, CAST(length(text) + 1 AS INT) AS ones FROM benchmark")
+@query("add_eod", "WITH c AS (SELECT item_id, array_to_string(list_transform(range(1, length(text) + 1), lambda i: unicode(substring(text, i, 1))), ',') || ',0' AS x, length(text) + 1 AS n FROM benchmark) SELECT item_id, x || ',' || x AS ids, repeat('0', CAST(n AS INT)) || repeat('1', CAST(n AS INT)) AS types FROM c")
 def add_eod(s, d):
     ids = F.transform(X.chars(F.col("text")), lambda c: F.ascii(c))
     rows = table(s, d, "benchmark").select("item_id", X.add_eod(ids, 0, ids).alias("ids"), X.type_ids(ids, ids).alias("t"))
-    return rows.select("item_id", F.size("ids").alias("n"), F.aggregate("t", F.lit(0), lambda a, b: a + b).alias("ones"))
+    joined = lambda c, by: F.array_join(F.col(c).cast("array<string>"), by)
+    return rows.select("item_id", joined("ids", ",").alias("ids"), joined("t", "").alias("types"))
 
 
 @query("vocab_size", f"WITH {VOC} SELECT count(*) AS vocab_size FROM voc")
@@ -544,27 +583,29 @@ def vocab_size(s, d):
 # --- training ----------------------------------------------------------------------------------
 
 
+#: Scores of best paths are whole millionths, so that equal paths tie in SQL too.
+TICKS = 1e6
+
+
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select("token_id", "token", F.round("theta", digits).alias("theta"))
 
 
-@query("train_em")
+@query("train_em", f"WITH RECURSIVE {LN_EDGES}, {sums_sql()}, n AS (SELECT voc.token_id, token, coalesce(m, 0) + 1e-30 AS m FROM voc LEFT JOIN mass USING (token_id)) SELECT token_id, token, round(m / (SELECT sum(m) FROM n), 9) AS theta FROM n")
 def train_em(s, d):
     return rounded(M.train_em(segments(s, d), vocab(s, d).drop("lp", "freq"), 1, max_length=MAX_LENGTH))
 
 
-@query("em_mass", f"WITH {SEG} SELECT CAST(sum(weight) AS DOUBLE) AS mass FROM seg")
+@query("em_mass", f"WITH RECURSIVE {LN_EDGES}, {sums_sql()} SELECT token_id, round(m, 4) AS mass FROM mass")
 def em_mass(s, d):
     v = vocab(s, d)
     arrays = L.edge_arrays(L.lattice(segments(s, d), v, MAX_LENGTH))
-    return M.em_counts(arrays, v.drop("lp")).agg(F.round(F.sum("mass"), 3).alias("mass"))
+    return M.em_counts(arrays, v.drop("lp")).select("token_id", F.round("mass", 4).alias("mass"))
 
 
 @query("train_viterbi", f"WITH RECURSIVE {PATHS}, c AS (SELECT token_id, sum(weight) AS n FROM (SELECT unnest(ids) AS token_id, weight FROM best) GROUP BY 1) SELECT voc.token_id, token, round(coalesce(n, 0) / (SELECT sum(n) FROM c), 9) AS theta FROM voc LEFT JOIN c USING (token_id)")
 def train_viterbi(s, d):
-    v = vocab(s, d)
-    paths = S.segment_segments(segments(s, d), v, MAX_LENGTH).select(F.explode("ids").alias("token_id"), "weight").groupBy("token_id").agg(F.sum("weight").alias("n"))
-    return rounded(M._relative(v.drop("freq"), paths, "n"))
+    return rounded(M.train_viterbi(segments(s, d), vocab(s, d).drop("lp", "freq"), 1, max_length=MAX_LENGTH, ticks=TICKS))
 
 
 @query("train_viterbi_em")
@@ -572,14 +613,30 @@ def train_viterbi_em(s, d):
     return rounded(M.train_viterbi(segments(s, d), vocab(s, d).drop("lp", "freq"), 1, max_length=MAX_LENGTH))
 
 
-@query("train_viterbi_batch")
+@query(
+    "train_viterbi_batch",
+    f"WITH RECURSIVE {PATHS}, nb AS (SELECT greatest(1, count(*) // 4096) AS n FROM seg), tk AS (SELECT floor({unit_sql("'0:' || seg")} * nb.n) AS b, unnest(ids) AS token_id, weight FROM best, nb), c AS (SELECT b, token_id, sum(weight) AS k FROM tk GROUP BY 1, 2),"
+    " t AS (SELECT b, sum(k) AS t FROM c GROUP BY b), sh AS (SELECT token_id, sum(k / t) AS share FROM c JOIN t USING (b) GROUP BY 1) SELECT voc.token_id, token, round(coalesce(share, 0) / (SELECT sum(share) FROM sh), 9) AS theta FROM voc LEFT JOIN sh USING (token_id)",
+)
 def train_viterbi_batch(s, d):
-    return rounded(M.train_viterbi_batch(segments(s, d), vocab(s, d).drop("lp", "freq"), batch=4096, max_length=MAX_LENGTH))
+    return rounded(M.train_viterbi_batch(segments(s, d), vocab(s, d).drop("lp", "freq"), batch=4096, max_length=MAX_LENGTH, ticks=TICKS))
+
+
+def step_sql(batches: int = 1, step: int = 0, old: str = "voc", paths: str = "best", new: str = "v1") -> str:
+    """``new``: the probabilities of ``old`` moved towards the relative counts of one of the batches."""
+    rate = (step + 2) ** -0.8
+    return f"""k{step} AS (SELECT token_id, sum(weight) AS n FROM (SELECT unnest(ids) AS token_id, weight FROM {paths} WHERE floor({unit_sql("'0:' || seg")} * {batches}) = {step}) GROUP BY 1),
+{new} AS (SELECT token_id, token, theta, round(ln(theta) * 1e6) AS lp FROM (SELECT v.token_id, token, theta * (1 - {rate!r}::DOUBLE) + coalesce(n, 0) / (SELECT sum(n) FROM k{step}) * {rate!r}::DOUBLE AS theta FROM {old} v LEFT JOIN k{step} USING (token_id)))"""
+
+
+@query("train_viterbi_first_step", f"WITH RECURSIVE {PATHS}, {step_sql()} SELECT token_id, token, round(theta, 9) AS theta FROM v1")
+def train_viterbi_first_step(s, d):
+    return rounded(M.train_viterbi_stepwise(segments(s, d), vocab(s, d).drop("lp", "freq"), 1, max_length=MAX_LENGTH, ticks=TICKS))
 
 
 @query("train_viterbi_stepwise")
 def train_viterbi_stepwise(s, d):
-    return rounded(M.train_viterbi_stepwise(segments(s, d), vocab(s, d).drop("lp", "freq"), 2, max_length=MAX_LENGTH))
+    return rounded(M.train_viterbi_stepwise(segments(s, d), vocab(s, d).drop("lp", "freq"), 2, max_length=MAX_LENGTH, ticks=TICKS))
 
 
 @query("train_vocab")
@@ -588,25 +645,38 @@ def train_vocab(s, d):
     return rounded(M.train_vocab(segments(s, d), v, int(v.count() * 0.8), 0.8, 1, "viterbi", keep_char=True))
 
 
-@query("reestimate_scores")
+UNIFORM = "vu AS MATERIALIZED (SELECT token_id, token, round(ln(1 / (SELECT count(*) FROM voc)) * 1e6) AS lp FROM voc)"
+
+
+@query("reestimate_scores", f"WITH RECURSIVE {VOC}, {UNIFORM}, {edges_sql('vu')}, {paths_sql()}, c AS (SELECT token_id, sum(weight) AS n FROM (SELECT unnest(ids) AS token_id, weight FROM best) GROUP BY 1), r AS (SELECT token_id, ln(n / (SELECT sum(n) FROM c)) AS score FROM c) SELECT voc.token_id AS pos, token, round(coalesce(score, (SELECT score FROM r JOIN voc USING (token_id) WHERE token = '{UNK}')), 6) AS score FROM voc LEFT JOIN r USING (token_id)")
 def reestimate_scores(s, d):
     v = vocab(s, d).select(F.col("token_id").alias("pos"), "token")
-    return M.reestimate_scores(v, segments(s, d), "viterbi", 1, MAX_LENGTH).withColumn("score", F.round("score", 6))
+    return M.reestimate_scores(v, segments(s, d), "viterbi", 1, MAX_LENGTH, TICKS).withColumn("score", F.round("score", 6))
 
 
-@query("retrain_wordpiece_vocab")
+@query("retrain_wordpiece_vocab", f"WITH RECURSIVE {VOC}, {CONTINUED}, {sums_sql()}, n AS (SELECT voc.token_id, token, coalesce(m, 0) + 1e-30 AS m FROM voc LEFT JOIN mass USING (token_id)) SELECT token_id, token, round(m / (SELECT sum(m) FROM n), 9) AS theta FROM n")
 def retrain_wordpiece_vocab(s, d):
     return rounded(M.retrain_wordpiece_vocab(vocab(s, d).drop("lp", "freq"), segments(s, d), 1, HEAD))
 
 
+@query(
+    "train_corpus_once",
+    f"WITH RECURSIVE {VOC}, {RANDOM}, vt AS MATERIALIZED (SELECT token_id, token, round(ln(theta) * 1e6) AS lp FROM vr), {edges_sql('vt')}, {paths_sql()}, c AS (SELECT token_id, sum(weight) AS n FROM (SELECT unnest(ids) AS token_id, weight FROM best) GROUP BY 1),"
+    f" r AS (SELECT voc.token_id, token, coalesce(n, 0) / (SELECT sum(n) FROM c) AS theta, 0.5::DOUBLE / (SELECT sum(length(seg) * weight) FROM seg) AS low FROM voc LEFT JOIN c USING (token_id)), p AS (SELECT token_id, token, CASE WHEN token = '{UNK}' THEN low WHEN length(token) = 1 THEN greatest(theta, low) WHEN theta < low THEN 0 ELSE theta END AS theta FROM r)"
+    " SELECT CAST(row_number() OVER (ORDER BY token_id) - 1 AS INT) AS token_id, token, round(theta / (SELECT sum(theta) FROM p), 9) AS theta FROM p WHERE theta > 0",
+)
+def train_corpus_once(s, d):
+    return rounded(M.train_corpus(table(s, d, "documents"), MAX_LENGTH, MIN_FREQ, 1, "viterbi", ticks=TICKS))
+
+
 @query("train_corpus")
 def train_corpus(s, d):
-    return rounded(M.train_corpus(table(s, d, "documents"), 4, 50, 1, "viterbi"))
+    return rounded(M.train_corpus(table(s, d, "documents"), 5, 50, 10, "viterbi"))
 
 
 @query("train_language_vocab")
 def train_language_vocab(s, d):
-    return rounded(M.train_language_vocab(table(s, d, "documents").where("lang = 'es'"), 2500, 4, 10))
+    return rounded(M.train_language_vocab(table(s, d, "documents").where("lang = 'es'"), 2500, 8, 10, byte_fallback=True))
 
 
 # --- evaluation --------------------------------------------------------------------------------

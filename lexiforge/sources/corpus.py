@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiforge.functions.text import rstrip, strip
+from lexiforge.operators.ngrams import uniform_hash
 
 LINES = T.StructType([T.StructField("line_id", T.LongType()), T.StructField("text", T.StringType())])
 
@@ -50,8 +51,7 @@ def sample_corpus(df: DataFrame, budget_bytes: int, by: str = "source", key: str
     Hash buckets are added up first, one row per source and bucket, so that only the bucket in which the budget ends
     is ordered row by row; a source with most of all rows needs no big window.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    rows = df.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(buckets))).withColumn("_n", F.octet_length(F.coalesce(text, F.lit(""))).cast("long"))
+    rows = df.withColumn("_h", uniform_hash(key, seed=seed)).withColumn("_b", F.floor(F.col("_h") * buckets).cast("int")).withColumn("_n", F.octet_length(F.coalesce(text, F.lit(""))).cast("long"))
     totals = rows.groupBy(by, "_b").agg(F.sum("_n").alias("_sum"))
     before = totals.withColumn("_before", F.sum("_sum").over(Window.partitionBy(by).orderBy("_b")) - F.col("_sum"))
     starts = before.select(F.col(by).alias("_by"), F.col("_b").alias("_bb"), "_sum", "_before").where(F.col("_before") < budget_bytes)
