@@ -125,7 +125,10 @@ def train_viterbi_stepwise(segments: DataFrame, vocab: DataFrame, batches: int =
     arrays = batched(edge_arrays(lattice(segments, vocab, max_length)), batches, seed).persist()
     for step in range(batches):
         rate = (step + 2) ** -decay
-        part = _relative(vocab, viterbi_counts(arrays.where(F.col("batch") == step), vocab, ticks), "n").select("token_id", F.col("theta").alias("_new"))
+        own = arrays.where(F.col("batch") == step)
+        if own.isEmpty():
+            continue  # a batch without segments teaches nothing
+        part = _relative(vocab, viterbi_counts(own, vocab, ticks), "n").select("token_id", F.col("theta").alias("_new"))
         mixed = vocab.join(part, "token_id").withColumn("theta", F.col("theta") * (1 - rate) + F.col("_new") * rate)
         vocab = checkpointed(mixed.select(*vocab.columns))
     arrays.unpersist()
