@@ -2,10 +2,12 @@
 
 The index maps a fingerprint to (template, position) and holds at most :data:`MAX_TEMPLATES` templates (checked),
 so every task has it whole. All three-word windows of a document are looked up, so any run of ``GRAM + WINDOW - 1``
-template words is found. Each hit proposes a diagonal; hits close to one another are aligned once, within a band.
+template words is found; a template of fewer than ``GRAM`` words is one fingerprint and is found where it stands
+unchanged. Each hit proposes a diagonal; hits close to one another are aligned once, within a band.
 
 One pass over the documents, no shuffle. Defined cases: null, empty and license-free texts give no row; repeated
-rows give repeated results; only doc_id and text of the input are read.
+rows give repeated results; an empty table gives an empty one; templates without words match nothing; only doc_id and
+text of the input are read, so other columns cannot clash. Work grows with the words of a text, whole texts are read.
 """
 
 from __future__ import annotations
@@ -45,8 +47,12 @@ def fingerprint(gram: tuple[str, ...]) -> int:
 
 
 def winnow(tokens: list[str]) -> list[tuple[int, int]]:
-    """(fingerprint, position): of each window of WINDOW grams the smallest, the rightmost of equals."""
-    prints = [fingerprint(tuple(tokens[i : i + GRAM])) for i in range(len(tokens) - GRAM + 1)]
+    """(fingerprint, position): of each window of WINDOW grams the smallest, the rightmost of equals.
+
+    The words of a short template are one gram.
+    """
+    gram = min(GRAM, len(tokens))
+    prints = [fingerprint(tuple(tokens[i : i + gram])) for i in range(len(tokens) - gram + 1)] if gram else []
     picked = set()
     for start in range(max(1, len(prints) - WINDOW + 1)):
         window = prints[start : start + WINDOW]
@@ -55,17 +61,17 @@ def winnow(tokens: list[str]) -> list[tuple[int, int]]:
     return [(prints[i], i) for i in sorted(picked)]
 
 
-def build_index(templates: dict[str, str]) -> tuple[dict[str, list[str]], dict[int, list[tuple[str, int]]], set[str]]:
-    """Template words, the inverted index, and all words of fingerprinted grams."""
+def build_index(templates: dict[str, str]) -> tuple[dict[str, list[str]], dict[int, list[tuple[str, int]]], dict[str, set[int]]]:
+    """Template words, the inverted index, and the first words of fingerprinted grams with the grams' lengths."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
     tokens = {k: [w.lower() for w in TOKEN.findall(v)] for k, v in templates.items()}
     index: dict[int, list[tuple[str, int]]] = {}
-    heads = set()
+    heads: dict[str, set[int]] = {}
     for name, words in tokens.items():
         for value, at in winnow(words):
             index.setdefault(value, []).append((name, at))
-            heads.add(words[at])
+            heads.setdefault(words[at], set()).add(min(GRAM, len(words)))
     return tokens, index, heads
 
 
@@ -102,16 +108,17 @@ def scan(text: str, built: tuple) -> list[tuple[str, float, int, int, int, int]]
     words = [w.lower() for w in TOKEN.findall(text)]
     hits: dict[str, list[int]] = {}
     for i, w in enumerate(words):
-        if w in heads and i + GRAM <= len(words):
-            for name, at in index.get(fingerprint(tuple(words[i : i + GRAM])), ()):
-                hits.setdefault(name, []).append(i - at)
+        for n in heads.get(w, ()):
+            if i + n <= len(words):
+                for name, at in index.get(fingerprint(tuple(words[i : i + n])), ()):
+                    hits.setdefault(name, []).append(i - at)
     if not hits:
         return []
     spans = [m.span() for m in TOKEN.finditer(text)]
     found = []
     for name, diagonals in hits.items():
         template, last = tokens[name], None
-        band = min(BAND, max(1, len(template) // 3))  # a short notice may stand twice within a wide band
+        band = min(BAND, len(template) // 3)  # a short notice may stand twice within a wide band
         best: list[tuple[int, int, int]] = []
         for d in sorted(set(diagonals)):
             if last is not None and d - last <= band:
@@ -131,8 +138,16 @@ SCHEMA = "doc_id long, template string, coverage double, matched int, template_w
 ARROW = pa.schema([("doc_id", pa.int64()), ("template", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("template_words", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """One row per license passage of ``docs(doc_id, text)``: template, matched coverage and character span."""
+def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES) -> DataFrame:
+    """One row per license passage of ``docs(doc_id, text)``: template, matched coverage and character span.
+
+    ``templates`` is a mapping, or a table (template, text) of at most :data:`MAX_TEMPLATES` rows.
+    """
+    if isinstance(templates, DataFrame):
+        rows = templates.select("template", "text").limit(MAX_TEMPLATES + 1).collect()
+        if len(rows) > MAX_TEMPLATES:
+            raise ValueError(f"at most {MAX_TEMPLATES} templates")
+        templates = {r[0]: r[1] or "" for r in rows}
     built = build_index(templates)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -216,6 +216,57 @@ def test_license_scan(spark):
     assert 0.9 < next(r for r in found if r.doc_id == 2).coverage < 1
 
 
+def test_license_scan_short_templates_and_edges(spark):
+    schema = "doc_id long, text string, template string, start long"
+    rows = [(1, "Dual: CC0 CC0, or Zero Clause.", "x", 9), (1, "Dual: CC0 CC0, or Zero Clause.", "x", 9), (2, "no cc 0", None, None), (3, "w " * 200_000 + "zero clause", None, None)]
+    templates = spark.createDataFrame([("cc0", "CC0"), ("zero", "Zero Clause"), ("none", "..."), ("null", None)], "template string, text string")
+    found = [(r.doc_id, r.template, r.start, r.end) for r in licenses.license_scan(spark.createDataFrame(rows, schema), templates).collect()]
+    once = [(1, "cc0", 6, 9), (1, "cc0", 10, 13), (1, "zero", 18, 29)]
+    assert sorted(found) == sorted([*once, *once, (3, "zero", 400_000, 400_011)])
+    assert licenses.op3_license_scan(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_license_alignment_against_brute_force():
+    """Edited templates among other words: the matched words are the longest common subsequence with the whole text."""
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng, seen = random.Random(5), 0
+    for _ in range(300):
+        template = [f"t{rng.randrange(40)}" for _ in range(rng.randrange(12, 40))]
+        edited, indels, run, longest = [], 0, 0, 0
+        for w in template:
+            kind = rng.random()
+            if kind < 0.04 and indels < len(template) // 3:
+                indels, run = indels + 1, 0
+                continue
+            if kind < 0.08 and indels < len(template) // 3:
+                indels, run = indels + 1, 0
+                edited.append("extra")
+            elif kind < 0.12:
+                run = 0
+                edited.append("changed")
+                continue
+            edited.append(w)
+            run += 1
+            longest = max(longest, run)
+        text = " ".join([f"n{rng.randrange(50)}" for _ in range(rng.randrange(30))] + edited + [f"n{rng.randrange(50)}" for _ in range(rng.randrange(30))])
+        best = lcs(template, text.split())
+        found = licenses.scan(text, licenses.build_index({"t": " ".join(template)}))
+        assert all(n <= best for _, _, n, *_ in found)
+        if longest >= licenses.GRAM + licenses.WINDOW - 1 and best >= licenses.MIN_COVERAGE * len(template):
+            seen += 1
+            assert max(n for _, _, n, *_ in found) == best
+    assert seen > 100
+
+
 # --- WARC --------------------------------------------------------------------------------------
 
 
