@@ -38,7 +38,7 @@ GRAM = 3
 PERCENT = 90
 BITS = 2048
 LEAF = 4
-BLOCK_SETS = 2048
+BLOCK_SETS = 8192
 BLOCK_TOKENS = 2_000_000
 FEW_PARTS = 12
 CACHED_WORDS = 1_000_000
