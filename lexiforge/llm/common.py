@@ -49,3 +49,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL: the unsigned CRC-32 of an ASCII text, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ord(ch), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    shift = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    step = f"CASE WHEN b >= 0 THEN xor(c, CAST(b AS BIGINT)) ELSE {shift} END"
+    return f"xor(4294967295, list_reduce(CAST({steps} AS BIGINT[]), lambda c, b: {step}, CAST(4294967295 AS BIGINT)))"
