@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import gif, html, licenses, mixing, ngram_join, packing, quality, runs, toxicity, urls, warc
+from lexiforge.llm import gif, html, licenses, mixing, ngram_join, packing, quality, runs, toxicity, tries, urls, warc
 from lexiforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op9_ngram_jaccard": lambda s, d: ngram_join.op9_ngram_jaccard(table(s, d, "documents")),
         "op10_packing": lambda s, d: packing.op10_packing(table(s, d, "documents")),
         "op12_periodic_runs": lambda s, d: runs.op12_periodic_runs(table(s, d, "documents")),
+        "op13_prefix_trie": lambda s, d: tries.op13_prefix_trie(table(s, d, "conversations")),
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc": warc.oracle(),
         "op9_ngram_jaccard": ngram_join.oracle(),
         "op12_periodic_runs": runs.oracle(),
+        "op13_prefix_trie": tries.oracle(),
     }
