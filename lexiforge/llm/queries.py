@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import gif, html, licenses, mixing, ngram_join, packing, quality, runs, toxicity, tries, urls, warc
+from lexiforge.llm import chats, gif, html, licenses, mixing, ngram_join, packing, quality, runs, toxicity, tries, urls, warc
 from lexiforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op6_quality_rules": lambda s, d: quality.op6_quality_rules(table(s, d, "documents")),
         "op9_ngram_jaccard": lambda s, d: ngram_join.op9_ngram_jaccard(table(s, d, "documents")),
         "op10_packing": lambda s, d: packing.op10_packing(table(s, d, "documents")),
+        "op11_chat_format": lambda s, d: chats.op11_chat_format(table(s, d, "conversations")),
         "op12_periodic_runs": lambda s, d: runs.op12_periodic_runs(table(s, d, "documents")),
         "op13_prefix_trie": lambda s, d: tries.op13_prefix_trie(table(s, d, "conversations")),
     }
@@ -34,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": quality.oracle(),
         "op8_warc": warc.oracle(),
         "op9_ngram_jaccard": ngram_join.oracle(),
+        "op11_chat_format": chats.oracle(),
         "op12_periodic_runs": runs.oracle(),
         "op13_prefix_trie": tries.oracle(),
     }
