@@ -1,23 +1,23 @@
 """Paths through lattices: best, sampled, n best; and the sums over all paths.
 
-Everything folds over a segment's sorted edge array in the JVM, a row per *distinct* segment. Lines that are too long
-for array folds (they cost length times edges) take ``segment_long_lines``, the same recurrence in an Arrow job.
+Best paths go by a walk of the vocabulary's trie (lines.py), for words and whole lines alike. Vocabularies that are too
+large for it, samples and the sums of single edges fold over a segment's sorted edge array in the JVM, a row per *distinct*
+segment; that costs length times edges, so it is for words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions.arrays import evaluated, let, log_sum_exp, minus_infinity
 from lexiforge.functions.patterns import UNK
 from lexiforge.functions.text import SPACE, normalize_for_model, strip
-from lexiforge.operators.ngrams import to_segments, uniform_hash, unit_interval
 from lexiforge.operators.lattice import edge_arrays, lattice, with_scores
+from lexiforge.operators.lines import best_paths_by_trie
+from lexiforge.operators.ngrams import spread, to_segments, uniform_hash, unit_interval
+from lexiforge.operators.trie import fits, matcher
 
-MAX_FOLD_LENGTH = 200
 STEP = "array<struct<start:int,l:int,token_id:int>>"
 
 
@@ -69,6 +69,8 @@ def best_paths(scored: DataFrame) -> DataFrame:
 
 def segment_segments(segments: DataFrame, vocab: DataFrame, max_length: int | None = None) -> DataFrame:
     """Best paths of ``segments(seg, weight)`` under ``vocab(token_id, token, lp)``."""
+    if fits(vocab):
+        return best_paths_by_trie(spread(segments), matcher(vocab, max_length, score="lp"))
     return best_paths(with_scores(edge_arrays(lattice(segments, vocab, max_length)), vocab))
 
 
@@ -80,40 +82,11 @@ def segment_corpus(lines: DataFrame, vocab: DataFrame, key: str = "line_id", tex
     return lines.select(key).join(found, key, "left").select(key, F.coalesce(F.flatten("a.pieces"), F.array().cast("array<string>")).alias("pieces"), F.coalesce(F.flatten("a.ids"), F.array().cast("array<int>")).alias("ids"))
 
 
-def segment_long_lines(lines: DataFrame, vocab: DataFrame, key: str = "line_id", text: str = "text", limit: int = 2_000_000) -> DataFrame:
-    """(key, pieces, ids) of whole lines, blanks as head marks, for any length: an Arrow job with the vocabulary in it.
-
-    The vocabulary travels with the tasks, so its size is checked; a larger one needs the word-wise form.
-    """
-    rows = vocab.select("token", "token_id", "lp").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a vocabulary of more than {limit} tokens: use segment_corpus")
-    table = {r[0]: (r[1], r[2]) for r in rows if r[2] is not None}
-    longest, unk = max(map(len, table), default=1), table.get(UNK)
-
-    def best(line: str) -> tuple[list[str], list[int]]:
-        score, back = [0.0] + [float("-inf")] * len(line), [(0, -1)] * (len(line) + 1)
-        for e in range(1, len(line) + 1):
-            for n in range(1, min(longest, e) + 1):
-                hit = table.get(line[e - n : e]) or (unk if n == 1 else None)
-                if hit and score[e - n] + hit[1] > score[e]:
-                    score[e], back[e] = score[e - n] + hit[1], (n, hit[0])
-        at, pieces, ids = len(line), [], []
-        while at > 0 and back[at][0]:
-            n, token_id = back[at]
-            pieces.append(line[at - n : at])
-            ids.append(token_id)
-            at -= n
-        return (pieces[::-1], ids[::-1]) if at == 0 else ([], [])
-
-    def run(batches: Iterator) -> Iterator:
-        for frame in batches:
-            found = [best(t) if t else ([], []) for t in frame["seg"]]
-            yield frame.assign(pieces=[p for p, _ in found], ids=[i for _, i in found])[["k", "pieces", "ids"]]
-
-    kind = dict(lines.dtypes)[key]
-    segs = lines.select(F.col(key).alias("k"), F.when(strip(F.col(text)) != "", normalize_for_model(strip(F.col(text)))).alias("seg"))
-    return segs.mapInPandas(run, f"k {kind}, pieces array<string>, ids array<int>").withColumnRenamed("k", key)
+def segment_long_lines(lines: DataFrame, vocab: DataFrame, key: str = "line_id", text: str = "text") -> DataFrame:
+    """(key, pieces, ids) of whole lines, blanks as head marks, for any length; null and blank lines have none."""
+    stripped = strip(F.col(text))
+    segs = lines.select(key, F.when(stripped != "", normalize_for_model(stripped)).alias("seg"))
+    return best_paths_by_trie(segs, matcher(vocab, score="lp"), keep=key).select(key, "pieces", "ids")
 
 
 # --- sums over paths ---------------------------------------------------------------------------
@@ -207,11 +180,6 @@ def nbest_paths(scored: DataFrame, n: int) -> DataFrame:
     return rows.select("seg", "weight", (F.col("i") + 1).alias("rank"), pieces.alias("pieces"), F.col("h.s").alias("score"))
 
 
-def nbest_point(scored: DataFrame, n: int) -> DataFrame:
-    """The n best paths as a boundary-flipping search reports them; this one is exact, so it misses none."""
-    return nbest_paths(scored, n)
-
-
 def sample_from_nbest(scored: DataFrame, m: int, n: int, lam: float = 1.0, seed: int = 0) -> DataFrame:
     """``m`` of the ``n`` best paths without replacement, by weight exp(lam * score): the largest Gumbel keys."""
     best = nbest_paths(scored, n)

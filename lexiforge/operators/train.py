@@ -1,8 +1,8 @@
 """Training a unigram model: expectation-maximisation and best-path variants, and shrinking to a size.
 
-The lattice is built once per vocabulary and persisted as one edge array per distinct segment; an iteration scans it,
-folds, and adds up by token id (partial and final hash aggregate). Probabilities are written to the shared checkpoint
-folder after each iteration, so neither lineage nor a lost executor grows the work.
+A ``Trainer`` holds the distinct segments: beside the vocabulary's trie, or, where that would be too large, as edge arrays
+built once per vocabulary. An iteration scans them and adds up by token id (partial and final hash aggregate). Probabilities
+are written to the shared checkpoint folder after each iteration, so neither lineage nor a lost executor grows the work.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from lexiforge.functions.patterns import UNK
 from lexiforge.functions.text import split_digits
 from lexiforge.operators import ngrams, vocab as V
 from lexiforge.operators.lattice import edge_arrays, lattice, with_scores
+from lexiforge.operators.lines import best_paths_by_trie, em_counts_by_trie
 from lexiforge.operators.segment import best_paths, path_sums, posteriors
+from lexiforge.operators.trie import fits, matcher, with_scores_of
 
 TINY = 1e-30
 
@@ -53,29 +55,63 @@ def em_counts(arrays: DataFrame, vocab: DataFrame, repeats: str = "sum", normali
     return post.groupBy("token_id").agg(F.sum(F.col("post") * F.col("weight")).alias("mass"))
 
 
-def em_step(arrays: DataFrame, vocab: DataFrame, repeats: str = "sum", normalize: str = "line", prune: float | None = None) -> DataFrame:
-    """``vocab`` with new theta; ``prune`` is a threshold for prune_vocab.
+class Trainer:
+    """The segments of a training run under a vocabulary whose tokens stay the same."""
+
+    def __init__(self, segments: DataFrame, vocab: DataFrame, max_length: int | None = None, repeats: str = "sum") -> None:
+        self.repeats, self.tries = repeats, None
+        if repeats == "sum" and fits(vocab):
+            self.tries = matcher(vocab, max_length)
+            self.rows = ngrams.spread(segments).persist()
+        else:
+            self.rows = edge_arrays(lattice(segments, vocab, max_length)).persist()
+
+    def masses(self, vocab: DataFrame, normalize: str = "line") -> DataFrame:
+        """(token_id, mass): the E-step."""
+        if self.tries is None:
+            return em_counts(self.rows, vocab, self.repeats, normalize)
+        return em_counts_by_trie(self.rows, self.tries, with_scores_of(with_lp(vocab), self.tries), normalize)
+
+    def best(self, vocab: DataFrame, ticks: float | None = None, rows: DataFrame | None = None) -> DataFrame:
+        """(seg, weight, pieces, ids, score): best paths of all segments, or of some ``rows`` of them."""
+        rows = self.rows if rows is None else rows
+        if self.tries is None:
+            return best_paths(with_scores(rows, with_lp(vocab, ticks)))
+        return best_paths_by_trie(rows, self.tries, with_scores_of(with_lp(vocab, ticks), self.tries))
+
+    def __enter__(self) -> Trainer:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.rows.unpersist()
+
+
+def maximised(vocab: DataFrame, counts: DataFrame, prune: float | None = None) -> DataFrame:
+    """``vocab`` with new theta from ``counts(token_id, mass)``; ``prune`` is a threshold for prune_vocab.
 
     The masses, a row per token, are written once: their sum and the quotients would each run the E-step.
     """
-    mass = checkpointed(em_counts(arrays, vocab, repeats, normalize))
     rest = [c for c in vocab.columns if c not in ("theta", "lp")]
-    joined = vocab.select(*rest).join(mass, "token_id", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)) + TINY)
+    joined = vocab.select(*rest).join(checkpointed(counts), "token_id", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)) + TINY)
     new = ngrams.normalized(joined, "mass").drop("mass")
     return new if prune is None else V.prune_vocab(new, prune)
 
 
+def em_step(arrays: DataFrame, vocab: DataFrame, repeats: str = "sum", normalize: str = "line", prune: float | None = None) -> DataFrame:
+    """``vocab`` with new theta, from edge arrays."""
+    return maximised(vocab, em_counts(arrays, vocab, repeats, normalize), prune)
+
+
 def train_em(segments: DataFrame, vocab: DataFrame, max_iter: int = 2, repeats: str = "sum", normalize: str = "line", prune: float | None = None, max_length: int | None = None) -> DataFrame:
-    arrays = edge_arrays(lattice(segments, vocab, max_length)).persist()
-    for _ in range(max_iter):
-        vocab = checkpointed(em_step(arrays, vocab, repeats, normalize, prune))
-    arrays.unpersist()
+    """Expectation-maximisation over words or whole lines of any length."""
+    with Trainer(segments, vocab, max_length, repeats) as held:
+        for _ in range(max_iter):
+            vocab = checkpointed(maximised(vocab, held.masses(vocab, normalize), prune))
     return vocab
 
 
-def viterbi_counts(arrays: DataFrame, vocab: DataFrame, ticks: float | None = None) -> DataFrame:
-    """(token_id, n) on best paths, by weight."""
-    paths = best_paths(with_scores(arrays, with_lp(vocab, ticks)))
+def token_counts_of(paths: DataFrame) -> DataFrame:
+    """(token_id, n) of best paths, by weight."""
     return paths.select(F.explode("ids").alias("token_id"), "weight").groupBy("token_id").agg(F.sum("weight").alias("n"))
 
 
@@ -88,11 +124,10 @@ def _relative(vocab: DataFrame, counts: DataFrame, n: str) -> DataFrame:
 
 def train_viterbi(segments: DataFrame, vocab: DataFrame, max_iter: int = 2, prune: float | None = None, max_length: int | None = None, ticks: float | None = None) -> DataFrame:
     """Hard EM: relative counts on best paths, without smoothing; unseen tokens get 0."""
-    arrays = edge_arrays(lattice(segments, vocab, max_length)).persist()
-    for _ in range(max_iter):
-        vocab = _relative(vocab, viterbi_counts(arrays, vocab, ticks), "n")
-        vocab = checkpointed(vocab if prune is None else V.prune_vocab(vocab, prune))
-    arrays.unpersist()
+    with Trainer(segments, vocab, max_length) as held:
+        for _ in range(max_iter):
+            vocab = _relative(vocab, token_counts_of(held.best(vocab, ticks)), "n")
+            vocab = checkpointed(vocab if prune is None else V.prune_vocab(vocab, prune))
     return vocab
 
 
@@ -101,10 +136,9 @@ def batched(segments: DataFrame, batches: int, seed: int = 0) -> DataFrame:
     return segments.withColumn("batch", F.floor(ngrams.uniform_hash("seg", seed=seed) * batches).cast("int"))
 
 
-def batch_shares(arrays: DataFrame, vocab: DataFrame, batches: int, seed: int = 0, ticks: float | None = None) -> DataFrame:
+def batch_shares(paths: DataFrame, batches: int, seed: int = 0) -> DataFrame:
     """(batch, token_id, share): relative counts of each batch's best paths."""
-    paths = batched(best_paths(with_scores(arrays, with_lp(vocab, ticks))), batches, seed)
-    counts = paths.select("batch", F.explode("ids").alias("token_id"), "weight").groupBy("batch", "token_id").agg(F.sum("weight").alias("n"))
+    counts = batched(paths, batches, seed).select("batch", F.explode("ids").alias("token_id"), "weight").groupBy("batch", "token_id").agg(F.sum("weight").alias("n"))
     totals = counts.groupBy("batch").agg(F.sum("n").alias("total"))
     return counts.join(totals, "batch").select("batch", "token_id", (F.col("n") / F.col("total")).alias("share"))
 
@@ -112,26 +146,28 @@ def batch_shares(arrays: DataFrame, vocab: DataFrame, batches: int, seed: int =
 def train_viterbi_batch(segments: DataFrame, vocab: DataFrame, max_iter: int = 1, batch: int = 256, seed: int = 0, max_length: int | None = None, ticks: float | None = None) -> DataFrame:
     """The mean of the batches' relative counts, all batches against the same probabilities."""
     n = max(1, segments.count() // batch)
-    arrays = edge_arrays(lattice(segments, vocab, max_length)).persist()
-    for _ in range(max_iter):
-        mean = batch_shares(arrays, vocab, n, seed, ticks).groupBy("token_id").agg((F.sum("share") / n).alias("share"))
-        vocab = checkpointed(_relative(vocab, mean, "share"))
-    arrays.unpersist()
+    with Trainer(segments, vocab, max_length) as held:
+        for _ in range(max_iter):
+            mean = batch_shares(held.best(vocab, ticks), n, seed).groupBy("token_id").agg((F.sum("share") / n).alias("share"))
+            vocab = checkpointed(_relative(vocab, mean, "share"))
     return vocab
 
 
+def stepped(vocab: DataFrame, counts: DataFrame, step: int, decay: float) -> DataFrame:
+    """``vocab`` moved towards the relative ``counts(token_id, n)`` by (step + 2) ** -decay."""
+    rate = (step + 2) ** -decay
+    part = _relative(vocab, counts, "n").select("token_id", F.col("theta").alias("_new"))
+    mixed = vocab.join(part, "token_id").withColumn("theta", F.col("theta") * (1 - rate) + F.col("_new") * rate)
+    return mixed.select(*vocab.columns)
+
+
 def train_viterbi_stepwise(segments: DataFrame, vocab: DataFrame, batches: int = 4, decay: float = 0.8, seed: int = 0, max_length: int | None = None, ticks: float | None = None) -> DataFrame:
-    """Online: theta moves towards each batch's relative counts by (step + 2) ** -decay; a Spark job per batch."""
-    arrays = batched(edge_arrays(lattice(segments, vocab, max_length)), batches, seed).persist()
-    for step in range(batches):
-        rate = (step + 2) ** -decay
-        own = arrays.where(F.col("batch") == step)
-        if own.isEmpty():
-            continue  # a batch without segments teaches nothing
-        part = _relative(vocab, viterbi_counts(own, vocab, ticks), "n").select("token_id", F.col("theta").alias("_new"))
-        mixed = vocab.join(part, "token_id").withColumn("theta", F.col("theta") * (1 - rate) + F.col("_new") * rate)
-        vocab = checkpointed(mixed.select(*vocab.columns))
-    arrays.unpersist()
+    """Online: theta moves towards each batch's relative counts; a Spark job per batch."""
+    with Trainer(segments, vocab, max_length) as held:
+        for step in range(batches):
+            own = batched(held.rows, batches, seed).where(F.col("batch") == step).drop("batch")
+            if not own.isEmpty():  # a batch without segments teaches nothing
+                vocab = checkpointed(stepped(vocab, token_counts_of(held.best(vocab, ticks, own)), step, decay))
     return vocab
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as X
 from lexiforge.functions.patterns import HEAD, RUN_SYMBOLS, SYMBOLS, UNK
-from lexiforge.operators import conversations as C, lattice as L, metrics as E, ngrams as N, segment as S, train as M, vocab as V
+from lexiforge.operators import conversations as C, lattice as L, lines as W, metrics as E, nbest as B, ngrams as N, segment as S, train as M, vocab as V
+from lexiforge.operators.trie import matcher
 from lexiforge.plans import recipes
 from lexiforge.plans.base import EDGES, LN_EDGES, MARKERS, MAX_LENGTH, MIN_FREQ, NG, PATHS, SEEDS, SEG, SUB, VOC, WORDS
 from lexiforge.plans.base import edges_sql, forward_sql, grams, nbest_sql, paths_sql, scratch, seeds, segments, sums_sql, table, typed, unit_sql, vocab
@@ -495,6 +496,20 @@ def segment_corpus(s, d):
     return coded(s, d).select("doc_id", F.array_join("pieces", " ").alias("pieces"))
 
 
+@query("lattice_walk", f"WITH {EDGES} SELECT seg, e, l, token_id FROM ed")
+def lattice_walk(s, d):
+    walked = W.lattice_arrays(segments(s, d), matcher(vocab(s, d), MAX_LENGTH))
+    return walked.select("seg", F.inline("ed"))
+
+
+@query("line_sums")
+def line_sums(s, d):
+    """Sums over all paths of every document as one line."""
+    lines = N.to_segments(table(s, d, "documents"), space_split=False)
+    found = W.line_sums(lines, matcher(M.with_lp(vocab(s, d)), MAX_LENGTH, score="lp"))
+    return found.select("seg_sha256", F.round("loglik", 3).alias("loglik"), F.round("expected_tokens", 3).alias("expected_tokens"))
+
+
 @query("segment_long_lines")
 def segment_long_lines(s, d):
     return S.segment_long_lines(table(s, d, "documents"), vocab(s, d), "doc_id").select("doc_id", F.array_join("pieces", " ").alias("pieces"))
@@ -529,9 +544,32 @@ def nbest_paths(s, d):
     return S.nbest_paths(scored(s, d), 3).select("seg", "rank", F.array_join("pieces", " ").alias("pieces"), F.col("score").cast("long").alias("score"))
 
 
-@query("nbest_point", f"WITH RECURSIVE {EDGES}, {nbest_sql(2)} SELECT seg, rank, {CUT} AS pieces, CAST(score AS BIGINT) AS score FROM nbest")
+def searched(df: DataFrame) -> DataFrame:
+    return df.select("seg", "rank", F.array_join("pieces", " ").alias("pieces"), F.col("score").cast("long").alias("score"))
+
+
+@query("nbest_astar", f"WITH RECURSIVE {EDGES}, {nbest_sql(3)} SELECT seg, rank, {CUT} AS pieces, CAST(score AS BIGINT) AS score FROM nbest")
+def nbest_astar(s, d):
+    return searched(B.nbest_astar(segments(s, d), matcher(vocab(s, d), MAX_LENGTH, score="lp"), 3))
+
+
+@query("nbest_lines")
+def nbest_lines(s, d):
+    lines = N.to_segments(table(s, d, "documents"), space_split=False)
+    found = searched(B.nbest_astar(lines, matcher(vocab(s, d), MAX_LENGTH, score="lp"), 3))
+    return found.withColumn("seg", F.sha2("seg", 256))
+
+
+@query("nbest_point")
 def nbest_point(s, d):
-    return S.nbest_point(scored(s, d), 2).select("seg", "rank", F.array_join("pieces", " ").alias("pieces"), F.col("score").cast("long").alias("score"))
+    return searched(B.nbest_point(segments(s, d), matcher(vocab(s, d), MAX_LENGTH, score="lp"), 3))
+
+
+@query("nbest_point_share")
+def nbest_point_share(s, d):
+    """How many of the three best paths of every word the search by boundaries finds."""
+    words, tries = segments(s, d), matcher(vocab(s, d), MAX_LENGTH, score="lp")
+    return B.found_share(B.nbest_point(words, tries, 3), B.nbest_astar(words, tries, 3))
 
 
 @query("sample_from_nbest", f"WITH RECURSIVE {EDGES}, {nbest_sql(4)} SELECT seg, rank, {CUT} AS pieces FROM nbest QUALIFY row_number() OVER (PARTITION BY seg ORDER BY score * 1e-6 - ln(-ln({unit_sql("'0:' || seg || ':' || rank")})) DESC) <= 2")
@@ -596,6 +634,13 @@ def train_em(s, d):
     return rounded(M.train_em(segments(s, d), vocab(s, d).drop("lp", "freq"), 1, max_length=MAX_LENGTH))
 
 
+@query("train_em_lines")
+def train_em_lines(s, d):
+    """One iteration over whole documents as lines."""
+    lines = N.to_segments(table(s, d, "documents"), space_split=False)
+    return rounded(M.train_em(lines, vocab(s, d).drop("lp", "freq"), 1, max_length=MAX_LENGTH))
+
+
 @query("em_mass", f"WITH RECURSIVE {LN_EDGES}, {sums_sql()} SELECT token_id, round(m, 4) AS mass FROM mass")
 def em_mass(s, d):
     v = vocab(s, d)
