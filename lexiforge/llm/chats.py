@@ -64,6 +64,15 @@ def unescape_role(role: Column) -> Column:
 # --- paths -------------------------------------------------------------------------------------
 
 
+def same_message(left: DataFrame, right: DataFrame, a: str, b: str) -> Column:
+    return left["tree_id"].eqNullSafe(right["_tree"]) & (left[a] == right[b])
+
+
+def by_id(links: DataFrame, message: str, **others: str) -> DataFrame:
+    """``links`` as the right side of a join, with names of its own."""
+    return links.select(F.col("tree_id").alias("_tree"), F.col(message).alias("_id"), *[F.col(c).alias(name) for name, c in others.items()])
+
+
 def once(messages: DataFrame) -> DataFrame:
     """(tree_id, message_id, parent_id, role, text, score): one row of each id, nulls filled in."""
     filled = messages.where("message_id is not null").select("tree_id", "message_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
@@ -72,21 +81,16 @@ def once(messages: DataFrame) -> DataFrame:
 
 
 def best_branches(links: DataFrame, width: int) -> DataFrame:
-    """The ``width`` best replies of each message by score, then id; roots stay."""
+    """The ``width`` best replies of each message by score, then id. Roots stay; a reply to a message that is not in its tree
+    becomes one, so that it differs from what loses its parent here."""
+    ids = by_id(links, "message_id")
+    links = links.join(ids, same_message(links, ids, "parent_id", "_id"), "left").select("tree_id", "message_id", F.col("_id").alias("parent_id"), "score")
+    links = stored(links)
     by = Window.partitionBy("tree_id", "parent_id").orderBy(F.desc("score"), "message_id")
     replies = links.where("parent_id is not null").withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= width).drop("_r")
     return links.where("parent_id is null").unionByName(replies)
 
 
-def same_message(left: DataFrame, right: DataFrame, a: str, b: str) -> Column:
-    return left["tree_id"].eqNullSafe(right["_tree"]) & (left[a] == right[b])
-
-
-def by_id(links: DataFrame, message: str, **others: str) -> DataFrame:
-    """``links`` as the right side of a join, with names of its own."""
-    return links.select(F.col("tree_id").alias("_tree"), F.col(message).alias("_id"), *[F.col(c).alias(name) for name, c in others.items()])
-
-
 class Ancestors:
     """``rounds[k]``: (tree_id, message_id, up, score) with the ancestor 2**k above and the scores from the message's parent
     to that one. ``circular``: some messages lie on or below a cycle; they have ancestors in every round."""
@@ -108,8 +112,9 @@ class Ancestors:
         self.rounds = [F.broadcast(r) if n <= SMALL_ROUND else r for r, n in zip(rounds, sizes, strict=True) if n]
 
 
-def leaf_paths(links: DataFrame, above: Ancestors) -> DataFrame:
-    """(tree_id, leaf, depth, score): a path for every message without reply; the score is the mean of its messages'."""
+def leaf_paths(links: DataFrame, above: Ancestors, pruned: bool = False) -> DataFrame:
+    """(tree_id, leaf, depth, score): a path for every message without reply; the score is the mean of its messages'.
+    ``pruned``: a message whose parent is gone belongs to a branch that was cut off."""
     at = links.select("tree_id", F.col("message_id").alias("leaf"), F.col("message_id").alias("at"), F.lit(0).cast("long").alias("depth"), F.col("score").cast("double").alias("score"))
     for k, jumps in reversed(list(enumerate(above.rounds))):
         if k == len(above.rounds) - 1:
@@ -122,6 +127,10 @@ def leaf_paths(links: DataFrame, above: Ancestors) -> DataFrame:
     if above.circular:  # what still has an ancestor has no root
         rest = by_id(above.rounds[0], "message_id")
         at = at.join(rest, same_message(at, rest, "at", "_id"), "left_anti")
+    if pruned:
+        replies, linked = links.where("parent_id is not null"), by_id(above.rounds[0], "message_id") if above.rounds else None
+        lost = by_id(replies if linked is None else replies.join(linked, same_message(replies, linked, "message_id", "_id"), "left_anti"), "message_id")
+        at = at.join(lost, same_message(at, lost, "at", "_id"), "left_anti")
     return at.select("tree_id", "leaf", "depth", (F.col("score") / (F.col("depth") + 1)).alias("score"))
 
 
@@ -218,7 +227,7 @@ def format_trees(messages: DataFrame, width: int | None = None, keep: int | None
     links = rows.select("tree_id", "message_id", "parent_id", "score")
     links = stored((links.distinct() if unique else links) if width is None else best_branches(links, width))
     above = Ancestors(links)
-    paths = leaf_paths(links, above)
+    paths = leaf_paths(links, above, width is not None)
     if keep is not None:
         paths = best_paths(paths, keep)
     return format_paths(path_messages(stored(paths), above), rows, links)
