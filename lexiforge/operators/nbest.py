@@ -1,8 +1,7 @@
 """N best paths of segments of any length by searches over a segment's edges.
 
 ``nbest_astar``: backwards from the end, always along the suffix whose best whole path is best; the best score up to a
-position, known from the forward recurrence, is the exact rest, so paths come out in order and no position is left more
-than n times. ``nbest_point``: from the best path by moving one boundary at a time; it sees neighbours only, so it may miss
+position, known from the forward recurrence, is the exact rest, so paths come out in order, each after one walk back. ``nbest_point``: from the best path by moving one boundary at a time; it sees neighbours only, so it may miss
 one of the n best, and costs a look at each boundary of each path found.
 
 Equal scores are ordered by token lengths from the front, longer first, as the fold of segment.py has them.
@@ -11,7 +10,9 @@ Equal scores are ordered by token lengths from the front, longer first, as the f
 from __future__ import annotations
 
 import heapq
+from bisect import insort
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +28,43 @@ Edges = list[list[tuple[int, float]]]
 Path = tuple[float, tuple[int, ...]]
 
 
+def parted(back: list[int], a: int, b: int) -> tuple[list[int], list[int]]:
+    """The lengths of the best paths to two positions, from where they part on; last ones first."""
+    one, two = [], []
+    while a != b:
+        if a > b:
+            one.append(back[a])
+            a -= back[a]
+        else:
+            two.append(back[b])
+            b -= back[b]
+    return one, two
+
+
 class Suffix:
-    """The rest of a path behind a position; its best whole path goes before others with the same score by ``lengths``."""
+    """The rest of a path behind a position; its best whole path goes before others with the same score by its lengths."""
 
     __slots__ = ("at", "back", "length", "next", "value", "whole")
 
     def __init__(self, value: float, whole: float, at: int, length: int, rest: Suffix | None, back: list[int]) -> None:
         self.value, self.whole, self.at, self.length, self.next, self.back = value, whole, at, length, rest, back
 
-    def lengths(self) -> tuple[int, ...]:
-        behind, node = [], self
+    def lengths(self) -> Iterator[int]:
+        node = self
         while node.next is not None:
-            behind.append(node.length)
+            yield node.length
             node = node.next
-        return (*lengths_to(self.back, self.at), *behind)
 
     def __lt__(self, other: Suffix) -> bool:
-        return self.whole > other.whole if self.whole != other.whole else self.lengths() > other.lengths()
+        if self.whole != other.whole:
+            return self.whole > other.whole
+        one, two = parted(self.back, self.at, other.at)
+        pairs = zip(chain(reversed(one), self.lengths()), chain(reversed(two), other.lengths()), strict=False)
+        return next((a > b for a, b in pairs if a != b), False)
 
 
 def lengths_to(back: list[int], at: int) -> tuple[int, ...]:
-    out = []
-    while at:
-        out.append(back[at])
-        at -= back[at]
-    return tuple(reversed(out))
+    return tuple(reversed(parted(back, at, 0)[0]))
 
 
 def forward_best(edges: Edges) -> tuple[list[float], list[int]]:
@@ -61,8 +74,12 @@ def forward_best(edges: Edges) -> tuple[list[float], list[int]]:
         value, last = float("-inf"), 0
         for length, score in edges[at]:
             reach = best[at - length] + score
-            if reach > value or (reach == value and last and (*lengths_to(back, at - length), length) > (*lengths_to(back, at - last), last)):
+            if reach > value:
                 value, last = reach, length
+            elif reach == value and last:
+                one, two = parted(back, at - length, at - last)
+                if [*reversed(one), length] > [*reversed(two), last]:
+                    last = length
         best.append(value)
         back.append(last)
     return best, back
@@ -77,25 +94,27 @@ def summed(edges: Edges, lengths: tuple[int, ...]) -> float:
 
 
 def astar(edges: Edges, n: int) -> list[Path]:
-    """The ``n`` best paths as (score, lengths), best first; ``edges[e]``: (length, score) of the edges that end at e."""
+    """The ``n`` best paths as (score, lengths), best first; ``edges[e]``: (length, score) of the edges that end at e.
+
+    A suffix that is taken up goes on to its own best whole path at once; what branches off waits, no more of it than paths
+    are still wanted.
+    """
     best, back = forward_best(edges)
-    end, left, found = len(edges) - 1, [0] * len(edges), []
-    if best[end] == float("-inf"):
-        return []
-    heap = [Suffix(0.0, best[end], end, 0, None, back)]
-    while heap and len(found) < n:
-        node = heapq.heappop(heap)
-        if node.at == 0:
-            lengths = node.lengths()
-            found.append((summed(edges, lengths), lengths))
-            continue
-        left[node.at] += 1
-        if left[node.at] > n:
-            continue
-        for length, score in edges[node.at]:
-            before = node.at - length
-            if best[before] > float("-inf"):
-                heapq.heappush(heap, Suffix(node.value + score, best[before] + (score + node.value), before, length, node, back))
+    end, found = len(edges) - 1, []
+    waiting = [Suffix(0.0, best[end], end, 0, None, back)] if best[end] > float("-inf") else []
+    while waiting and len(found) < n:
+        node, wanted = waiting.pop(0), n - len(found) - 1
+        while node.at:
+            own = node
+            for length, score in edges[own.at]:
+                before, value = own.at - length, score + own.value
+                if length == back[own.at]:
+                    node = Suffix(value, own.whole, before, length, own, back)
+                elif wanted and (len(waiting) < wanted or best[before] + value >= waiting[-1].whole) and best[before] > float("-inf"):
+                    insort(waiting, Suffix(value, best[before] + value, before, length, own, back))
+                    del waiting[wanted:]
+        lengths = tuple(node.lengths())
+        found.append((summed(edges, lengths), lengths))
     return found
 
 
