@@ -15,8 +15,13 @@ MAX_LENGTH, MIN_FREQ = 4, 30
 MARKERS = {m: i for i, m in enumerate(("<|start|>", "<|channel|>", "<|constrain|>", "<|message|>", "<|end|>", "<|return|>", "<|call|>"))}
 
 
+TEXTS = ("documents", "pages")
+
+
 def table(s: SparkSession, d: str, name: str) -> DataFrame:
-    return s.read.parquet(f"{d}/{name}.parquet")
+    """A table; texts in fewer file splits than there are cores are dealt out first (many files are read where they are)."""
+    df, cores = s.read.parquet(f"{d}/{name}.parquet"), s.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def segments(s: SparkSession, d: str) -> DataFrame:
