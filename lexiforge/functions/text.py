@@ -92,10 +92,14 @@ def byte_fallback(pieces: Column, is_known: Column) -> Column:
 
 
 def decode_pieces(pieces: Column) -> Column:
-    """The text of a piece array: byte pieces as UTF-8, head marks as blanks, one leading blank dropped."""
+    """The text of a piece array: byte pieces as UTF-8, head marks as blanks, one leading blank dropped.
+
+    Bytes that are no UTF-8 become U+FFFD, one for each longest start of a character, as Unicode recommends.
+    """
     is_byte = lambda p: p.rlike("^<0x[0-9A-F]{2}>$")
     raw = lambda p: F.when(is_byte(p), F.substring(p, 4, 2)).otherwise(F.hex(F.encode(F.translate(p, HEAD, " "), "UTF-8")))
-    return F.regexp_replace(F.decode(F.unhex(F.array_join(F.transform(pieces, raw), "")), "UTF-8"), "^ ", "")
+    data = F.unhex(F.array_join(F.transform(pieces, raw), ""))
+    return F.regexp_replace(F.make_valid_utf8(data.cast("string")), "^ ", "")
 
 
 def add_eod(ids: Column, eod: int, pair: Column | None = None) -> Column:

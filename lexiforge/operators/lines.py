@@ -42,7 +42,7 @@ class Group:
     the first character that is not context.
     """
 
-    def __init__(self, texts: list[str], made: Matcher, left: np.ndarray | None = None) -> None:
+    def __init__(self, texts: list[str], made: Matcher, left: np.ndarray | None = None, unknown: bool = True) -> None:
         points = [code_points(t) for t in texts]
         self.left = np.zeros(len(texts), dtype=np.int64) if left is None else left
         whole = np.array(list(map(len, points)), dtype=np.int64)
@@ -54,7 +54,7 @@ class Group:
         if inside.any():
             codes[inside] = made.trie.encode(np.concatenate(points))
         start, length, token = made.trie.walk(codes, made.longest)
-        if made.unk >= 0:
+        if unknown and made.unk >= 0:
             known = ~inside
             known[start[length == 1]] = True
             lone = np.flatnonzero(~known)
@@ -203,6 +203,38 @@ def lattice_arrays(segments: DataFrame, tries: Broadcast) -> DataFrame:
     return spread(segments).select("seg", "weight").mapInArrow(run, "seg string, weight long, ed array<struct<e:int,l:int,token_id:int>>")
 
 
+def apart(group: Group) -> np.ndarray:
+    """For each token of a group how often it occurs, of occurrences that overlap the first from the left."""
+    start = group.end - group.length
+    by = np.lexsort((start, group.row, group.token))
+    token, start, length = group.token[by].astype(np.int64), start[by], group.length[by]
+    span = group.last + group.band + 1
+    place = (token * group.n + group.row[by]) * span + start  # ascending
+    after = np.searchsorted(place, place + length)  # the next occurrence that does not overlap, if it has the same line
+    same = np.r_[place // span, -1]
+    after = np.where(same[after] == same[:-1], after, len(place))
+    times, to = np.r_[np.ones(len(place), np.int64), 0], np.r_[after, len(place)]
+    while (to < len(place)).any():
+        times, to = times + times[to], to[to]
+    first = np.flatnonzero(np.r_[True, same[1:-1] != same[:-2]]) if len(place) else np.zeros(0, np.int64)
+    return np.bincount(token[first], weights=times[first]).astype(np.int64)
+
+
+def entry_counts(lines: DataFrame, tries: Broadcast) -> DataFrame:
+    """(token_id, freq): non-overlapping occurrences of every token in every line of ``lines(seg)``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = tries.value
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for own in groups(texts, 1):
+                times = apart(Group([texts[i] for i in own], made))
+                token = np.flatnonzero(times)
+                yield pa.RecordBatch.from_arrays([pa.array(made.ids[token]), pa.array(times[token])], names=["token_id", "freq"])
+
+    return lines.select("seg").mapInArrow(run, "token_id int, freq long").groupBy("token_id").agg(F.sum("freq").alias("freq"))
+
+
 def piece_arrays(texts: list[str], group: Group, ends: np.ndarray, score: np.ndarray, ids: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Pieces and ids of the texts of a group: its pieces, end to end, are its texts, so only their offsets are computed."""
     edges = ends[np.lexsort((group.end[ends], group.row[ends]))]
@@ -238,6 +270,63 @@ def best_paths_by_trie(segments: DataFrame, tries: Broadcast, scores: Broadcast
     return segments.select("seg", keep).mapInArrow(run, f"seg string, {keep} {dict(segments.dtypes)[keep]}, {PIECES}")
 
 
+def word_segments_by_trie(lines: DataFrame, tries: Broadcast, key: str) -> DataFrame:
+    """(key, pieces, ids) of ``lines(key, segs)``, arrays of words: the distinct words of a batch are solved once, where
+    they are. No word is shuffled, so frequent ones load no task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = tries.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                words = part.column(1).flatten().dictionary_encode()
+                texts, pieces, ids, order = words.dictionary.to_pylist(), [], [], []
+                for own in groups(texts, made.longest):
+                    some = [texts[i] for i in own]
+                    group = Group(some, made).scored(made.scores)
+                    score, ends = group.best()
+                    for out, found in zip((pieces, ids), piece_arrays(some, group, ends, score, made.ids), strict=True):
+                        out.append(found)
+                    order += own
+                place = np.empty(len(texts), dtype=np.int64)
+                place[order] = np.arange(len(texts))
+                pick = pa.array(place[words.indices.to_numpy(zero_copy_only=False)])
+                of_line = np.r_[0, np.cumsum([x or 0 for x in part.column(1).value_lengths().to_pylist()])]
+                columns = [part.column(0)]
+                for found, kind in ((pieces, pa.list_(pa.string())), (ids, pa.list_(pa.int32()))):
+                    taken = (pa.concat_arrays(found) if found else pa.array([], kind)).take(pick)
+                    of_word = np.r_[0, np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False))]
+                    columns.append(pa.ListArray.from_arrays(pa.array(of_word[of_line].astype(np.int32)), taken.flatten()))
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "pieces", "ids"])
+
+    kind = dict(lines.dtypes)[key]
+    return lines.select(key, "segs").mapInArrow(run, f"{key} {kind}, pieces array<string>, ids array<int>")
+
+
+def ids_by_trie(lines: DataFrame, tries: Broadcast, key: str) -> DataFrame:
+    """(key, ids) of ``lines(key, pieces)``; the distinct pieces of a batch are looked up once, where they are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = tries.value
+        unk = made.ids[made.unk] if made.unk >= 0 else -1
+        for batch in batches:
+            pieces = batch.column(1).flatten().dictionary_encode()
+            texts = [t or "" for t in pieces.dictionary.to_pylist()]
+            found = np.full(len(texts), unk, dtype=np.int32)
+            if texts:
+                group = Group(texts, made, unknown=False)
+                whole = group.length == group.size[group.row]
+                found[group.row[whole]] = made.ids[group.token[whole]]
+            indices = pieces.indices.to_numpy(zero_copy_only=False)
+            offsets = np.r_[0, np.cumsum([x or 0 for x in batch.column(1).value_lengths().to_pylist()])].astype(np.int32)
+            known = found[np.nan_to_num(indices, nan=0).astype(np.int64)] if texts else np.zeros(0, np.int32)
+            known = np.where(np.isnan(indices), unk, known) if len(known) else known
+            ids = pa.array(known.astype(np.int32), mask=known < 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=[key, "ids"])
+
+    return lines.select(key, "pieces").mapInArrow(run, f"{key} {dict(lines.dtypes)[key]}, ids array<int>")
+
+
 # --- sums over paths ---------------------------------------------------------------------------
 
 MASS = "token_id int, mass double"

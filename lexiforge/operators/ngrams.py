@@ -151,11 +151,20 @@ def vocab_from_scores(scored: DataFrame, vocab: DataFrame | None = None, missing
 def substring_freq(lines: DataFrame, vocab: DataFrame, text: str = "text", max_length: int | None = None) -> DataFrame:
     """(token, freq): non-overlapping occurrences of each entry in each stripped line, as counting left to right finds.
 
-    Distinct lines meet entries by equal n-grams; only lines that hold an entry are counted.
+    Lines are walked through the entries' trie where they are, and each task sends a count for an entry; for entries that
+    are too many for that, distinct lines meet them by equal n-grams.
     """
+    from lexiforge.operators.lines import entry_counts
+    from lexiforge.operators.trie import fits, matcher
+
     entries = vocab.select("token").where("token <> ''").distinct()
+    stripped = lines.select(strip(F.col(text)).alias("seg")).where("seg <> ''")
+    if max_length is None and fits(entries):
+        numbered = index_vocab(entries).persist()
+        counts = entry_counts(stripped, matcher(numbered, use_unk=False))
+        return numbered.join(counts, "token_id", "left").select("token", F.coalesce("freq", F.lit(0)).alias("freq"))
     longest = max_length or entries.agg(F.max(F.length("token"))).collect()[0][0] or 1
-    distinct = lines.select(strip(F.col(text)).alias("seg")).where("seg <> ''").groupBy("seg").agg(F.count("*").alias("weight"))
+    distinct = stripped.groupBy("seg").agg(F.count("*").alias("weight"))
     grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("seg"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("seg") - n + 1), lambda i: F.substring("seg", i, n)))))
     pairs = distinct.select("seg", "weight", F.explode(grams).alias("token")).join(entries, "token")
     times = (F.length("seg") - F.length(F.replace("seg", F.col("token"), F.lit("")))) / F.length("token")

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions.arrays import evaluated, let, log_sum_exp, minus_infinity
 from lexiforge.functions.patterns import UNK
-from lexiforge.functions.text import SPACE, normalize_for_model, strip
+from lexiforge.functions.text import SPACE, normalize_for_model, strip, words as text_words
 from lexiforge.operators.lattice import edge_arrays, lattice, with_scores
-from lexiforge.operators.lines import best_paths_by_trie
+from lexiforge.operators.lines import best_paths_by_trie, ids_by_trie, word_segments_by_trie
 from lexiforge.operators.ngrams import spread, to_segments, uniform_hash, unit_interval
 from lexiforge.operators.trie import fits, matcher
 
@@ -75,7 +75,11 @@ def segment_segments(segments: DataFrame, vocab: DataFrame, max_length: int | No
 
 
 def segment_corpus(lines: DataFrame, vocab: DataFrame, key: str = "line_id", text: str = "text", max_length: int | None = None) -> DataFrame:
-    """(key, pieces, ids) of every line, word by word: distinct words are solved once and joined back."""
+    """(key, pieces, ids) of every line, word by word: with the vocabulary's trie each task solves the words of its lines;
+    with a larger vocabulary distinct words are solved once and joined back."""
+    if fits(vocab):
+        segs = F.transform(text_words(F.col(text)), lambda w: F.concat(F.lit("▁"), w))
+        return word_segments_by_trie(lines.select(key, segs.alias("segs")), matcher(vocab, max_length, score="lp"), key)
     words = lines.select(key, F.posexplode(F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")).alias("i", "w")).withColumn("seg", F.concat(F.lit("▁"), "w"))
     solved = segment_segments(to_segments(lines, text), vocab, max_length).select("seg", "pieces", "ids")
     found = words.join(solved, "seg").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "pieces", "ids"))).alias("a"))
@@ -190,7 +194,9 @@ def sample_from_nbest(scored: DataFrame, m: int, n: int, lam: float = 1.0, seed:
 
 
 def pieces_to_ids(lines: DataFrame, vocab: DataFrame, key: str = "line_id") -> DataFrame:
-    """(key, ids): unknown pieces get the unknown token's id."""
+    """(key, ids): unknown pieces get the unknown token's id; no piece is shuffled if the vocabulary's trie fits."""
+    if fits(vocab):
+        return ids_by_trie(lines.where("pieces is not null and size(pieces) > 0"), matcher(vocab), key)
     unk = vocab.where(F.col("token") == UNK).agg(F.max("token_id")).collect()[0][0]
     rows = lines.select(key, F.posexplode("pieces").alias("i", "token")).join(vocab.select("token", "token_id"), "token", "left")
     ids = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("token_id", F.lit(unk)).alias("id")))).alias("a"))

@@ -16,7 +16,9 @@ from lexiforge.functions.patterns import UNK
 from lexiforge.functions.text import split_digits
 from lexiforge.operators import ngrams, vocab as V
 from lexiforge.operators.lattice import edge_arrays, lattice, with_scores
+from lexiforge.operators.levels import frequent_ngrams
 from lexiforge.operators.lines import best_paths_by_trie, em_counts_by_trie
+from lexiforge.operators.nbest import nbest_astar
 from lexiforge.operators.segment import best_paths, path_sums, posteriors
 from lexiforge.operators.trie import fits, matcher, with_scores_of
 
@@ -179,18 +181,32 @@ def trainer_options(mode: str, epochs: int, ticks: float | None = None) -> dict:
     return ({} if mode == "viterbi_stepwise" else {"max_iter": epochs}) | ({} if mode == "em" else {"ticks": ticks})
 
 
-def train_vocab(segments: DataFrame, vocab: DataFrame, size: int, shrink_ratio: float = 0.8, max_epoch: int = 2, mode: str = "em", keep_char: bool = False, seed: int = 0, max_length: int | None = None, ticks: float | None = None) -> DataFrame:
-    """Trains, keeps the best ``shrink_ratio``, renumbers and restarts until ``size`` tokens are left; then trains."""
+def train_vocab(segments: DataFrame, vocab: DataFrame, size: int, shrink_ratio: float = 0.8, max_epoch: int = 2, mode: str = "em", keep_char: bool = False, seed: int = 0, max_length: int | None = None, ticks: float | None = None, by: str = "theta") -> DataFrame:
+    """Trains, keeps the best ``shrink_ratio``, renumbers and restarts until ``size`` tokens are left; then trains.
+
+    ``by``: the best are those of the largest ``theta``, or those without which most likelihood is lost (``loss``).
+    """
+    if by not in ("theta", "loss"):
+        raise ValueError("by is theta or loss")
     options = trainer_options(mode, max_epoch, ticks) | {"max_length": max_length}
     n = vocab.count()
     while n > size:
         trained = TRAINERS[mode](segments, vocab, **options)
         n = max(size, int(n * shrink_ratio))
-        shrunk = checkpointed(V.reindex(V.shrink_vocab(trained, n, True, keep_char, seed)))
+        kept = V.shrink_vocab(trained, n, True, keep_char, seed) if by == "theta" else V.shrink_vocab_by_loss(trained, checkpointed(token_losses(trained)), n, keep_char, seed)
+        shrunk = checkpointed(V.reindex(kept))
         vocab = checkpointed(ngrams.init_theta_random(shrunk.drop("theta"), seed))
     return TRAINERS[mode](segments, vocab, **options)
 
 
+def token_losses(vocab: DataFrame, ticks: float | None = None) -> DataFrame:
+    """(token_id, loss) of ``vocab(token_id, token, theta)``, from the two best paths of every token's own string."""
+    scored = with_lp(vocab, ticks)
+    own = scored.where(F.col("token") != UNK).select(F.col("token").alias("seg"), F.lit(1).cast("long").alias("weight"))
+    paths = nbest_astar(own, matcher(scored, score="lp", use_unk=False), 2)
+    return V.token_losses(vocab, paths.withColumnRenamed("seg", "token"))
+
+
 def reestimate_scores(original: DataFrame, segments: DataFrame, mode: str = "em", epochs: int = 2, max_length: int | None = None, ticks: float | None = None) -> DataFrame:
     """(pos, token, score): new ln(theta) for a fixed vocabulary ``original(pos, token)``, in its order."""
     start = ngrams.vocab_uniform(original.select("token").union(original.sparkSession.range(1).select(F.lit(UNK).alias("token"))).distinct())
@@ -219,17 +235,17 @@ def train_corpus(docs: DataFrame, max_length: int = 5, min_freq: int = 50, max_e
     return V.reindex(ngrams.normalized(trained, "theta"))
 
 
-def train_language_vocab(docs: DataFrame, size: int, max_length: int = 16, min_freq: int = 2, digits: bool = True, user_symbols: tuple[str, ...] = (), text: str = "text", byte_fallback: bool = False) -> DataFrame:
+def train_language_vocab(docs: DataFrame, size: int, max_length: int = 16, min_freq: int = 2, digits: bool = True, user_symbols: tuple[str, ...] = (), text: str = "text", byte_fallback: bool = False, by: str = "theta") -> DataFrame:
     """A vocabulary of ``size`` tokens of one language, with digits split and user symbols kept.
 
     With ``byte_fallback`` the 256 byte pieces are kept too.
     """
     lines = docs.withColumn(text, split_digits(F.col(text))) if digits else docs
     segments = checkpointed(ngrams.to_segments(lines, text))
-    tokens = ngrams.seed_vocab(ngrams.count_ngrams(segments, max_length), min_freq).select("token")
+    tokens = ngrams.seed_vocab(frequent_ngrams(segments, max_length, min_freq), min_freq).select("token")
     kept = [*user_symbols, *(f"<0x{i:02X}>" for i in range(256) if byte_fallback)]
     if kept:
         given = docs.sparkSession.createDataFrame([(s,) for s in kept], "token string")
         tokens = ngrams.with_fixed_seeds(tokens, given)
     vocab = checkpointed(ngrams.init_theta_random(ngrams.index_vocab(checkpointed(tokens))))
-    return train_vocab(segments, vocab, size, keep_char=True)
+    return train_vocab(segments, vocab, size, keep_char=True, by=by)

@@ -120,6 +120,18 @@ class DoubleArray:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def descend(self, codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, state) of the places from which ``depth`` characters can be followed."""
+        starts, state = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64)
+        padded = np.r_[codes, np.zeros(depth, dtype=codes.dtype)]
+        for step in range(depth):
+            code = padded[starts + step]
+            to = self.base[state] + code
+            ok = (code > 0) & (to >= 0)
+            ok[ok] = self.check[to[ok]] == state[ok]
+            starts, state = starts[ok], to[ok].astype(np.int64)
+        return starts, state
+
 
 @dataclass
 class Matcher:

@@ -123,6 +123,29 @@ def shrink_vocab(vocab: DataFrame, size: int, hard_limit: bool = True, keep_char
     return rows.where("_x").unionByName(best).drop("_x")
 
 
+def token_losses(vocab: DataFrame, second: DataFrame) -> DataFrame:
+    """(token_id, loss): how much log-likelihood goes, a token of the corpus, if a token is cut up as ``second`` does.
+
+    ``second(token, rank, pieces)``: the two best paths of the token's own string. A token whose best path is not itself
+    has loss 0; one without another path has an infinite loss. Its probability moves to the pieces of its second path.
+    """
+    own = vocab.select("token_id", "token", "theta")
+    first = second.where((F.col("rank") == 1) & (F.size("pieces") > 1)).select("token", F.lit(True).alias("_spare"))
+    other = second.where("rank = 2").select("token", F.size("pieces").alias("_n"), F.explode("pieces").alias("_piece"))
+    parts = other.join(own.select(F.col("token").alias("_piece"), F.col("theta").alias("_part")), "_piece").join(own.select("token", "theta"), "token")
+    moved = parts.groupBy("token").agg(F.sum(F.log(F.col("_part") + F.col("theta"))).alias("_log"), F.first("_n").alias("_n"))
+    rows = own.join(first, "token", "left").join(moved, "token", "left")
+    loss = F.col("theta") * (F.log("theta") - F.col("_log") + F.col("_n") * F.log(1 + F.col("theta") * (F.col("_n") - 1)))
+    return rows.select("token_id", F.when(F.col("_spare") | (F.col("theta") <= 0), 0.0).when(F.col("_n").isNull(), float("inf")).otherwise(loss).alias("loss"))
+
+
+def shrink_vocab_by_loss(vocab: DataFrame, losses: DataFrame, size: int, keep_char: bool = True, seed: int = 0) -> DataFrame:
+    """Down to ``size`` tokens by the loss of ``losses(token_id, loss)``, ties by hash; exempt as in shrink_vocab."""
+    ranked = vocab.join(losses, "token_id").withColumn("_theta", F.col("theta")).withColumn("theta", F.col("loss")).drop("loss")
+    kept = shrink_vocab(ranked, size, True, keep_char, seed)
+    return kept.withColumn("theta", F.col("_theta") + 1e-30).drop("_theta")
+
+
 def shrink_vocab_by_total(vocab: DataFrame, size: int) -> DataFrame:
     """The older variant: a threshold from the ranks of all thetas, then prune_vocab."""
     k = size - vocab.where(F.length("token") == 1).count()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as X
 from lexiforge.functions.patterns import HEAD, RUN_SYMBOLS, SYMBOLS, UNK
-from lexiforge.operators import conversations as C, lattice as L, lines as W, metrics as E, nbest as B, ngrams as N, segment as S, train as M, vocab as V
+from lexiforge.operators import conversations as C, lattice as L, levels as K, lines as W, metrics as E, nbest as B, ngrams as N, segment as S, train as M, vocab as V
 from lexiforge.operators.trie import matcher
 from lexiforge.plans import recipes
 from lexiforge.plans.base import EDGES, LN_EDGES, MARKERS, MAX_LENGTH, MIN_FREQ, NG, PATHS, SEEDS, SEG, SUB, VOC, WORDS
@@ -200,6 +200,11 @@ def count_ngrams(s, d):
     return grams(s, d)
 
 
+@query("frequent_ngrams", f"WITH {NG.replace(f'least({MAX_LENGTH}, e)', 'least(16, e)')} SELECT token, freq FROM ng WHERE length(token) = 1 OR freq >= {MIN_FREQ}")
+def frequent_ngrams(s, d):
+    return K.frequent_ngrams(segments(s, d), 16, MIN_FREQ)
+
+
 @query("seed_vocab", f"WITH {SEEDS} SELECT token, freq FROM seeds")
 def seed_vocab(s, d):
     return seeds(s, d)
@@ -470,7 +475,7 @@ def candidate_ids(s, d):
 CONTINUED = f"vu AS MATERIALIZED (SELECT token_id, token, ln(1 / (SELECT count(*) FROM voc)) AS lp FROM voc), {edges_sql('vu', '', "CASE WHEN e > l THEN '▁' || token ELSE token END")}"
 
 
-@query("continuation_lattice", f"WITH {VOC}, {CONTINUED} SELECT seg, e, l, token_id FROM ed")
+@query("continuation_lattice", f"""WITH {VOC}, {edges_sql('voc', '', "CASE WHEN e > l THEN '▁' || token ELSE token END")} SELECT seg, e, l, token_id FROM ed""")
 def continuation_lattice(s, d):
     return L.continuation_lattice(segments(s, d), vocab(s, d), HEAD, MAX_LENGTH).select("seg", "e", "l", "token_id")
 
@@ -597,6 +602,14 @@ def decode_corpus(s, d):
     return lines.select("doc_id", X.decode_pieces(F.col("pieces")).alias("text"))
 
 
+@query("decode_malformed", r"SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', chr(65533), 'g'), '^ ', '') AS text FROM documents")
+def decode_malformed(s, d):
+    """Texts whose characters beyond ASCII have lost all bytes but the first."""
+    first = lambda c: F.when(F.octet_length(c) > 1, F.get(X.byte_pieces(c), 0)).otherwise(c)
+    docs = table(s, d, "documents").select("doc_id", F.transform(X.chars(F.coalesce("text", F.lit(""))), first).alias("pieces"))
+    return docs.select("doc_id", X.decode_pieces(F.col("pieces")).alias("text"))
+
+
 @query("byte_fallback", r"WITH t AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), '') AS text FROM benchmark) SELECT item_id, text, array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN regexp_matches(substring(text, i, 1), '[a-z]') THEN substring(text, i, 1) ELSE rtrim(regexp_replace(hex(encode(substring(text, i, 1))), '(..)', '<0x\1> ', 'g')) END), ' ') AS pieces FROM t")
 def byte_fallback(s, d):
     chars = X.chars(F.array_join(X.words(F.col("text")), ""))
@@ -714,6 +727,25 @@ def train_corpus_once(s, d):
     return rounded(M.train_corpus(table(s, d, "documents"), MAX_LENGTH, MIN_FREQ, 1, "viterbi", ticks=TICKS))
 
 
+LOSSES = f"""WITH RECURSIVE {VOC}, lo AS (WITH RECURSIVE seg AS (SELECT token AS seg FROM voc WHERE token <> '{UNK}'), ed AS (SELECT seg, CAST(e AS INT) AS e, CAST(l AS INT) AS l, v.lp FROM (SELECT seg, e, unnest(range(1, e + 1)) AS l FROM (SELECT seg, unnest(range(1, length(seg) + 1)) AS e FROM seg)) x
+  JOIN voc v ON v.token = substring(seg, e - l + 1, l) AND v.token <> '{UNK}'), {nbest_sql(2)} SELECT seg AS token, rank, list_transform(range(1, len(lens) + 1), lambda j: substring(seg, CAST(1 + coalesce(list_sum(lens[1:j - 1]), 0) AS BIGINT), lens[j])) AS pieces FROM nbest),
+m AS (SELECT p.token, sum(ln(a.theta + t.theta)) AS s, count(*) AS n FROM (SELECT token, unnest(pieces) AS piece FROM lo WHERE rank = 2) p JOIN voc a ON a.token = p.piece JOIN voc t ON t.token = p.token GROUP BY 1)
+SELECT voc.token_id, CASE WHEN f.token IS NOT NULL THEN 0 WHEN n IS NULL THEN -1 ELSE round(theta * (ln(theta) - s + n * ln(1 + theta * (n - 1))), 12) END AS loss FROM voc LEFT JOIN m USING (token) LEFT JOIN (SELECT token FROM lo WHERE rank = 1 AND len(pieces) > 1) f USING (token)"""
+
+
+@query("token_losses", LOSSES)
+def token_losses(s, d):
+    """-1 stands for a token that nothing can replace."""
+    found = M.token_losses(vocab(s, d).drop("lp"), TICKS)
+    return found.select("token_id", F.when(F.col("loss") == float("inf"), -1.0).otherwise(F.round("loss", 12)).alias("loss"))
+
+
+@query("train_vocab_by_loss")
+def train_vocab_by_loss(s, d):
+    v = vocab(s, d).drop("lp", "freq")
+    return rounded(M.train_vocab(segments(s, d), v, int(v.count() * 0.8), 0.8, 1, "em", keep_char=True, by="loss"))
+
+
 @query("train_corpus")
 def train_corpus(s, d):
     return rounded(M.train_corpus(table(s, d, "documents"), 5, 50, 10, "viterbi"))
@@ -721,7 +753,7 @@ def train_corpus(s, d):
 
 @query("train_language_vocab")
 def train_language_vocab(s, d):
-    return rounded(M.train_language_vocab(table(s, d, "documents").where("lang = 'es'"), 2500, 8, 10, byte_fallback=True))
+    return rounded(M.train_language_vocab(table(s, d, "documents"), 6000, 16, 30, byte_fallback=True))
 
 
 # --- evaluation --------------------------------------------------------------------------------
