@@ -311,20 +311,19 @@ def ids_by_trie(lines: DataFrame, tries: Broadcast, key: str) -> DataFrame:
         unk = made.ids[made.unk] if made.unk >= 0 else -1
         for batch in batches:
             pieces = batch.column(1).flatten().dictionary_encode()
-            texts = [t or "" for t in pieces.dictionary.to_pylist()]
+            texts = pieces.dictionary.to_pylist()
             found = np.full(len(texts), unk, dtype=np.int32)
             if texts:
                 group = Group(texts, made, unknown=False)
                 whole = group.length == group.size[group.row]
                 found[group.row[whole]] = made.ids[group.token[whole]]
-            indices = pieces.indices.to_numpy(zero_copy_only=False)
             offsets = np.r_[0, np.cumsum([x or 0 for x in batch.column(1).value_lengths().to_pylist()])].astype(np.int32)
-            known = found[np.nan_to_num(indices, nan=0).astype(np.int64)] if texts else np.zeros(0, np.int32)
-            known = np.where(np.isnan(indices), unk, known) if len(known) else known
-            ids = pa.array(known.astype(np.int32), mask=known < 0)
+            known = found[pieces.indices.to_numpy(zero_copy_only=False)]
+            ids = pa.array(known, mask=known < 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=[key, "ids"])
 
-    return lines.select(key, "pieces").mapInArrow(run, f"{key} {dict(lines.dtypes)[key]}, ids array<int>")
+    named = F.transform("pieces", lambda p: F.coalesce(p, F.lit("")))
+    return lines.select(key, named.alias("pieces")).mapInArrow(run, f"{key} {dict(lines.dtypes)[key]}, ids array<int>")
 
 
 # --- sums over paths ---------------------------------------------------------------------------

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.utils import AnalysisException
 
 from lexiforge.operators.ngrams import to_segments
 from lexiforge.operators.train import Trainer, stepped, token_counts_of
@@ -17,10 +16,8 @@ from lexiforge.operators.train import Trainer, stepped, token_counts_of
 
 def version(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
     """The vocabulary after batch ``number``, if its write was committed; -1 is the start."""
-    try:
-        done = spark.read.format("binaryFile").load(f"{folder}/version={number}/_SUCCESS").limit(1).count()
-    except AnalysisException:
-        return None
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version={number}/_SUCCESS")
+    done = mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
     return spark.read.parquet(f"{folder}/version={number}") if done else None
 
 
