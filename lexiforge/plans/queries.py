@@ -95,7 +95,7 @@ def vocab_tsv(s, d):
 @query("vocab_json", f"WITH {NG} SELECT token, CAST(freq AS DOUBLE) AS score FROM ng")
 def vocab_json(s, d):
     path = scratch(s, "json")
-    corpus.write_freq(grams(s, d), path)
+    vocab_files.write_vocab_json(grams(s, d), path)
     return vocab_files.read_vocab_json(s, path).select("token", "score")
 
 
@@ -114,10 +114,11 @@ def write_segmentation(s, d):
     return corpus.read_lines(s, path).join(ids.withColumnRenamed("token_id", "line"), F.col("line_id") == F.col("line")).select(F.col("item_id").alias("line_id"), "text")
 
 
-@query("read_dictionary_csv", r"SELECT DISTINCT regexp_split_to_array(text, '\s+')[1] AS token FROM benchmark WHERE NOT contains(text, chr(34))")
+@query("read_dictionary_csv", r"""SELECT DISTINCT chr(34) || regexp_split_to_array(text, '\s+')[1] || ', ' || chr(34) AS token FROM benchmark WHERE text IS NOT NULL""")
 def read_dictionary_csv(s, d):
-    path = scratch(s, "csv")
-    table(s, d, "benchmark").where(~F.contains("text", F.lit('"'))).select(F.split("text", X.SPACE)[0].alias("a"), "item_id").write.csv(path)
+    """First words in quotes, with a comma and a blank behind them."""
+    path, word = scratch(s, "csv"), F.concat(F.lit('"'), F.split("text", X.SPACE)[0], F.lit(', "'))
+    table(s, d, "benchmark").where("text is not null").select(word.alias("a"), "item_id").write.csv(path)
     return corpus.read_dictionary_csv(s, path)
 
 
@@ -825,14 +826,14 @@ def segmentation_report(s, d):
     return E.segmentation_report(E.tag_counts(*gold_and_pred(s, d), "doc_id"))
 
 
-@query("compare_segmentations", r"SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM documents WHERE contains(text, 'z')) AS same_pieces, true AS round_trip FROM documents WHERE text IS NOT NULL")
+@query("compare_segmentations", "SELECT doc_id, coalesce(doc_id % 7 <> 3 AND NOT contains(text, 'z'), false) AS same_pieces, doc_id % 7 <> 3 AND doc_id % 3 = doc_id % 2 AS same_ids, coalesce(doc_id % 7 <> 3 AND NOT contains(text, 'q'), false) AS round_trip FROM documents")
 def compare_segmentations(s, d):
-    docs = table(s, d, "documents").where("text is not null")
-    split = lambda c: F.filter(F.split(c, "(?<=.)"), lambda x: x != "")
-    a = docs.select("doc_id", F.concat(F.array(F.lit(HEAD)), F.split("text", "(?=z)")).alias("pieces"), F.array(F.lit(1)).alias("ids"))
-    b = docs.select("doc_id", F.array(F.lit(HEAD), "text").alias("pieces"), F.array(F.lit(1)).alias("ids"))
-    out = E.compare_segmentations(b, a, docs, "doc_id")
-    return out.select("doc_id", (F.col("same_pieces") | F.lit(False)).alias("same_pieces"), "round_trip")
+    """Pieces differ where a text has a z, ids by number, texts where a q was changed; one in seven lines is missing."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    a = docs.select("doc_id", F.concat(F.array(F.lit(HEAD)), F.split("text", "(?=z)")).alias("pieces"), F.array((F.col("doc_id") % 3).cast("int")).alias("ids"))
+    b = docs.where(F.col("doc_id") % 7 != 3).select("doc_id", F.array(F.lit(HEAD), "text").alias("pieces"), F.array((F.col("doc_id") % 2).cast("int")).alias("ids"))
+    texts = docs.withColumn("text", F.translate("text", "q", "k"))
+    return E.compare_segmentations(b, a, texts, "doc_id")
 
 
 # --- conversations -----------------------------------------------------------------------------
@@ -873,28 +874,83 @@ def decode_messages(s, d):
 
 SYSTEM = C.system_block("You are a helpful assistant.", "2025-12", "2026-01-01")
 SYSTEM_SQL = "'" + SYSTEM.replace("'", "''") + "'"
-RENDER = rf"""r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+
+#: Conversations with calls, tool turns, thinking and text that looks like a message, all taken from the table.
+TALK = r"""talk AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND turn % 4 = 2 THEN 'tool' ELSE role END AS role,
+  CASE WHEN role = 'assistant' AND conv_id % 17 = 3 THEN '<|channel|>final<|message|>' || coalesce(text, '') WHEN role = 'assistant' AND turn % 3 = 1 AND conv_id % 4 = 1 THEN NULL ELSE text END AS text,
+  CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN left(coalesce(text, ''), 20) END AS thinking, CASE WHEN role = 'assistant' AND turn % 3 = 1 THEN 'f' || (conv_id % 5) END AS tool_name,
+  CASE WHEN role = 'assistant' AND turn % 3 = 1 THEN '{"n": "' || conv_id || '"}' END AS tool_arguments FROM conversations)"""
+RENDER = rf"""{TALK}, q AS (SELECT *, row_number() OVER w AS no, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS at_end, role = 'assistant' AND tool_name IS NOT NULL AS is_call, role = 'assistant' AND tool_name IS NULL AS is_answer FROM talk WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, coalesce(max(CAST(is_answer AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) = 1 AS ahead,
+  last_value(CASE WHEN is_call THEN tool_name WHEN is_answer AND NOT at_end THEN '' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tool, coalesce(nullif(text, ''), nullif(thinking, '')) AS thought FROM q),
 t AS (SELECT conv_id, turn, CASE WHEN no = 1 AND role IN ('system', 'developer') AND coalesce(text, '') <> '' THEN '<|start|>developer<|message|># Instructions' || chr(10) || chr(10) || text || chr(10) || chr(10) || '<|end|>' WHEN no = 1 AND role IN ('system', 'developer') THEN ''
- WHEN role = 'user' THEN '<|start|>user<|message|>' || coalesce(text, '') || '<|end|>' WHEN role = 'assistant' THEN '<|start|>assistant<|channel|>final<|message|>' || coalesce(text, '') || CASE WHEN back = 1 THEN '<|return|>' ELSE '<|end|>' END ELSE '' END AS x FROM r)"""
+ WHEN is_call THEN CASE WHEN thought IS NOT NULL AND NOT ahead THEN '<|start|>assistant<|channel|>analysis<|message|>' || thought || '<|end|>' ELSE '' END || '<|start|>assistant to=functions.' || tool_name || '<|channel|>commentary json<|message|>' || tool_arguments || '<|call|>'
+ WHEN is_answer THEN CASE WHEN at_end AND thinking IS NOT NULL THEN '<|start|>assistant<|channel|>analysis<|message|>' || thinking || '<|end|>' ELSE '' END || '<|start|>assistant<|channel|>final<|message|>' || coalesce(text, '') || CASE WHEN at_end THEN '<|return|>' ELSE '<|end|>' END
+ WHEN role = 'tool' THEN '<|start|>functions.' || coalesce(tool, '') || ' to=assistant<|channel|>commentary<|message|>' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || '<|end|>'
+ WHEN role = 'user' THEN '<|start|>user<|message|>' || coalesce(text, '') || '<|end|>' ELSE '' END AS x FROM r)"""
+
+
+def talk(s, d):
+    rows, c, turn, text = table(s, d, "conversations"), F.col("conv_id"), F.col("turn"), F.coalesce("text", F.lit(""))
+    answer = F.col("role") == "assistant"
+    call = answer & (turn % 3 == 1)
+    said = F.when(answer & (c % 17 == 3), F.concat(F.lit("<|channel|>final<|message|>"), text)).when(~(call & (c % 4 == 1)), F.col("text"))
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when((F.col("role") == "user") & (turn % 4 == 2), "tool").otherwise(F.col("role")).alias("role"),
+        said.alias("text"),
+        F.when(answer & (c % 2 == 0), F.left(text, F.lit(20))).alias("thinking"),
+        F.when(call, F.concat(F.lit("f"), (c % 5).cast("string"))).alias("tool_name"),
+        F.when(call, F.concat(F.lit('{"n": "'), c.cast("string"), F.lit('"}'))).alias("tool_arguments"),
+    )
 
 
 def rendered(s, d):
-    return C.render_conversations(table(s, d, "conversations").where("role <> 'tool'"), SYSTEM)
+    return C.render_conversations(talk(s, d), SYSTEM)
 
 
-@query("render_conversations", f"WITH {RENDER} SELECT conv_id, {SYSTEM_SQL} || string_agg(x, '' ORDER BY turn) AS rendered FROM t WHERE conv_id IN (SELECT conv_id FROM conversations) GROUP BY conv_id")
+@query("render_conversations", f"WITH {RENDER} SELECT conv_id, {SYSTEM_SQL} || string_agg(x, '' ORDER BY turn) AS rendered FROM t GROUP BY conv_id")
 def render_conversations(s, d):
     return rendered(s, d)
 
 
-@query("extract_response_fields", f"WITH {RENDER}, a AS (SELECT conv_id, {SYSTEM_SQL} || string_agg(x, '' ORDER BY turn) AS x FROM t GROUP BY conv_id) SELECT conv_id, CASE WHEN regexp_matches(x, '<[|]channel[|]>final<[|]message[|]>') THEN regexp_extract(x, '(?s)<[|]channel[|]>final<[|]message[|]>(.*?)(?:<[|]end[|]>|<[|]return[|]>|$)', 1) END AS content, CAST(0 AS INT) AS n_calls FROM a")
+#: Texts as a model gives them: the recipient stands behind the channel.
+ANSWERED = f"{RENDER}, a AS (SELECT conv_id, regexp_replace({SYSTEM_SQL} || string_agg(x, '' ORDER BY turn), '( to=functions[.][a-z0-9]+)<[|]channel[|]>commentary', '<|channel|>commentary\\1', 'g') AS x FROM t GROUP BY conv_id)"
+
+
+@query(
+    "extract_response_fields",
+    f"WITH {ANSWERED}, p AS (SELECT conv_id, n, p, split_part(p, '<|message|>', 1) AS head FROM (SELECT conv_id, unnest(string_split(x, '<|channel|>')[2:]) AS p, unnest(range(2, len(string_split(x, '<|channel|>')) + 1)) AS n FROM a) WHERE contains(p, '<|message|>')),"
+    " b AS (SELECT conv_id, n, head, regexp_extract(substring(p, length(head) + 12), '(?s)^(.*?)(<[|]end[|]>|<[|]return[|]>|<[|]call[|]>|$)', 1) AS body, regexp_extract(substring(p, length(head) + 12), '(?s)^(.*?)(<[|]end[|]>|<[|]return[|]>|<[|]call[|]>|$)', 2) AS stop FROM p)"
+    " SELECT a.conv_id, arg_min(body, n) FILTER (head = 'final') AS content, arg_min(body, n) FILTER (head = 'analysis' AND stop = '<|end|>') AS thinking, coalesce(string_agg(split_part(substring(head, 25), ' ', 1) || ':' || CASE WHEN starts_with(head, 'commentary to=functions.') THEN json_extract_string(body, '$.n') END, ',' ORDER BY n) FILTER (starts_with(head, 'commentary to=functions.')), '') AS calls FROM a LEFT JOIN b USING (conv_id) GROUP BY a.conv_id",
+)
 def extract_response_fields(s, d):
-    return C.extract_response_fields(rendered(s, d), "rendered").select("conv_id", "content", F.size("tool_calls").alias("n_calls"))
+    told = rendered(s, d).withColumn("rendered", F.regexp_replace("rendered", r"( to=functions\.[a-z0-9]+)<\|channel\|>commentary", "<|channel|>commentary$1"))
+    calls = F.transform("tool_calls", lambda c: F.concat_ws(":", c["name"], c["arguments"]["n"]))
+    return C.extract_response_fields(told, "rendered").select("conv_id", "content", "thinking", F.array_join(calls, ",").alias("calls"))
 
 
-@query("invalid_turns", "SELECT conv_id, turn, 'tool turn without a call' AS reason FROM conversations WHERE role = 'tool'")
+@query(
+    "invalid_turns",
+    f"""WITH {TALK}, o AS (SELECT *, coalesce(last_value(CASE WHEN role = 'assistant' THEN CAST(tool_name IS NOT NULL AS INT) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS is_open FROM talk)
+SELECT conv_id, turn, CASE WHEN role = 'assistant' AND contains(text, '<|channel|>final<|message|>') THEN 'marker in content' WHEN role = 'assistant' AND tool_name IS NOT NULL AND text <> '' AND thinking <> '' THEN 'content and thinking with a tool call' ELSE 'tool turn without a call' END AS reason
+FROM o WHERE (role = 'assistant' AND contains(text, '<|channel|>final<|message|>')) OR (role = 'assistant' AND tool_name IS NOT NULL AND text <> '' AND thinking <> '') OR (role = 'tool' AND is_open = 0)""",
+)
 def invalid_turns(s, d):
-    return C.invalid_turns(table(s, d, "conversations"))
+    return C.invalid_turns(talk(s, d))
+
+
+@query("parsed_special_tokens", "SELECT DISTINCT source || '_token' AS kind, '<|' || source || '|>' AS token, 'first' AS generation FROM documents WHERE source IS NOT NULL")
+def parsed_special_tokens(s, d):
+    """A map from kinds to tokens, every second one as an object, as the sources of the table give it."""
+    path = scratch(s, "special")
+    names = table(s, d, "documents").where("source is not null").select("source").distinct()
+    token = F.concat(F.lit("<|"), "source", F.lit("|>"))
+    value = F.when(F.length("source") % 2 == 0, F.to_json(F.struct(token.alias("content"), F.lit(False).alias("lstrip")))).otherwise(F.concat(F.lit('"'), token, F.lit('"')))
+    pairs = names.select(F.concat(F.lit('"'), "source", F.lit('_token": '), value).alias("p"))
+    pairs.agg(F.concat(F.lit("{"), F.array_join(F.collect_list("p"), ", "), F.lit("}")).alias("value")).write.text(path)  # a row per source
+    return C.parsed_special_tokens(s, path, "first")
 
 
 # --- recipes -----------------------------------------------------------------------------------
@@ -902,7 +958,7 @@ def invalid_turns(s, d):
 
 @query("recipe_merged_vocabulary")
 def recipe_merged_vocabulary(s, d):
-    return recipes.merged_vocabulary(table(s, d, "documents"), 1500, ["en", "de"], 4)
+    return recipes.merged_vocabulary(table(s, d, "documents"), 1500, ["de", "en", "es", "fr"], 4)
 
 
 @query("recipe_seeded_vocabulary")

@@ -80,16 +80,15 @@ def read_dictionary_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path).select(F.col("_c0").alias("token")).where("token is not null").distinct()
 
 
-def read_freq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(token, freq) of JSON objects, one per file."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?<=\})\s*\n")).alias("value"))
+def read_freq(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
+    """(token, freq) of JSON objects: one a line, of any number of tokens, or with ``multiline`` one a file."""
+    raw = spark.read.text(path, wholetext=multiline)
     return raw.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("token", "freq"))
 
 
 def write_freq(freq: DataFrame, path: str) -> None:
-    """One JSON object per partition; read_freq reads them all."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("token", "freq")))
-    freq.groupBy(F.spark_partition_id().alias("p")).agg(F.to_json(pairs).alias("value")).select("value").write.mode("overwrite").text(path)
+    """A JSON object a line, of one token each, so no table is too large for it."""
+    freq.select(F.to_json(F.create_map("token", "freq")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_segmentation(df: DataFrame, path: str) -> None:

@@ -25,6 +25,12 @@ def read_vocab_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(entries).select("pos", F.col("e.key").alias("token"), F.col("e.value").alias("score"))
 
 
+def write_vocab_json(vocab: DataFrame, path: str, score: str = "freq") -> None:
+    """One JSON object, which is one row: for vocabularies, not for the counts of a corpus."""
+    pairs = F.map_from_entries(F.collect_list(F.struct("token", score)))
+    vocab.agg(F.to_json(pairs).alias("value")).write.mode("overwrite").text(path)
+
+
 def vocab_lines(vocab: DataFrame, log: str = "ln") -> DataFrame:
     """(pos, value): the lines ``token<TAB>score`` of ``vocab(pos, token, theta)``; zero probabilities are left out."""
     score = {"ln": F.log, "log2": F.log2}[log](F.col("theta"))
