@@ -2,10 +2,13 @@
 
 1. One pass makes each document's set of hashed n-grams, its size and a 64-bit fingerprint. Equal sets are one
    class from here on, named by the fingerprint (a pre-aggregated group-by, so any number of copies is cheap).
-2. Dealing to tasks. Sets that link differ in at most a known number of n-grams, so if the n-grams are dealt into one
-   more part than that by a hash, some part is equal in both. Each class emits a hash per part (``part_signatures``);
-   classes that share one are joined up, and the components of that are clusters. Every link lies in a cluster.
-   Large clusters are split into blocks by ranges of set sizes, of which only neighbouring ones meet.
+2. Dealing to tasks. Linked sets share at least ``percent`` of each one's n-grams. In any order of all n-grams, therefore,
+   the first n - ceil(percent * n / 100) + 1 of a set of n and those of a set it links to have one in common. The order
+   puts n-grams that repeat in the corpus last (``repeated_grams``: counts over all documents, the most frequent ones of
+   which are kept as a table of fixed size; the others follow a hash), so what is in common is rarely a shared passage.
+   Each class emits these n-grams (``prefix``); classes that share one are joined up, and the components of that are
+   clusters. Every link lies in a cluster. Large clusters are split into blocks by ranges of set sizes, of which only
+   neighbouring ones meet.
 3. Signature trees. A cluster's sets, in blocks of bounded size, become the leaves of trees whose nodes hold the
    OR of the members' token bitmaps, their AND, and their size range. Two trees are walked together; a pair of
    nodes is left out when its largest possible overlap cannot reach the threshold. The sets of surviving leaf pairs
@@ -28,6 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +44,11 @@ BITS = 2048
 LEAF = 4
 BLOCK_SETS = 8192
 BLOCK_TOKENS = 2_000_000
-FEW_PARTS = 12
+LOCAL_REPEATS = 3  # sets of a batch that share an n-gram, for it to be counted
+FREQUENT_GRAMS = 500_000
 CACHED_WORDS = 1_000_000
 
-SIZES = "doc_id long, text_hash long, n_shingles long, node long, signatures array<long>, near array<long>"
+SIZES = "doc_id long, text_hash long, n_shingles long, node long, prefixes array<long>, near array<long>"
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -89,55 +94,25 @@ def fingerprint(tokens: np.ndarray) -> int:
         return int(scramble(scramble(tokens, 501).sum(dtype=np.uint64, keepdims=True), len(tokens)).view(np.int64)[0])
 
 
-class Parts:
-    """How sets are dealt into parts, for a threshold.
+class Order:
+    """Any fixed order of n-grams gives the right result; this one has those of a table of frequent ones last."""
 
-    Of two different sets that link, the smaller has n tokens and they differ in at most n * (100 - p) / p. Sizes form
-    classes, each half as wide again as the one before; a set is dealt for its own class and, if a smaller set of the
-    class below may link to it, for that one, so both sets are dealt for the class of the smaller, into a part more
-    than their differences: some part has no difference.
-
-    Empty parts say nothing and are left out. With few parts, a set that has empty ones is dealt again by another hash,
-    until none is empty: at the first hash for which one of two sets has no empty part, the part without difference is
-    not empty. With more parts, over a third of them has no difference; sets are dealt so often that all of these being
-    empty is less likely than two equal 64-bit hashes.
-    """
-
-    def __init__(self, percent: int) -> None:
-        self.percent = percent
+    def __init__(self, percent: int, tokens: np.ndarray, counts: np.ndarray) -> None:
+        by = np.argsort(tokens)
+        self.percent, self.tokens, self.counts = percent, tokens[by], np.minimum(counts[by], (1 << 23) - 1).astype(np.uint64)
         self.smallest = -(-percent // (100 - percent))  # smaller sets link to equal ones only
-        self.classes, low = [], self.smallest
-        while low < 1 << 40:
-            high = max(low, low * 3 // 2)
-            parts = high * (100 - percent) // percent + 1
-            # e^(-low / parts) is the share of empty parts, 0.37 that of parts without difference
-            hashes = 0 if parts < FEW_PARTS else max(1, int(np.ceil(44.4 / (0.37 * low))))
-            self.classes.append((high, parts, hashes))
-            low = high + 1
-        self.highs = np.array([c[0] for c in self.classes])
-
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
+
+    def prefix(self, tokens: np.ndarray) -> np.ndarray:
+        """The n-grams of a set of which a linked set has one in its own prefix, too."""
         n = len(tokens)
         if n < self.smallest:
             return np.zeros(0, dtype=np.int64)
-        own = int(np.searchsorted(self.highs, n))
-        out = []
-        for c in (own, own - 1):
-            high, parts, hashes = self.classes[c]
-            if c < 0 or (c < own and self.percent * n > 100 * high):
-                continue
-            for seed in range(hashes or 64):
-                mixed = scramble(tokens, seed + 1)
-                part = (mixed >> np.uint64(16)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                sorted_ = part[order]
-                first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-                with np.errstate(over="ignore"):
-                    sums = np.add.reduceat(scramble(mixed[order], 77), first)
-                out.append(scramble(sums ^ scramble(sorted_[first], 1000 + 64 * c + seed)))
-                if not hashes and len(first) == parts:
-                    break
-        return np.concatenate(out).view(np.int64)
+        place = scramble(tokens, 91) >> np.uint64(24)
+        if len(self.tokens):
+            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+            place += np.where(self.tokens[at] == tokens, self.counts[at], np.uint64(0)) << np.uint64(40)
+        # equal places are taken in the order of the n-grams themselves
+        return tokens[np.argsort(place, kind="stable")[: n - -(-self.percent * n // 100) + 1]].view(np.int64)
 
 
 # --- signature trees ---------------------------------------------------------------------------
@@ -319,26 +294,53 @@ def block_links(gram: int, percent: int, count: bool):  # noqa: ANN201
 # --- the join ----------------------------------------------------------------------------------
 
 
-def document_sizes(gram: int, percent: int):  # noqa: ANN201
-    """An Arrow job over (doc_id, text_hash, text): size, fingerprint and part signatures of each text's set.
+def batch_repeats(gram: int):  # noqa: ANN201
+    """An Arrow job over (text): (token, n), the n-grams of LOCAL_REPEATS different sets of a batch or more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingles(gram)
+        for batch in batches:
+            sets: dict[int, np.ndarray] = {}
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column(0).slice(at, 256).to_pylist():
+                    tokens = make.of(text)
+                    if len(tokens):
+                        sets[fingerprint(tokens)] = tokens
+            if sets:
+                tokens, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+                often = n >= LOCAL_REPEATS
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
+
+    return run
+
+
+def repeated_grams(docs: DataFrame, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The FREQUENT_GRAMS n-grams (hashes) that repeat most in the batches of all documents, and how often: a few MB."""
+    counts = docs.select("text").mapInArrow(batch_repeats(gram), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_GRAMS).toPandas()
+    return rows["token"].to_numpy(dtype=np.int64).view(np.uint64), rows["n"].to_numpy(dtype=np.int64)
+
+
+def document_sizes(gram: int, order: Broadcast):  # noqa: ANN201
+    """An Arrow job over (doc_id, text_hash, text): size, fingerprint and prefix n-grams of each text's set.
 
-    Of the rows of a batch that share a signature the first lists it and the others name its set in ``near``, so
-    however many rows share a signature, few of them are sent on.
+    Of the rows of a batch that share a prefix n-gram the first lists it and the others name its set in ``near``, so
+    however many rows share one, few of them are sent on.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, parts = Shingles(gram), Parts(percent)
+        make = Shingles(gram)
         for batch in batches:
-            n, nodes, signatures = [], [], []
+            n, nodes, prefixes = [], [], []
             for at in range(0, batch.num_rows, 256):
                 for text in batch.column(2).slice(at, 256).to_pylist():
                     tokens = make.of(text)
                     n.append(len(tokens))
                     nodes.append(fingerprint(tokens) if len(tokens) else None)
-                    signatures.append(parts.signatures(tokens))
+                    prefixes.append(order.value.prefix(tokens))
             if not n:
                 continue
-            flat, owner = np.concatenate(signatures), np.repeat(np.arange(len(n)), list(map(len, signatures)))
+            flat, owner = np.concatenate(prefixes), np.repeat(np.arange(len(n)), list(map(len, prefixes)))
             values, first, back = np.unique(flat, return_index=True, return_inverse=True)
             ids = np.array([0 if x is None else x for x in nodes], dtype=np.int64)
             at = np.sort(first)
@@ -350,17 +352,17 @@ def document_sizes(gram: int, percent: int):  # noqa: ANN201
                 return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
             columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists(flat[at], owner[at]), lists(ids[pairs[1]], pairs[0])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "node", "signatures", "near"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "node", "prefixes", "near"])
 
     return run
 
 
 def candidate_edges(sized: DataFrame) -> DataFrame:
-    """(u, v) such that classes which share a part signature are joined up, of ``sized(node, signatures, near)``.
+    """(u, v) such that classes which share a prefix n-gram are joined up, of ``sized(node, prefixes, near)``.
 
-    Signatures are shuffled once, for the smallest class of each and for the join with it.
+    Prefixes are shuffled once, for the smallest class of each and for the join with it.
     """
-    parts = sized.select(F.explode("signatures").alias("s"), "node").where("s is not null and node is not null").repartition("s")
+    parts = sized.select(F.explode("prefixes").alias("s"), "node").where("s is not null and node is not null").repartition("s")
     low = parts.groupBy("s").agg(F.min("node").alias("m"), F.max("node").alias("_high")).where("m <> _high").drop("_high")
     far = parts.join(low, "s").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
     return far.union(sized.select(F.col("node").alias("u"), F.explode("near").alias("v"))).distinct()
@@ -401,7 +403,8 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     if not 50 <= percent < 100:
         raise ValueError("percent is at least 50 and below 100")
     docs = docs.select("doc_id", "text")
-    sized = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(document_sizes(gram, percent), SIZES))
+    order = docs.sparkSession.sparkContext.broadcast(Order(percent, *repeated_grams(docs, gram)))
+    sized = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(document_sizes(gram, order), SIZES))
     own = F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", "text_hash").alias("key"))
     per_class = sized.where("node is not null").groupBy("node")
     classes = cut_lineage(per_class.agg(F.min(own).alias("own"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles")))

@@ -95,6 +95,18 @@ def test_five_words_and_eighty_percent_without_counting(spark):
     assert ordered(r[:3] for r in found.select("doc_id", "n_shingles", "component_id").collect()) == ordered(r[:3] for r in brute_force(rows, 5, 80))
 
 
+def test_shared_passages_make_no_cluster(spark):
+    """Texts that share long passages, but do not link, stay apart before the trees see them."""
+    rng = random.Random(3)
+    passages = [" ".join(f"p{k}x{i}" for i in range(80)) for k in range(4)]
+    rows = [(i, " ".join([passages[i % 4], *(f"w{rng.randrange(10**6)}" for _ in range(150)), passages[(i + 1) % 4]])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    order = spark.sparkContext.broadcast(N.Order(80, *N.repeated_grams(docs, 5)))
+    sized = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(N.document_sizes(5, order), N.SIZES)
+    assert N.candidate_edges(sized).count() == 0
+    assert {r.component_id for r in N.jaccard_components(docs, 5, 80).collect()} == set(range(200))
+
+
 def test_repeated_and_null_ids_do_not_depend_on_partitions(spark):
     rng = random.Random(12)
     a, b, c = (" ".join(f"{p}{rng.randrange(10**6)}" for _ in range(80)) for p in "abc")
@@ -103,10 +115,10 @@ def test_repeated_and_null_ids_do_not_depend_on_partitions(spark):
         assert ordered(N.op9_ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()) == brute_force(rows)
 
 
-def test_signatures_and_bounds_lose_no_link():
+def test_prefixes_and_bounds_lose_no_link():
     rng = np.random.default_rng(0)
     for percent in (90, 80):
-        parts, linked, room = N.Parts(percent), 0, percent / (100 - percent)
+        linked, room = 0, percent / (100 - percent)
         for _ in range(1500):
             a = np.unique(rng.integers(0, 2**63, int(rng.integers(4, 400)), dtype=np.uint64))
             d = int(len(a) / room * rng.random() * 1.2)
@@ -115,7 +127,9 @@ def test_signatures_and_bounds_lose_no_link():
             common = len(np.intersect1d(a, b))
             if 100 * common >= percent * (len(a) + len(b) - common) and N.fingerprint(a) != N.fingerprint(b):
                 linked += 1
-                assert set(parts.signatures(a).tolist()) & set(parts.signatures(b).tolist())
+                some = np.unique(np.concatenate([a[::3], b[::5]]))
+                for order in (N.Order(percent, a[:0], np.zeros(0, np.int64)), N.Order(percent, some, rng.integers(1, 4, len(some)))):
+                    assert set(order.prefix(a).tolist()) & set(order.prefix(b).tolist())
                 assert N.may_link(N.signature_tree([a], [0]), N.signature_tree([b], [0]), percent)
         assert linked > 800
 
