@@ -9,7 +9,10 @@ join deals out by digest are short header rows, and it is a plain equi-join, who
 Who is response: one row per digest, pre-aggregated before the shuffle.
 
 Defined cases: null html is the empty payload; a null URL gives an empty target; repeated page ids with equal
-payloads are all response when they carry the largest id; an empty table gives an empty archive.
+payloads are all response when they carry the largest id; a row without page_id is a record without a number, which revisits
+the page of the same payload if one has a number, and is a response else; an empty table gives an empty archive; of the
+input only page_id, url and html are read, so clashing names do no harm. A payload that does not have its digest any more
+makes reading the records fail; ``read_archive`` reports it.
 """
 
 from __future__ import annotations
@@ -67,8 +70,9 @@ def write_archive(pages: DataFrame, folder: str, date: str = "2020-01-01T00:00:0
     )
     owner = keyed.groupBy("digest").agg(F.max("page_id").alias("owner"))
     facts = keyed.select("page_id", "url", "digest", "n_bytes", base32_sha1(F.col("payload")).alias("sha1"))
-    revisit = (F.col("page_id") != F.col("owner")) & (F.col("n_bytes") >= min_revisit_bytes)
-    record_id = lambda page: F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">"))
+    # a row without number is no owner, but that of a digest whose rows have none
+    revisit = ~F.col("page_id").eqNullSafe(F.col("owner")) & (F.col("n_bytes") >= min_revisit_bytes)
+    record_id = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
     kind = F.when(revisit, "revisit").otherwise("response")
     header = record_header(
         [
@@ -85,7 +89,8 @@ def write_archive(pages: DataFrame, folder: str, date: str = "2020-01-01T00:00:0
     )
     facts.join(owner, "digest").select("page_id", "digest", header.alias("header")).write.parquet(f"{folder}/headers")
     # One copy of each payload: the owner's. Owners with the same id and payload are dropped by the aggregate.
-    kept = keyed.select("page_id", "digest", "payload").join(owner.select(F.col("owner").alias("page_id"), "digest"), ["page_id", "digest"], "left_semi")
+    own = owner.select("owner", F.col("digest").alias("_digest"))
+    kept = keyed.select("page_id", "digest", "payload").join(own, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("owner")), "left_semi")
     kept.dropDuplicates(["page_id", "digest"]).select("digest", "payload").write.parquet(f"{folder}/payloads")
 
 
@@ -100,7 +105,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     headers = spark.read.schema("page_id long, digest string, header string").parquet(f"{folder}/headers")
     field = lambda name: header_field(F.col("header"), name)
     return headers.join(stored, "digest", "left").select(
-        F.regexp_extract(field("WARC-Record-ID"), r"<urn:page:(-?\d+)>", 1).cast("long").alias("page_id"),
+        F.regexp_extract(field("WARC-Record-ID"), r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("page_id"),
         field("WARC-Type").alias("record_type"),
         F.regexp_extract(field("WARC-Refers-To"), r"<urn:page:(-?\d+)>", 1).cast("long").alias("refers_to"),
         field("WARC-Target-URI").alias("target"),
@@ -113,8 +118,11 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, record): the exact bytes of each record, the payload joined back in for responses."""
+    """(page_id, record): the exact bytes of each record, the payload joined back in for responses; a payload that is not
+    what was stored is an error."""
     stored = spark.read.schema("digest string, payload binary").parquet(f"{folder}/payloads")
+    wrong = F.raise_error(F.concat(F.lit("payload is not the one stored as "), F.col("digest")))
+    stored = stored.select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(wrong).alias("payload"))
     headers = spark.read.schema("page_id long, digest string, header string").parquet(f"{folder}/headers")
     full = headers.where(header_field(F.col("header"), "WARC-Type") == "response").join(stored, "digest").select("page_id", "header", "payload")
     short = headers.where(header_field(F.col("header"), "WARC-Type") == "revisit").select("page_id", "header", F.lit(b"").alias("payload"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -119,7 +120,7 @@ def test_url_rules(spark):
         "a://b://c/d": ("b:", "//c/d", None, None),
     }
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(cases)], "page_id long, url string, host string")
-    for r in urls.url_filter(df, [0.0] * 9).orderBy("page_id").collect():
+    for r in urls.url_filter(df, [0.0] * 9, threshold=0.5).orderBy("page_id").collect():
         host, path, rule, verdict = cases[r.url]
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == (verdict or "block")
@@ -144,13 +145,24 @@ def test_url_model_on_held_out_hosts(spark):
     bad, good, unseen_bad, unseen_good = host_split()
     rows = [(f"http://{u}", 1) for u in unseen_bad] + [(f"http://{u}", 0) for u in unseen_good]
     df = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id long, url string, y int")
-    out = urls.url_filter(df, urls.train(urls.labelled_urls(spark, bad, good)), rules=()).collect()
+    judged = urls.url_filter(df, urls.train(urls.labelled_urls(spark, bad, good)), rules=(), threshold=0.5)
+    out = judged.collect()
+    sure = [r.y for r in out if r.probability >= urls.THRESHOLD]
+    assert 0 not in sure and len(sure) >= 0.2 * len(unseen_bad)
     caught = sum(r.y == 1 and r.verdict == "block" for r in out)
     wrong = sum(r.y == 0 and r.verdict == "block" for r in out)
     print("held out: caught", caught, "of", len(unseen_bad), "wrong", wrong, "of", len(unseen_good))
     assert caught >= 0.7 * len(unseen_bad) and wrong <= 0.2 * len(unseen_good)
 
 
+def test_url_labels_share_shapes_of_paths():
+    """Neither a top-level domain nor a path of a language and a number tells the kinds apart."""
+    shape = re.compile(r"^[^/]+/(de|en|es|fr)/\d+$")
+    counts = [sum(bool(shape.match(u)) for u in part) / len(part) for part in (urls.BLOCKED, urls.ALLOWED)]
+    assert min(counts) > 0.1 and abs(counts[0] - counts[1]) < 0.05
+    assert {u.split("/")[0].rsplit(".")[-1] for u in urls.BLOCKED} <= {u.split("/")[0].rsplit(".")[-1] for u in urls.ALLOWED}
+
+
 def test_url_filter_edge_cases(spark):
     weights = [0.0] * 9
     df = spark.createDataFrame([(1, "http://" + "a" * 50_000 + ".com/" + "b" * 50_000), (1, "x://"), (None, None), (2, "x://b.com/fr/1"), (2, "x://b.com/fr/1")], "page_id long, url string").withColumn("rule", F.lit("clash"))
@@ -289,6 +301,22 @@ def test_warc_archive(spark, tmp_path):
     assert warc.op8_warc(df.limit(0)).count() == 0
 
 
+def test_warc_rows_without_a_number_and_changed_payloads(spark, tmp_path):
+    rows = [(None, "http://a", "only here"), (None, "http://b", "only here"), (None, "http://c", "shared"), (7, "http://d", "shared"), (8, "http://e", "alone")]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, digest string, owner string")
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0, r.verified) for r in warc.op8_warc(df).collect())
+    assert got == [(0, 6, "revisit", 7, True), (0, 9, "response", 0, True), (0, 9, "response", 0, True), (7, 6, "response", 0, True), (8, 5, "response", 0, True)]
+    folder = str(tmp_path / "archive")
+    warc.write_archive(df, folder)
+    assert sum(b"only here" in bytes(r.record) for r in warc.read_records(spark, folder).collect()) == 2
+    spark.read.parquet(f"{folder}/payloads").withColumn("payload", F.when(F.octet_length("payload") == 5, F.lit(b"other")).otherwise(F.col("payload"))).write.parquet(f"{folder}/changed")
+    (tmp_path / "archive" / "payloads").rename(tmp_path / "archive" / "old")
+    (tmp_path / "archive" / "changed").rename(tmp_path / "archive" / "payloads")
+    assert [r.page_id for r in warc.read_archive(spark, folder).where("not verified").collect()] == [8]
+    with pytest.raises(Exception, match="payload is not the one"):
+        warc.read_records(spark, folder).collect()
+
+
 def test_html_differences_pages_with_and_without_an_article():
     page = lambda *lines: ([t for t, _ in lines], [f for _, f in lines])
     menu, footer = [(f"Menu entry {i}", False) for i in range(40)], [("Imprint and contact", False)]
