@@ -7,7 +7,7 @@
    first document that does not fit, which is found by counting words in ever finer hash bins (nothing is sorted, so
    a source with a third of all rows is as easy as any); the next run goes on above it with the documents that are
    no larger than what is missing, until none is left. Every run starts with less missing than a document's size.
-3. Each pass of a source is ``N_BLOCKS`` hash blocks, drawn in a permuted order without replacement. A splitting
+3. Each pass of a source is ``blocks_for(shards)`` hash blocks, drawn in a permuted order without replacement. A splitting
    tree deals them to output shards: every node splits its sources' quotas between its halves by a multivariate
    hypergeometric draw, so shard quotas are exact; each shard walks its own path from the root in a Spark task.
 4. Inside a shard rows are shuffled by hash. ``op5_mixing`` deals the mix in this way and reports, for every
@@ -36,6 +36,7 @@ from lexiforge.llm.common import WORD, cut_lineage
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 N_BLOCKS = 256
+BLOCKS_A_SHARD = 8
 SHARD_WORDS = 50_000_000
 MIN_SHARDS = 16
 SEED = 17
@@ -197,16 +198,22 @@ def permuted(block: int, n: int, seed: int) -> int:
     return (block * step + seed // 7) % n
 
 
-def mix(docs: DataFrame, quotas: list[Quota], seed: int = SEED, n_blocks: int = N_BLOCKS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def blocks_for(shards: int) -> int:
+    """Blocks of a pass: a power of two, and several for each shard, however many these are."""
+    return max(N_BLOCKS, 1 << (BLOCKS_A_SHARD * shards - 1).bit_length())
+
+
+def mix(docs: DataFrame, quotas: list[Quota], seed: int = SEED, n_blocks: int | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mix of ``docs(doc_id, source, size, ...)``: a row per taken copy, with copy, shard and turn.
 
     Rows come out range-partitioned by shard, and in each in the order of ``turn``, a hash.
     """
     spark = docs.sparkSession
+    shards = max(MIN_SHARDS, -(-int(sum(q.target for q in quotas)) // shard_words))
+    n_blocks = n_blocks or blocks_for(shards)
     if n_blocks & (n_blocks - 1):
         raise ValueError("n_blocks is a power of two")
     width = HASH_BITS - (n_blocks.bit_length() - 1)
-    shards = max(MIN_SHARDS, -(-int(sum(q.target for q in quotas)) // shard_words))
     last = [-(-n_blocks * q.last_size // q.source_size) if q.last_size else 0 for q in quotas]  # blocks of the last pass, by its share of the source
     counts = [q.passes * n_blocks + n for q, n in zip(quotas, last, strict=True)]
 

@@ -452,6 +452,17 @@ def test_splitting_tree_is_exact():
     assert all(sorted(mixing.permuted(b, n, 12345) for b in range(n)) == list(range(n)) for n in (1, 2, 7, 256))
 
 
+def test_every_shard_gets_several_blocks():
+    """However many shards: sixteen as in small corpora, and ten thousand with sources of very unequal shares."""
+    assert mixing.blocks_for(16) == mixing.N_BLOCKS
+    for shards in (16, 10_000):
+        n = mixing.blocks_for(shards)
+        assert n & (n - 1) == 0
+        counts = [3 * n, n, n + n // 3, n // 50]
+        for shard in {0, 1, shards // 3, shards - 1}:
+            assert sum(k for _, k in mixing.split_path(counts, shards, shard, 5)) >= mixing.BLOCKS_A_SHARD
+
+
 # --- packing -----------------------------------------------------------------------------------
 
 
