@@ -967,7 +967,15 @@ def recipe_seeded_vocabulary(s, d):
     return rounded(recipes.seeded_vocabulary(docs.select("text"), bench_words(s, d).select(F.left("token", F.lit(4)).alias("token")).distinct(), 4000, 4))
 
 
-@query("recipe_evaluation")
+EVALUATED = SUB.replace("doc_id, lang, ", "item_id, ").replace("FROM documents", "FROM benchmark")
+
+
+@query(
+    "recipe_evaluation",
+    f"WITH RECURSIVE {VOC}, ev AS (WITH RECURSIVE {EVALUATED}, {edges_sql('voc')}, {paths_sql()} SELECT ids, weight FROM best), c AS (SELECT token_id, CAST(sum(weight) AS BIGINT) AS n FROM (SELECT unnest(ids) AS token_id, weight FROM ev) GROUP BY 1),"
+    f" v AS (SELECT n, theta, token = '{UNK}' AS u FROM c JOIN voc USING (token_id)) SELECT CAST(sum(n) AS BIGINT) AS n_tokens, CAST(coalesce(sum(n) FILTER (NOT u), 0) AS BIGINT) AS n_kept, CAST(coalesce(sum(n) FILTER (u), 0) AS BIGINT) AS n_unk, count(*) AS n_types,"
+    " round(exp(-(sum(n * ln(theta)) FILTER (NOT u)) / (sum(n) FILTER (NOT u))), 4) AS ppl_model, round(exp(ln(sum(n) FILTER (NOT u)) - (sum(n * ln(n)) FILTER (NOT u)) / (sum(n) FILTER (NOT u))), 4) AS ppl_new FROM v",
+)
 def recipe_evaluation(s, d):
-    out = recipes.evaluation(table(s, d, "benchmark"), vocab(s, d).drop("lp"), "item_id")
+    out = recipes.evaluation(table(s, d, "benchmark"), vocab(s, d).drop("lp"), "item_id", TICKS)
     return out.withColumns({c: F.round(c, 4) for c in ("ppl_model", "ppl_new")})

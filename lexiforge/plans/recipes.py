@@ -37,9 +37,10 @@ def seeded_vocabulary(docs: DataFrame, dictionary: DataFrame, size: int, max_len
     return train.train_vocab(segments, start, size, keep_char=True, max_epoch=1)
 
 
-def evaluation(lines: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row: token counts and both perplexities of ``lines(key, text)`` under ``vocab(token_id, token, theta)``."""
-    coded = segment.segment_corpus(lines, train.with_lp(vocab), key).persist()
+def evaluation(lines: DataFrame, vocab: DataFrame, key: str = "doc_id", ticks: float | None = None) -> DataFrame:
+    """One row: token counts and both perplexities of ``lines(key, text)`` under ``vocab(token_id, token, theta)``; best paths
+    with scores in whole ``ticks``, if given."""
+    coded = segment.segment_corpus(lines, train.with_lp(vocab, ticks), key).persist()
     unk = vocab.where(F.col("token") == "<unk>").select("token_id").collect()
     ignored = {"unk": unk[0][0]} if unk else {}
     scored = train.with_lp(vocab)
