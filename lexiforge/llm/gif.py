@@ -6,7 +6,9 @@ frames: palette indices and palette as stored, the RGBA picture of the whole scr
 drawn pixels by brightness and of the shown picture by colour. Both are row-wise Arrow jobs: no shuffle, memory bounded by a batch.
 
 Defined cases: null or empty content of ``decode_gifs`` has no frames; malformed content has a null frame
-array; null text is the empty text; repeated rows are stored and read alike.
+array; null text is the empty text; repeated rows are stored and read alike, and rows without doc_id as others; a text of
+any length is one file of as many frames as it fills; an empty table gives no rows; of the input only doc_id and text are
+read, so clashing names do no harm.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@
    the article has text: then the article is a teaser, and they are the main text.
 
 Defined cases: null or empty html gives empty text; a null URL or one without ``://`` has no host and is not
-paired; pages with equal host, path and lines are not paired with each other; repeated rows stay repeated rows.
+paired; pages with equal host, path and lines are not paired with each other; repeated rows stay repeated rows; an empty
+table gives no rows; of the input only page_id, url and html are read. A very long page is read whole; its lines are aligned
+with a neighbour's in memory that grows with the product of their numbers of lines, in bits.
 """
 
 from __future__ import annotations

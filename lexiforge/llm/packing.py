@@ -9,7 +9,8 @@ Ranks are made in two steps, within hashed buckets of a length and by bucket tot
 of all pieces have is still spread out. Nothing but the histogram reaches the driver.
 
 Defined cases: a null or empty text is one end token; repeated rows are packed once each; the plan does not depend
-on row order; an empty table gives no rows.
+on row order; an empty table gives no rows; a text of any length is cut into pieces of a full sequence; of the input only
+doc_id and text are read, so clashing names do no harm.
 """
 
 from __future__ import annotations

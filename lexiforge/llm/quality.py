@@ -4,7 +4,8 @@
 ``quality_rules`` does both. No user function and no shuffle is involved; the plan is scan and project.
 
 Defined cases: a null or blank text has no words and fails the base rule; repeated rows are judged
-row by row; columns of the input that clash with a result column are replaced by it.
+row by row; columns of the input that clash with a result column are replaced by it; texts of any length are judged whole;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
