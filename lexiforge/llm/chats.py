@@ -20,7 +20,8 @@ backslashes of a role are escaped too, as the role ends at a line feed.
 Defined cases: null roles and texts are empty; null scores are 0; a reply to a message that is not in its tree begins a
 path of its own; messages on or below a cycle of replies have no root and are left out; null tree ids are one tree, rows
 with a null message id are left out; of rows with equal ids the first by parent, role, text and score counts, so repeated
-rows count once; equal scores are ordered by id; an empty table gives no rows; further columns are not read.
+rows count once; equal scores are ordered by id; an empty table gives no rows; further columns are not read. The query
+numbers the rows of a conversation, so there repeated rows are turns of their own, and null turns come first.
 Message ids are compared as they are, of any type. A path is one row, so its text must fit one.
 """
 
