@@ -89,9 +89,11 @@ def write_archive(pages: DataFrame, folder: str, date: str = "2020-01-01T00:00:0
     )
     facts.join(owner, "digest").select("page_id", "digest", header.alias("header")).write.parquet(f"{folder}/headers")
     # One copy of each payload: the owner's. Owners with the same id and payload are dropped by the aggregate.
-    own = owner.select("owner", F.col("digest").alias("_digest"))
-    kept = keyed.select("page_id", "digest", "payload").join(own, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("owner")), "left_semi")
-    kept.dropDuplicates(["page_id", "digest"]).select("digest", "payload").write.parquet(f"{folder}/payloads")
+    # Ids are compared as number and flag, so that the join and the aggregate deal payloads out by the same keys, once.
+    number = lambda c: [F.coalesce(c, F.lit(0)).alias("_id"), F.col(c).isNull().alias("_none")]
+    own = owner.select("digest", *number("owner"))
+    kept = keyed.select("digest", *number("page_id"), "payload").join(own, ["digest", "_id", "_none"], "left_semi")
+    kept.dropDuplicates(["digest", "_id", "_none"]).select("digest", "payload").write.parquet(f"{folder}/payloads")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
