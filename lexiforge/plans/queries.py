@@ -958,7 +958,7 @@ def parsed_special_tokens(s, d):
 
 @query("recipe_merged_vocabulary")
 def recipe_merged_vocabulary(s, d):
-    return recipes.merged_vocabulary(table(s, d, "documents"), 1500, ["de", "en", "es", "fr"], 4)
+    return recipes.merged_vocabulary(table(s, d, "documents"), 3000, ["de", "en", "es", "fr"], 4)
 
 
 @query("recipe_seeded_vocabulary")
