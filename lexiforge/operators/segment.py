@@ -1,8 +1,9 @@
 """Paths through lattices: best, sampled, n best; and the sums over all paths.
 
 Best paths go by a walk of the vocabulary's trie (lines.py), for words and whole lines alike. Vocabularies that are too
-large for it, samples and the sums of single edges fold over a segment's sorted edge array in the JVM, a row per *distinct*
-segment; that costs length times edges, so it is for words.
+large for it, and the sums of single edges, fold over a segment's sorted edge array in the JVM, a row per *distinct*
+segment; that costs length times edges, so it is for words. Samples, n best paths and sums of whole segments take the
+edge arrays of a batch together (lines.py).
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.functions.arrays import evaluated, let, log_sum_exp, minus_infinity
+from lexiforge.functions.arrays import evaluated, log_sum_exp, minus_infinity
 from lexiforge.functions.patterns import UNK
-from lexiforge.functions.text import SPACE, normalize_for_model, strip, words as text_words
+from lexiforge.functions.text import SPACE, normalize_for_model, strip
 from lexiforge.operators.lattice import edge_arrays, lattice, with_scores
-from lexiforge.operators.lines import best_paths_by_trie, ids_by_trie, word_segments_by_trie
-from lexiforge.operators.ngrams import spread, to_segments, uniform_hash, unit_interval
+from lexiforge.operators.lines import best_paths_by_trie, ids_by_trie, nbest_of_edges, samples_of_edges, sums_of_edges, word_segments_by_trie
+from lexiforge.operators.ngrams import spread, to_segments, uniform_hash
 from lexiforge.operators.trie import fits, matcher
 
 STEP = "array<struct<start:int,l:int,token_id:int>>"
@@ -78,8 +79,8 @@ def segment_corpus(lines: DataFrame, vocab: DataFrame, key: str = "line_id", tex
     """(key, pieces, ids) of every line, word by word: with the vocabulary's trie each task solves the words of its lines;
     with a larger vocabulary distinct words are solved once and joined back."""
     if fits(vocab):
-        segs = F.transform(text_words(F.col(text)), lambda w: F.concat(F.lit("▁"), w))
-        return word_segments_by_trie(lines.select(key, segs.alias("segs")), matcher(vocab, max_length, score="lp"), key)
+        spaced = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
+        return word_segments_by_trie(lines.select(key, spaced.alias("words")), matcher(vocab, max_length, score="lp"), key)
     words = lines.select(key, F.posexplode(F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")).alias("i", "w")).withColumn("seg", F.concat(F.lit("▁"), "w"))
     solved = segment_segments(to_segments(lines, text), vocab, max_length).select("seg", "pieces", "ids")
     found = words.join(solved, "seg").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "pieces", "ids"))).alias("a"))
@@ -117,6 +118,11 @@ def token_counts(ed: Column, alpha: Column, length: Column) -> Column:
     return F.aggregate(ends(length), F.array(F.lit(0.0)), lambda c, i: F.array_append(c, total(c, i)))
 
 
+def line_sums(scored: DataFrame) -> DataFrame:
+    """(seg, weight, loglik, expected_tokens) of ``scored``, for who needs no sums by position."""
+    return sums_of_edges(scored)
+
+
 def path_sums(scored: DataFrame) -> DataFrame:
     """``scored`` with alpha, beta, the log-likelihood and the expected number of tokens."""
     n = F.length("seg")
@@ -139,49 +145,13 @@ def posteriors(sums: DataFrame, normalize: str = "line") -> DataFrame:
 
 def sample_paths(scored: DataFrame, n: int, alpha: float = 1.0, seed: int = 0) -> DataFrame:
     """(seg, weight, draw, pieces, ids): ``n`` paths, each drawn by forward filtering and backward sampling."""
-    length = F.length("seg")
     tempered = scored.withColumn("ed", F.transform("ed", lambda x: F.struct(x["e"].alias("e"), x["l"].alias("l"), x["token_id"].alias("token_id"), (x["lp"] * alpha).alias("lp"))))
-    rows = evaluated(tempered, _a=forward(F.col("ed"), length)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-
-    def pick(at: Column) -> Column:
-        u = unit_interval(F.lit(str(seed)), F.col("seg"), F.col("draw").cast("string"), at.cast("string"))
-        none = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("l"), F.lit(-1).alias("token_id"))
-
-        def add(st: Column, x: Column) -> Column:
-            total = st["sum"] + F.exp(x["lp"] + F.get("_a", x["e"] - x["l"]) - F.get("_a", at))
-            take = (st["sum"] < u) & (x["lp"] + F.get("_a", x["e"] - x["l"]) > minus_infinity())
-            return F.when(take, F.struct(total.alias("sum"), x["l"].alias("l"), x["token_id"].alias("token_id"))).otherwise(st)
-
-        return F.aggregate(edges_at(F.col("ed"), at), none, add)
-
-    def back(st: Column, _: Column) -> Column:
-        def grown(step: Column) -> Column:
-            taken = F.struct((st["at"] - step["l"]).alias("start"), step["l"].alias("l"), step["token_id"].alias("token_id"))
-            return F.when(step["l"] > 0, F.struct((st["at"] - step["l"]).alias("at"), F.array_append(st["path"], taken).alias("path"))).otherwise(st)
-
-        return F.when(st["at"] > 0, let(pick(st["at"]), grown)).otherwise(st)
-
-    state = F.struct(length.alias("at"), F.array().cast(STEP).alias("path"))
-    path = F.aggregate(ends(length), state, back, lambda st: F.reverse(st["path"]))
-    out = evaluated(rows, _p=path)
-    return out.select("seg", "weight", "draw", pieces_of(F.col("_p"), F.col("seg")).alias("pieces"), F.transform("_p", lambda s: s["token_id"]).alias("ids"))
+    return samples_of_edges(tempered, n, seed)
 
 
 def nbest_paths(scored: DataFrame, n: int) -> DataFrame:
     """(seg, weight, rank, pieces, score): the ``n`` best paths, exactly; equal scores by their token lengths."""
-    kind = "array<struct<s:double,p:array<int>>>"
-    empty = F.array(F.array(F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("p"))))
-
-    def at(k: Column, i: Column) -> Column:
-        grown = lambda x: F.transform(F.get(k, x["e"] - x["l"]), lambda h: F.struct((h["s"] + x["lp"]).alias("s"), F.array_append(h["p"], x["l"]).alias("p")))
-        return F.slice(F.reverse(F.sort_array(F.flatten(F.transform(edges_at(F.col("ed"), i), grown)))), 1, n).cast(kind)
-
-    length = F.length("seg")
-    table = F.aggregate(ends(length), empty.cast(f"array<{kind}>"), lambda k, i: F.array_append(k, at(k, i)))
-    rows = evaluated(scored, _k=F.get(table, length)).select("seg", "weight", F.posexplode("_k").alias("i", "h"))
-    start = lambda p, j: F.aggregate(F.slice(p, 1, j), F.lit(0), lambda s, x: s + x)
-    pieces = F.transform(F.col("h.p"), lambda n_, j: F.substring("seg", start(F.col("h.p"), j) + 1, n_))
-    return rows.select("seg", "weight", (F.col("i") + 1).alias("rank"), pieces.alias("pieces"), F.col("h.s").alias("score"))
+    return nbest_of_edges(scored, n)
 
 
 def sample_from_nbest(scored: DataFrame, m: int, n: int, lam: float = 1.0, seed: int = 0) -> DataFrame:
