@@ -1,7 +1,6 @@
 """Frequent n-grams level by level: an n-gram can be frequent only if the two that are one shorter are.
 
-The frequent n-grams so far are a trie (every start of one is one), which the tasks hold. A level walks it at all places,
-takes up the places where the two shorter n-grams are frequent, and counts there; each task sends a row for a candidate, so
+The frequent n-grams of the level before are a trie, which the tasks hold. A level walks it at all places, takes up the places where the two shorter n-grams are frequent, and counts there; each task sends a row for a candidate, so
 n-grams that cannot be frequent are neither made nor shuffled.
 """
 
@@ -24,7 +23,7 @@ COUNTS = "token string, freq long"
 
 
 def candidates(rows: DataFrame, known: Broadcast, n: int) -> DataFrame:
-    """(token, freq) of the n-grams of ``rows(seg, weight)`` whose two shorter ones are in ``known``."""
+    """(token, freq) of the n-grams of ``rows(seg, weight)`` whose two shorter ones are in ``known``, the trie of those."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie: DoubleArray = known.value
@@ -68,7 +67,7 @@ def frequent_ngrams(segments: DataFrame, max_length: int, min_freq: int) -> Data
             counts = candidates(rows, spark.sparkContext.broadcast(DoubleArray(known)), n)
             level = counts.where(F.col("freq") >= min_freq).limit(MAX_TOKENS + 1).collect()
             found = found + level
-            known += [r.token for r in level]
+            known = [r.token for r in level]
     finally:
         rows.unpersist()
     if len(found) > MAX_TOKENS:
