@@ -6,6 +6,9 @@
    more part than that by a hash, some part is equal in both. Each class emits a hash per part (``part_signatures``);
    classes that share one are joined up, and the components of that are clusters. Every link lies in a cluster.
    Large clusters are split into blocks by ranges of set sizes, of which only neighbouring ones meet.
+   A cluster's sets are then compared by sketches of a bit or so a token, the parities of their tokens by hash: two sets
+   differ in at least as many tokens as their sketches do in bits, so what can't link is told apart without the texts,
+   and only what is joined up by pairs that may link stays a cluster.
 3. Signature trees. A cluster's sets, in blocks of bounded size, become the leaves of trees whose nodes hold the
    OR of the members' token bitmaps, their AND, and their size range. Two trees are walked together; a pair of
    nodes is left out when its largest possible overlap cannot reach the threshold. The sets of surviving leaf pairs
@@ -40,10 +43,13 @@ BITS = 2048
 LEAF = 4
 BLOCK_SETS = 8192
 BLOCK_TOKENS = 2_000_000
+SKETCH_SETS = 16_384
+SKETCH_TOKENS = 64_000_000
+SKETCH_BYTES = 8_000_000  # compared at once
 FEW_PARTS = 12
 CACHED_WORDS = 1_000_000
 
-SIZES = "doc_id long, text_hash long, n_shingles long, node long, signatures array<long>, near array<long>"
+SIZES = "doc_id long, text_hash long, n_shingles long, node long, signatures array<long>, near array<long>, sketch binary"
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -140,6 +146,81 @@ class Parts:
         return np.concatenate(out).view(np.int64)
 
 
+# --- sketches ----------------------------------------------------------------------------------
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Whether an odd number of tokens has a hash, for 64 hashes or the next power of two from 3/4 of the tokens on."""
+    bits = 1 << max(6, (3 * len(tokens) // 4 - 1).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> bytes:
+    """The sketch as it is with fewer hashes, of ``size`` bytes."""
+    while len(sketch) > size:
+        half = len(sketch) // 2
+        sketch = (int.from_bytes(sketch[:half], "little") ^ int.from_bytes(sketch[half:], "little")).to_bytes(half, "little")
+    return sketch
+
+
+def sketch_forest(sizes: np.ndarray, sides: np.ndarray, sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may link; if ``sides`` has two values, of pairs with one of either."""
+    order = np.argsort(sizes, kind="stable")
+    n, side, label, cross = sizes[order], sides[order], np.arange(len(order)), len(np.unique(sides)) > 1
+    ends, widths, edges = np.searchsorted(n, n * 100 // percent, side="right"), np.array([len(sketches[k]) for k in order.tolist()]), []
+    for width in np.unique(widths).tolist():
+        of = np.flatnonzero(widths == width)
+        first, last = int(of[0]), int(ends[of[-1]])
+        table = np.frombuffer(b"".join(folded(sketches[k], width) for k in order[first:last].tolist()), dtype=np.uint64).reshape(last - first, -1)
+        for i in of.tolist():
+            open_ = label[i + 1 : ends[i]] != label[i]
+            if cross:
+                open_ &= side[i + 1 : ends[i]] != side[i]
+            others = np.flatnonzero(open_) + i + 1
+            for at in range(0, len(others), max(1, SKETCH_BYTES // width)):
+                some = others[at : at + max(1, SKETCH_BYTES // width)]
+                # of linked sets of sizes a, b at most (100 - percent) * (a + b) / (100 + percent) tokens are in one only
+                room = (n[i] + n[some]) * (100 - percent)
+                half = max(1, table.shape[1] // 2)  # the first half tells most pairs apart
+                near = np.flatnonzero(np.bitwise_count(table[some - first, :half] ^ table[i - first, :half]).sum(axis=1, dtype=np.int64) * (100 + percent) <= room)
+                differ = np.bitwise_count(table[some[near] - first] ^ table[i - first]).sum(axis=1, dtype=np.int64)
+                some = some[near][differ * (100 + percent) <= room[near]]
+                labels, one = np.unique(label[some], return_index=True)
+                for other, j in zip(labels.tolist(), some[one].tolist(), strict=True):
+                    if other != label[i]:
+                        label[label == other] = label[i]
+                        edges.append((int(order[i]), int(order[j])))
+    return edges
+
+
+def sketch_links(percent: int):  # noqa: ANN201
+    """An Arrow job over rows (cluster, i, j, node, block, n, sketch), sorted by the first three: (u, v) of the
+    :func:`sketch_forest` of each (cluster, i, j), one block if i = j, else two."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+
+        def close() -> None:
+            if rows:
+                nodes, blocks, sizes, sketches = zip(*rows, strict=True)
+                out.extend((nodes[a], nodes[b]) for a, b in sketch_forest(np.array(sizes), np.array(blocks), list(sketches), percent) if key[1] == key[2] or blocks[a] != blocks[b])
+            rows.clear()
+
+        for batch in batches:
+            for cluster, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (cluster, i, j):
+                    close()
+                    key = (cluster, i, j)
+                rows.append(row)
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in range(2)], names=["u", "v"])
+                out.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in range(2)], names=["u", "v"])
+
+    return run
+
+
 # --- signature trees ---------------------------------------------------------------------------
 
 
@@ -329,13 +410,14 @@ def document_sizes(gram: int, percent: int):  # noqa: ANN201
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, parts = Shingles(gram), Parts(percent)
         for batch in batches:
-            n, nodes, signatures = [], [], []
+            n, nodes, signatures, sketches = [], [], [], []
             for at in range(0, batch.num_rows, 256):
                 for text in batch.column(2).slice(at, 256).to_pylist():
                     tokens = make.of(text)
                     n.append(len(tokens))
                     nodes.append(fingerprint(tokens) if len(tokens) else None)
                     signatures.append(parts.signatures(tokens))
+                    sketches.append(sketch(tokens) if len(tokens) else None)
             if not n:
                 continue
             flat, owner = np.concatenate(signatures), np.repeat(np.arange(len(n)), list(map(len, signatures)))
@@ -349,8 +431,8 @@ def document_sizes(gram: int, percent: int):  # noqa: ANN201
                 offsets = np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)  # noqa: B023
                 return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists(flat[at], owner[at]), lists(ids[pairs[1]], pairs[0])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "node", "signatures", "near"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists(flat[at], owner[at]), lists(ids[pairs[1]], pairs[0]), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "node", "signatures", "near", "sketch"])
 
     return run
 
@@ -363,16 +445,16 @@ def candidate_edges(sized: DataFrame) -> DataFrame:
     parts = sized.select(F.explode("signatures").alias("s"), "node").where("s is not null and node is not null").repartition("s")
     low = parts.groupBy("s").agg(F.min("node").alias("m"), F.max("node").alias("_high")).where("m <> _high").drop("_high")
     far = parts.join(low, "s").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
-    return far.union(sized.select(F.col("node").alias("u"), F.explode("near").alias("v"))).distinct()
+    return far.union(sized.select(F.col("node").alias("u"), F.explode("near").alias("v")))
 
 
-def links(docs: DataFrame, clusters: DataFrame, gram: int, percent: int, count: bool) -> DataFrame:
-    """(u, v, links) of :func:`block_links` over ``clusters(cluster, node, key, weight, n_shingles)``.
+def in_blocks(clusters: DataFrame, percent: int, most_sets: int, most_tokens: int) -> DataFrame:
+    """``clusters(cluster, node, n_shingles)`` with each set's ``block`` and the ``pairs`` (i, j) of blocks that it is compared in.
 
     A cluster of more than a block is split by ranges of set sizes and then by hash; only blocks of the same range or of
-    neighbouring ones meet. A class's text is found by ``key``: a doc_id, or the text's hash for rows without one, of which a text keeps one.
+    neighbouring ones meet.
     """
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_TOKENS)).cast("int")
+    blocks = F.greatest(F.ceil(F.count("*") / most_sets), F.ceil(F.sum("n_shingles") / most_tokens)).cast("int")
     # Sizes of sets that link are in one range or in neighbouring ones; a little wider, for the logarithm's rounding.
     span = F.floor(F.log("n_shingles") / (math.log(100 / percent) * 1.0001)).cast("int")
     large = clusters.groupBy("cluster").agg(blocks.alias("_b")).where("_b > 1").select("cluster")
@@ -384,7 +466,22 @@ def links(docs: DataFrame, clusters: DataFrame, gram: int, percent: int, count:
     in_range = lambda r: F.when(F.try_element_at("_of", r).isNull(), F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.try_element_at("_of", r) - 1), lambda k: block(r, k)))
     others = F.concat(*[in_range(F.col("_r") + d) for d in (-1, 0, 1)])
     pairs = F.transform(F.when(F.col("_of").isNull(), F.array(F.col("block"))).otherwise(others), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    placed = placed.select("key", "node", "cluster", "weight", "block", pairs.alias("pairs"))
+    return placed.withColumn("pairs", pairs).drop("_r", "_k", "_of")
+
+
+def may_link_edges(clusters: DataFrame, percent: int) -> DataFrame:
+    """(u, v) such that sets of ``clusters(cluster, node, n_shingles, sketch)`` which link are joined up: those whose sketches allow it."""
+    placed = in_blocks(clusters, percent, SKETCH_SETS, SKETCH_TOKENS).withColumn("p", F.explode("pairs"))
+    dealt = placed.select("cluster", "p.i", "p.j", "node", "block", "n_shingles", "sketch").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return dealt.mapInArrow(sketch_links(percent), "u long, v long")
+
+
+def links(docs: DataFrame, clusters: DataFrame, gram: int, percent: int, count: bool) -> DataFrame:
+    """(u, v, links) of :func:`block_links` over ``clusters(cluster, node, key, weight, n_shingles)``.
+
+    A class's text is found by ``key``: a doc_id, or the text's hash for rows without one, of which a text keeps one.
+    """
+    placed = in_blocks(clusters, percent, BLOCK_SETS, BLOCK_TOKENS).select("key", "node", "cluster", "weight", "block", "pairs")
     known = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
     unknown = docs.where("doc_id is null").groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))
     rows = known.union(unknown).join(placed, "key")
@@ -404,8 +501,10 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     sized = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(document_sizes(gram, percent), SIZES))
     own = F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", "text_hash").alias("key"))
     per_class = sized.where("node is not null").groupBy("node")
-    classes = cut_lineage(per_class.agg(F.min(own).alias("own"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles")))
+    classes = cut_lineage(per_class.agg(F.min(own).alias("own"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     found = connected_components(candidate_edges(sized))
+    wide = cut_lineage(found.select("node", F.col("component").alias("cluster")).join(classes.select("node", "n_shingles", "sketch"), "node"))
+    found = connected_components(may_link_edges(wide, percent))
     clusters = cut_lineage(found.select("node", F.col("component").alias("cluster")).join(classes.select("node", F.col("own.key").alias("key"), "weight", "n_shingles"), "node"))
     out = cut_lineage(links(docs, clusters, gram, percent, count_links))
     joined = connected_components(out.where("v is not null").select("u", "v"))

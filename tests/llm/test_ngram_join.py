@@ -120,6 +120,43 @@ def test_signatures_and_bounds_lose_no_link():
         assert linked > 800
 
 
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(1)
+    for percent in (90, 80, 50):
+        linked = 0
+        for _ in range(600):
+            a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 900)), dtype=np.uint64))
+            k = int(len(a) * rng.random() * 2 * (100 - percent) / 100)
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[k:]], rng.integers(0, 2**63, int(rng.integers(0, k + 2)), dtype=np.uint64)]))
+            if not len(b):
+                continue
+            common = len(np.intersect1d(a, b))
+            found = N.sketch_forest(np.array([len(a), len(b)]), np.array([0, 1]), [N.sketch(a), N.sketch(b)], percent)
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                linked += 1
+                assert len(found) == 1
+        assert linked > 100
+    apart = [np.unique(rng.integers(0, 2**63, 400 + i, dtype=np.uint64)) for i in range(20)]
+    assert not N.sketch_forest(np.array([len(a) for a in apart]), np.zeros(20, int), [N.sketch(a) for a in apart], 80)
+
+
+def test_texts_that_only_share_a_passage_go_to_no_block(spark, monkeypatch):
+    sent, links = [], N.links
+    monkeypatch.setattr(N, "links", lambda docs, clusters, *rest: sent.append(clusters.count()) or links(docs, clusters, *rest))
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(300)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(250)])) for i in range(60)]
+    rows += [(100, rows[0][1] + " z"), (101, rows[7][1] + " y")]
+    found = N.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, count_links=False)
+    assert ordered(r[:3] for r in found.select("doc_id", "n_shingles", "component_id").collect()) == ordered(r[:3] for r in brute_force(rows, 5, 80))
+    assert sent == [4]
+
+
+def test_sketches_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "SKETCH_SETS", 5)
+    test_large_clusters_in_several_blocks(spark, monkeypatch)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as P
     from lexiforge.llm import mixing, quality

@@ -535,6 +535,23 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_components_of_more_edges_than_a_task_takes_and_few_shuffles_for_few(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300) if i % 50] + [(1000, 1001 + i) for i in range(70)], "u long, v long").repartition(6)
+    want = {i: max(1, i // 50 * 50 + 1) for i in range(1, 301) if i % 50} | {i: (i - 50) // 50 * 50 + 1 for i in range(50, 301, 50)} | {1000 + i: 1000 for i in range(71)}
+    one_task = connected_components(edges)
+    assert {r.node: r.component for r in one_task.collect()} == want
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    spark.sparkContext.setJobGroup("few edges", "")
+    connected_components(edges)
+    few = len(jobs("few edges"))
+    spark.sparkContext.setJobGroup("many edges", "")
+    monkeypatch.setattr("lexiforge.llm.components.TASK_EDGES", 40)
+    many = connected_components(edges)
+    assert few <= 5 < len(jobs("many edges"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.node: r.component for r in many.collect()} == want
+
+
 # --- toxicity ----------------------------------------------------------------------------------
 
 
