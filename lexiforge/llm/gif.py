@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ DELAY_MS = 100
 HISTOGRAM_BINS = 16
 COLOR_BITS = 2  # of each of red, green and blue in the bins of a colour histogram
 MAX_CODES = 4096
+PLACES = np.arange(16)
+MASKS = (1 << np.arange(13, dtype=np.uint32)) - 1  # by width
 
 FRAME = "array<struct<frame_no:int,start_ms:long,delay_ms:int,left:int,top:int,width:int,height:int,disposal:int,transparent:int,indices:binary,histogram:array<long>,palette:binary,screen_width:int,screen_height:int,canvas:binary,colors:array<long>>>"
 
@@ -36,96 +39,104 @@ FRAME = "array<struct<frame_no:int,start_ms:long,delay_ms:int,left:int,top:int,w
 # --- LZW ---------------------------------------------------------------------------------------
 
 
+PHRASES = [0] * (MAX_CODES << 8)  # a worker's table of known phrases by (code, next sample), all 0 between calls
+
+
 def lzw_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Codes and their widths for 8-bit samples: a clear code first, an end code last."""
-    codes, first = [256], {}
-    get, put = first.get, codes.append
-    cleared, n, cur = [1], 258, -1
-    for b in data:
-        if cur < 0:
-            cur = b
-            continue
-        key = cur << 8 | b
-        found = get(key)
-        if found is not None:
+    table, keys, cleared = PHRASES, [], []
+    put, n, full, dirty = keys.append, 258 << 8, MAX_CODES << 8, 0
+    samples = iter(data)
+    cur = next(samples, -1) << 8  # a code, shifted to make room for a sample
+    for b in samples:
+        key = cur | b
+        if found := table[key]:
             cur = found
             continue
-        put(cur)
-        if n < MAX_CODES:
-            first[key] = n
-            n += 1
+        put(key)
+        if n < full:
+            table[key] = n
+            n += 256
         else:
-            put(256)
-            cleared.append(len(codes))
-            first.clear()
-            n = 258
-        cur = b
+            for k in keys[dirty:]:
+                table[k] = 0
+            put(256 << 8)
+            dirty = len(keys)
+            cleared.append(dirty + 1)
+            n = 258 << 8
+        cur = b << 8
+    for k in keys[dirty:]:
+        table[k] = 0
+    out = np.empty(len(keys) + 2 + (cur >= 0), dtype=np.uint32)
+    out[0], out[-1] = 256, 257
+    out[1 : len(keys) + 1] = np.array(keys, dtype=np.uint32) >> 8
     if cur >= 0:
-        put(cur)
-    put(257)
-    out = np.array(codes, dtype=np.uint32)
+        out[-2] = cur >> 8
     widths = np.empty(len(out), dtype=np.int64)
     widths[0] = 9
-    for start, stop in zip(cleared, [*cleared[1:], len(out)], strict=True):
+    for start, stop in zip([1, *cleared], [*cleared, len(out)], strict=True):
         widths[start:stop] = width_schedule(stop - start)
     return out, widths
 
 
-def width_schedule(count: int, bits: int = 8) -> np.ndarray:
-    """Widths of the first ``count`` codes after a clear code: the k-th one is read with k-1 phrases known (k from 0)."""
+@lru_cache(maxsize=16)
+def full_schedule(bits: int, count: int) -> np.ndarray:
     size = (1 << bits) + 2 + np.maximum(np.arange(count) - 1, 0)
     return np.clip(np.ceil(np.log2(size + 1)).astype(np.int64), bits + 1, 12)
 
 
+def width_schedule(count: int, bits: int = 8) -> np.ndarray:
+    """Widths of the first ``count`` codes after a clear code: the k-th one is read with k-1 phrases known (k from 0)."""
+    return full_schedule(bits, max(8192, 1 << max(count - 1, 0).bit_length()))[:count]
+
+
 def pack_codes(codes: np.ndarray, widths: np.ndarray) -> bytes:
     """Least significant bit first."""
-    place = np.arange(12)
-    bits = (codes[:, None] >> place & 1).astype(np.uint8)
-    return np.packbits(bits[place < widths[:, None]], bitorder="little").tobytes()
+    bits = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[PLACES < widths[:, None]], bitorder="little").tobytes()
 
 
 def lzw_decode(stream: bytes, bits: int, expected: int) -> bytes:
     """The samples of a code stream. Widths depend on the count of codes since a clear code alone, so the codes
     of a whole run are cut out of the bits at once, up to the next clear or end code."""
     clear, end = 1 << bits, (1 << bits) + 1
-    flat = np.unpackbits(np.frombuffer(stream, dtype=np.uint8), bitorder="little").astype(np.uint32)
+    padded_ = np.frombuffer(stream + bytes(3), dtype=np.uint8).astype(np.uint32)
+    words, n_bits = padded_[:-2] | padded_[1:-1] << 8 | padded_[2:] << 16, 8 * len(stream)  # 24 bits from each byte on
     at, out, size = 0, [], 0
     singles = [bytes([i]) for i in range(clear)] + [b"", b""]
-    while at + bits + 1 <= len(flat) and size < expected:
+    while at + bits + 1 <= n_bits and size < expected:
         ahead = 4096 + 512
         while True:
-            widths = width_schedule(min(ahead, (len(flat) - at) // (bits + 1)), bits)
+            widths = width_schedule(min(ahead, (n_bits - at) // (bits + 1)), bits)
             ends = at + np.cumsum(widths)
-            keep = int(np.searchsorted(ends, len(flat), side="right"))
+            keep = int(np.searchsorted(ends, n_bits, side="right"))
             widths, ends = widths[:keep], ends[:keep]
             starts = ends - widths
-            codes = np.zeros(keep, dtype=np.uint32)
-            for i in range(12):
-                on = widths > i
-                codes[on] |= flat[starts[on] + i] << i
+            codes = words[starts >> 3] >> (starts & 7).astype(np.uint32) & MASKS[widths]
             stops = np.flatnonzero((codes == clear) | (codes == end))
-            if len(stops) or ends[-1] + 13 > len(flat) or keep < ahead:
+            if len(stops) or ends[-1] + 13 > n_bits or keep < ahead:
                 break
             ahead *= 2  # an encoder may go on with a full table
         stop = int(stops[0]) if len(stops) else keep
-        table, last = singles.copy(), b""
-        add, put = table.append, out.append
-        for code in codes[:stop].tolist():
-            if last:
-                if code < len(table):
+        found = codes[:stop].tolist()
+        if found:
+            # each code but the first adds a phrase: the last one and the first sample of its own
+            table, last, known = singles.copy(), singles[found[0]], len(singles)
+            add = table.append
+            for code in found[1 : MAX_CODES - known + 1]:
+                if code < known:
                     phrase = table[code]
-                    if len(table) < MAX_CODES:
-                        add(last + phrase[:1])
-                else:
-                    if code > len(table):
-                        raise ValueError("bad code stream")
+                    add(last + phrase[:1])
+                elif code == known:
                     phrase = last + last[:1]
                     add(phrase)
-            else:
-                phrase = table[code]
-            put(phrase)
-            size += len(phrase)
-            last = phrase
+                else:
+                    raise ValueError("bad code stream")
+                last = phrase
+                known += 1
+            phrases = [table[code] for code in found]
+            out += phrases
+            size += sum(map(len, phrases))
         if not len(stops) or codes[stop] == end:
             break
         at = int(ends[stop])
@@ -162,8 +173,9 @@ def interlaced(height: int) -> list[int]:
 
 def color_histogram(canvas: np.ndarray) -> list[int]:
     """Opaque pixels of an RGBA picture by the upper bits of red, green and blue."""
-    r, g, b = (canvas[..., k].astype(np.int16) >> (8 - COLOR_BITS) for k in range(3))
-    return np.bincount(((r << 2 * COLOR_BITS) | (g << COLOR_BITS) | b)[canvas[..., 3] > 0], minlength=1 << 3 * COLOR_BITS).tolist()
+    r, g, b = (canvas[..., k] >> (8 - COLOR_BITS) for k in range(3))
+    bins, opaque = (r << 2 * COLOR_BITS) | (g << COLOR_BITS) | b, canvas[..., 3] > 0
+    return np.bincount(bins.ravel() if opaque.all() else bins[opaque], minlength=1 << 3 * COLOR_BITS).tolist()
 
 
 def shown_samples(frame: dict) -> bytes:
@@ -228,9 +240,14 @@ def read_gif(data: bytes, canvases: bool = False) -> Iterator[dict]:
             if disposal == 3:
                 kept = canvas.copy()
             area = canvas[top : top + h, left : left + w]
-            drawn = np.dstack([palette[np.minimum(pixels, len(palette) - 1)].reshape(h, w, 3), np.full((h, w, 1), 255, np.uint8)])[: area.shape[0], : area.shape[1]]
-            shown = (pixels != transparent).reshape(h, w)[: area.shape[0], : area.shape[1]] if transparent >= 0 else np.ones(area.shape[:2], bool)
-            area[shown] = drawn[shown]
+            colors = np.full((256, 4), 255, np.uint8)
+            colors[:, :3] = palette[np.minimum(np.arange(256), len(palette) - 1)]
+            drawn = colors.view(np.uint32)[:, 0][pixels].view(np.uint8).reshape(h, w, 4)[: area.shape[0], : area.shape[1]]
+            if transparent < 0:
+                area[:] = drawn
+            else:
+                shown = (pixels != transparent).reshape(h, w)[: area.shape[0], : area.shape[1]]
+                area[shown] = drawn[shown]
             frame |= {"palette": palette.tobytes(), "screen_width": width, "screen_height": height, "canvas": canvas.tobytes(), "colors": color_histogram(canvas)}
             if disposal == 2:
                 canvas[top : top + h, left : left + w] = 0

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -88,6 +89,42 @@ def test_disposal_transparency_and_local_palettes():
     assert [f["start_ms"] for f in frames] == [0, 50, 100, 150] and [sum(f["histogram"]) for f in frames] == [2, 1, 1, 1]
 
 
+def plain_lzw_codes(data):
+    """Codes by a dictionary of phrases, as a measure."""
+    codes, known, phrase = [256], {bytes([i]): i for i in range(256)}, b""
+    for i in range(len(data)):
+        if (longer := phrase + data[i : i + 1]) in known:
+            phrase = longer
+            continue
+        codes.append(known[phrase])
+        if len(known) < gif.MAX_CODES - 2:
+            known[longer] = len(known) + 2
+        else:
+            codes.append(256)
+            known = {bytes([i]): i for i in range(256)}
+        phrase = data[i : i + 1]
+    return [*codes, *([known[phrase]] if phrase else []), 257]
+
+
+def test_gif_codes_are_those_of_a_plain_encoder_and_a_round_trip_takes_little_longer(docs):
+    payloads = [gif.padded((r.text or "").encode()) for r in docs.select("text").collect()] + [b"", b"ab" * 40_000, random.Random(3).randbytes(20_000)]
+
+    def seconds(work):
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            found = [work(p) for p in payloads]
+            times.append(time.process_time() - began)
+        return min(times), found
+
+    plain, codes = seconds(plain_lzw_codes)
+    assert [gif.lzw_codes(p)[0].tolist() for p in payloads] == codes and not any(gif.PHRASES)
+    payloads = [p for p in payloads if p]
+    stored, frames = seconds(lambda p: list(gif.read_gif(gif.write_gif(p[: len(p) // 64 * 64]), canvases=True)))
+    print("GIF seconds, plain encoder alone and round trip:", plain, stored)
+    assert stored < 0.7 * plain
+
+
 def test_gif_columns_hold_the_shown_pictures(spark):
     """A picture, then a transparent delta frame over its right half, after which the screen is cleared."""
 
