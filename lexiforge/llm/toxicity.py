@@ -72,10 +72,17 @@ BREAK = ""  # stands for the end of a line
 SPELT = re.compile(r"(?<!\S)(?:[^\W\d_]\s+){2,}[^\W\d_](?!\S)")
 LONG = re.compile(rf"\S{{{LONG_WORD + 1}}}")
 PIECES = re.compile(rf"\S{{1,{LONG_WORD}}}")
+STOPS = {*".!?…"}
+CLOSING = "\"'»”’)]"
 LAST = re.compile(r"[.!?…][\"'»”’)\]]*$|^[|]$")
 NO_SIGNS = {c: None for c in [*range(33, 127), ord(BREAK)] if not chr(c).isalnum() and chr(c) not in LEET}
 
 
+def is_last(word: str) -> bool:
+    """Whether a word ends a sentence: the end of a line, or a match of ``LAST``."""
+    return word == BREAK or word == "|" or word.rstrip(CLOSING)[-1:] in STOPS
+
+
 def word_list(text: str) -> list[str]:
     """Lower-cased words, with a mark at each line's end; three or more single letters in a row follow as one word."""
     low = text.lower()
@@ -84,11 +91,19 @@ def word_list(text: str) -> list[str]:
     return found + joined if joined else found
 
 
+def without_signs(words: list[str]) -> list[str]:
+    return [w.translate(NO_SIGNS) for w in words]
+
+
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, triple code, weight) of every gapped letter triple of the words; a word's weights have norm one."""
-    trimmed = [w.translate(NO_SIGNS) for w in words]
+    return trimmed_triples(without_signs(words))
+
+
+def trimmed_triples(trimmed: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`triples` of words without signs."""
     flat = np.frombuffer("".join(f"\x02{w}\x03" for w in trimmed).encode("utf-32-le", "replace"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in trimmed])
+    owner = np.repeat(np.arange(len(trimmed)), [len(w) + 2 for w in trimmed])
     kinds = CODE[np.minimum(flat, 0xFFFF)]
     kinds[flat == 2], kinds[flat == 3] = START, END
     out = []
@@ -103,7 +118,7 @@ def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
     owner, code, weight = (np.concatenate(p) for p in zip(*out, strict=True))
-    norm = np.sqrt(np.bincount(owner, weights=weight.astype(np.float64) ** 2, minlength=len(words)))
+    norm = np.sqrt(np.bincount(owner, weights=weight.astype(np.float64) ** 2, minlength=len(trimmed)))
     return owner, code, (weight / norm[owner]).astype(np.float32)
 
 
@@ -118,31 +133,36 @@ def runs(ends: np.ndarray) -> np.ndarray:
 
 
 class Landmarks:
-    """Words against which the kernel is worked out, as a table of their triples."""
+    """Words against which the kernel is worked out: for every triple that some hold, which do and with what weight."""
 
     def __init__(self, words: list[str]) -> None:
         self.words = words
         owner, code, weight = triples(words)
-        used = np.unique(code)
+        used, at = np.unique(code, return_inverse=True)
         self.place = np.full(CLASSES**3, -1, dtype=np.int32)
         self.place[used] = np.arange(len(used))
-        self.table = np.zeros((len(used), len(words)), dtype=np.float32)
-        np.add.at(self.table, (self.place[code], owner), weight)
+        pairs, back = np.unique(at.astype(np.int64) * len(words) + owner, return_inverse=True)
+        self.of, self.weights = pairs % max(1, len(words)), np.bincount(back, weights=weight, minlength=len(pairs))
+        self.starts = np.searchsorted(pairs, np.arange(len(used) + 1) * len(words))
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        """A row per word, a column per landmark. Triples that no landmark holds add nothing."""
-        out = np.zeros((len(words), len(self.words)), dtype=np.float32)
-        for first in range(0, len(words), 4096):  # bounds the triples in memory
-            owner, code, weight = triples(words[first : first + 4096])
+        """A row per word, a column per landmark. Triples that no landmark holds add nothing; signs make no difference."""
+        number: dict[str, int] = {}
+        rows = [number.setdefault(w, len(number)) for w in without_signs(words)]
+        known, n = list(number), len(self.words)
+        out = np.zeros((len(known), n), dtype=np.float32)
+        for first in range(0, len(known), 4096):  # bounds the triples in memory
+            part = known[first : first + 4096]
+            owner, code, weight = trimmed_triples(part)
             at = self.place[code]
             keep = np.flatnonzero(at >= 0)
-            keep = keep[np.argsort(owner[keep], kind="stable")]
-            owner, at, weight = owner[keep], at[keep], weight[keep]
-            for i in range(0, len(owner), 20_000):
-                own = owner[i : i + 20_000]
-                begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                out[first + own[begins]] += np.add.reduceat(self.table[at[i : i + 20_000]] * weight[i : i + 20_000, None], begins, axis=0)
-        return out**POWER
+            begins = self.starts[at[keep]]
+            times = self.starts[at[keep] + 1] - begins
+            held = np.repeat(begins - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+            cells = np.repeat(owner[keep] * n, times) + self.of[held]
+            likeness = np.bincount(cells, weights=np.repeat(weight[keep], times) * self.weights[held], minlength=len(part) * n)
+            out[first : first + len(part)] = (likeness**POWER if POWER != 3 else likeness * likeness * likeness).reshape(len(part), n)
+        return out if len(known) == len(words) else out[rows]
 
 
 @dataclass
@@ -181,7 +201,7 @@ class Scorer:
             size = 2 * (n + len(new))
             self.share, self.last = (np.concatenate([x[:n], np.zeros(size - n, dtype=x.dtype)]) for x in (self.share, self.last))
         self.share[n : n + len(new)] = self.model.shares(new)
-        self.last[n : n + len(new)] = [w == BREAK or LAST.search(w) is not None for w in new]
+        self.last[n : n + len(new)] = [is_last(w) for w in new]
         self.place.update(zip(new, range(n, n + len(new)), strict=True))
 
     def of(self, texts: list[str | None]) -> list[list[float]]:
@@ -228,7 +248,7 @@ def sentences_of(text: str) -> list[str]:
     words = word_list(text)
     if not words:
         return []
-    starts = runs(np.array([w == BREAK or LAST.search(w) is not None for w in words], dtype=bool)).tolist()
+    starts = runs(np.array([is_last(w) for w in words], dtype=bool)).tolist()
     return [" ".join(sorted({w for w in words[a:b] if w != BREAK})) for a, b in zip(starts, [*starts[1:], len(words)], strict=True)]
 
 

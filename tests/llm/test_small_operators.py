@@ -637,6 +637,21 @@ def test_kernel_is_the_subsequence_kernel():
                 assert got[i, j] == pytest.approx(plain(w, m), abs=1e-5)
 
 
+def test_the_kernel_takes_little_longer_than_the_triples_and_signs_make_no_difference():
+    rng = random.Random(8)
+    syllables = "ther inne ent re stan lett wat hor gar win pap sim lit mor ing ed".split()
+    plain = ["".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(8000)]
+    words, marks = plain + [w + rng.choice(",.;!") for w in plain], toxicity.Landmarks(sorted(set(plain))[:: len(set(plain)) // 128][:128])
+    seconds = lambda work: min(-time.process_time() + (work() is None) + time.process_time() for _ in range(3))
+    alone, whole = seconds(lambda: toxicity.triples(words)), seconds(lambda: marks.kernel(words))
+    print("kernel seconds, triples alone and whole:", alone, whole)
+    got = marks.kernel(words)
+    assert (got[:8000] == got[8000:]).all() and (marks.kernel(plain[:50]) == got[:50]).all()
+    assert whole < 3.5 * alone
+    signs = ["", "|", "a.", 'a!\'")', "…’", "a.b", "?)x", toxicity.BREAK]
+    assert [toxicity.is_last(w) for w in signs] == [w == toxicity.BREAK or toxicity.LAST.search(w) is not None for w in signs]
+
+
 def test_scoring_equals_sentence_by_sentence(spark):
     sentences = [("a garden grows", 0, None), ("the horse runs", 0, None), ("you idiot", 1, 1), ("moron there", 1, 2)] * 3
     model = toxicity.train_sentences(sentences, 8)
