@@ -48,6 +48,9 @@ SKETCH_TOKENS = 64_000_000
 SKETCH_BYTES = 8_000_000  # compared at once
 FEW_PARTS = 12
 CACHED_WORDS = 1_000_000
+BITMAP_BITS = 32_768  # of one value of bitmap_construct_agg
+MOST_BITMAPS = 1024  # 4 MB
+BITS_A_KEY = 32
 
 SIZES = "doc_id long, text_hash long, n_shingles long, node long, signatures array<long>, near array<long>, sketch binary"
 
@@ -476,15 +479,30 @@ def may_link_edges(clusters: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(sketch_links(percent), "u long, v long")
 
 
+def may_hold(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``rows(key, ...)`` whose key is in ``keys(key, ...)``, and few others.
+
+    Keys set bits by hash in bitmaps that every task gets, so other rows go before anything is shuffled. Bitmaps take
+    4 MB at most: with too many keys for that more rows pass, none is lost.
+    """
+    bits = BITMAP_BITS * max(1, min(MOST_BITMAPS, -(-keys.count() * BITS_A_KEY // BITMAP_BITS)))
+    bit = F.pmod(F.xxhash64("key"), F.lit(bits)) + 1  # numbers from 1 on have buckets from 1 on
+    maps = keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(maps), (F.bitmap_bucket_number(bit) == F.col("_bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1), "left_semi")
+
+
 def links(docs: DataFrame, clusters: DataFrame, gram: int, percent: int, count: bool) -> DataFrame:
     """(u, v, links) of :func:`block_links` over ``clusters(cluster, node, key, weight, n_shingles)``.
 
     A class's text is found by ``key``: a doc_id, or the text's hash for rows without one, of which a text keeps one.
+    Texts of no cluster, most of them in a usual corpus, are not shuffled (:func:`may_hold`).
     """
     placed = in_blocks(clusters, percent, BLOCK_SETS, BLOCK_TOKENS).select("key", "node", "cluster", "weight", "block", "pairs")
-    known = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
-    unknown = docs.where("doc_id is null").groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))
-    rows = known.union(unknown).join(placed, "key")
+    texts = may_hold(docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))), clusters)
+    unknown = texts.where("doc_id is null").groupBy("key").agg(F.first("text").alias("text"))
+    rows = texts.where("doc_id is not null").select("key", "text").union(unknown).join(placed, "key")
     dealt = rows.select("cluster", "node", "block", "weight", "text", F.explode("pairs").alias("p")).select("cluster", "p.i", "p.j", "node", "block", "weight", "text")
     return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(block_links(gram, percent, count), LINKS)
 

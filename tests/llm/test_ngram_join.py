@@ -1,6 +1,7 @@
 """The n-gram join against brute force, and the pipeline's stages against plain versions."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -157,6 +158,35 @@ def test_sketches_in_several_blocks(spark, monkeypatch):
     test_large_clusters_in_several_blocks(spark, monkeypatch)
 
 
+def test_texts_of_no_cluster_are_not_shuffled(spark, monkeypatch, capsys):
+    kept, links = [], N.links
+    monkeypatch.setattr(N, "links", lambda *args: kept.append(links(*args)) or kept[0])
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None if i % 5 == 0 else i, " ".join(f"{i}x{k}" for k in range(30))) for i in range(2000)]
+    rows += [(5001, text), (5002, text + " z"), (None, text + " y"), (-7, "z " + text)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on a table with many copies
+    try:
+        found = ordered(N.op9_ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        kept[0].collect()
+        kept[0].explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == brute_force(rows)
+    shuffled = [float(n) for n in re.findall(r"ShuffleQueryStage.*rowCount=([0-9.E+]+)", capsys.readouterr().out)]
+    assert shuffled and max(shuffled) < 400
+
+
+def test_bitmaps_that_are_full_lose_no_key(spark, monkeypatch):
+    rows, keys = spark.range(-20_000, 60_000).select(F.col("id").alias("key")), spark.range(-20_000, 60_000, 8).select(F.col("id").alias("key"))
+    for most in (1024, 1):
+        monkeypatch.setattr(N, "MOST_BITMAPS", most)
+        found = N.may_hold(rows, keys)
+        assert found.join(keys, "key").count() == 10_000
+        assert found.count() < (13_000 if most > 1 else 40_000)
+    assert N.may_hold(rows, keys.limit(0)).count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as P
     from lexiforge.llm import mixing, quality
