@@ -27,14 +27,13 @@ def merged_vocabulary(docs: DataFrame, size: int, languages: list[str], max_leng
     return V.assign_piece_types(V.reset_special_scores(scored, special.count()), control=("<s>", "</s>", "<mask>", "<pad>", "<CLS>", "<SEP>", "<EOD>"))
 
 
-def seeded_vocabulary(docs: DataFrame, dictionary: DataFrame, size: int, max_length: int = 8, min_freq: int = 50, top: int = 1000) -> DataFrame:
-    """(token_id, token, theta): n-gram seeds and the commonest dictionary words, trained down to ``size``."""
+def seeded_vocabulary(docs: DataFrame, dictionary: DataFrame, size: int, max_length: int = 8, min_freq: int = 50, top: int | None = None) -> DataFrame:
+    """(token_id, token, theta): n-gram seeds and the dictionary words of the corpus, the commonest ``top`` of them if given,
+    trained down to ``size``."""
     segments = train.checkpointed(ngrams.to_segments(docs))
-    grams = ngrams.seed_vocab(ngrams.count_ngrams(segments, max_length), min_freq)
     common = ngrams.top_tokens(ngrams.substring_freq(docs.select("text"), dictionary), top)
-    tokens = ngrams.with_fixed_seeds(grams.select("token").union(common.select("token")).distinct(), dictionary.limit(0))
-    start = train.checkpointed(ngrams.init_theta_random(ngrams.index_vocab(tokens)))
-    return train.train_vocab(segments, start, size, keep_char=True, max_epoch=1)
+    given = train.checkpointed(common.select("token", F.lit(False).alias("is_fixed")))
+    return train.train_from_ngrams(segments, given, size, max_length, min_freq)
 
 
 def evaluation(lines: DataFrame, vocab: DataFrame, key: str = "doc_id", ticks: float | None = None) -> DataFrame:
