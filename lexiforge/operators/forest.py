@@ -29,6 +29,7 @@ from lexiforge.operators.trie import DoubleArray, code_points
 #: Tokens that the driver holds, some 100 bytes each at the start; with more frequent n-grams the joins of lattice.py train.
 MAX_NGRAMS = 4_000_000
 WORDS = 1 << 17  # of a tree
+BITS = 21  # of a character
 SLICE = 1 << 16  # tokens whose masses are added up in one place
 KINDS = {
     "sizes": np.int32,  # where the nodes of each depth begin; the root is node 0
@@ -47,7 +48,7 @@ KINDS = {
     "many": np.uint16,  # edges of each node
 }
 TREE = ("sizes", "parent", "letter", "passing", "ends", "weight")
-STATE = ("node", "above", "passing", "which", "key", "freq")
+STATE = ("above", "passing", "which", "key", "freq")
 EDGES = ("sizes", "before", "token", "many", "ends", "weight")
 Arrays = dict[str, np.ndarray]
 
@@ -106,11 +107,13 @@ def trees(segments: DataFrame, max_length: int) -> RDD:
         made = kept(TREE, tree(rows.column(0).combine_chunks(), *(rows.column(c).to_numpy() for c in (1, 2, 3))))
         return pa.RecordBatch.from_arrays([pa.array([made[n].tobytes()], pa.binary()) for n in TREE], names=list(TREE))
 
-    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = segments.where("seg <> ''").select("seg", F.col("weight").cast("long").alias("weight"))
-    long = F.length("seg") > CHUNK
-    cut = chunks(some.where(long), max_length, CHUNK).select("text", "weight", "left_chars", F.lit(False))
-    rows = some.where(~long).select("seg", "weight", F.lit(0).alias("left_chars"), F.lit(True).alias("whole")).union(cut)
+    spark, some = segments.sparkSession, segments.where("seg <> ''").select("seg", F.col("weight").cast("long").alias("weight"))
+    many, longest = some.agg(F.count("*"), F.max(F.length("seg"))).collect()[0]
+    # Every step runs a task for each part: no more of them than there are trees, if all cores have some.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(2 * spark.sparkContext.defaultParallelism, many // (2 * WORDS)))
+    rows, long = some.select("seg", "weight", F.lit(0).alias("left_chars"), F.lit(True).alias("whole")), F.length("seg") > CHUNK
+    if (longest or 0) > CHUNK:
+        rows = rows.where(~long).union(chunks(some.where(long), max_length, CHUNK).select("text", "weight", "left_chars", F.lit(False)))
     made = rows.repartitionByRange(parts, "seg").sortWithinPartitions("seg").mapInArrow(run, ", ".join(f"{n} binary" for n in TREE))
     return made.rdd.map(lambda r: {n: np.frombuffer(r[n], dtype=KINDS[n]) for n in TREE}).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -130,6 +133,24 @@ def characters(block: Arrays) -> Arrays:
     return grouped(np.arange(1, len(block["parent"])), block["parent"][1:] - 1, block["passing"][1:], block["letter"][1:].astype(np.int64))
 
 
+def pairs(block: Arrays) -> Arrays:
+    """N-grams of one and of two characters, as numbers."""
+    parent, letter, first = block["parent"], block["letter"].astype(np.int64), int(block["sizes"][:3][-1])
+    both = np.r_[letter[1:], (letter[parent[first:]] + 1 << BITS) + letter[first:]]
+    none = np.zeros(0, dtype=np.int64)
+    return grouped(none, none, np.r_[block["passing"][1:], block["passing"][first:]], both)
+
+
+def triples(block: Arrays) -> Arrays:
+    """The third level. Nearly all pairs are frequent, so none are left out before it."""
+    parent, letter, sizes = block["parent"], block["letter"].astype(np.int64), block["sizes"]
+    first = int(sizes[3]) if len(sizes) > 3 else len(parent)
+    node = np.arange(first, len(parent))
+    above = parent[first:]
+    key = (letter[parent[above]] << 2 * BITS) + (letter[above] << BITS) + letter[first:]
+    return grouped(node, np.maximum(above - first, -1), block["passing"][first:], key)
+
+
 def places(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Where ``keys`` stand in a sorted ``table``, or -1."""
     if not len(table):
@@ -146,7 +167,8 @@ def level(state: Arrays, table: np.ndarray) -> Arrays:
     on &= ids[above] >= 0  # of -1 any place: decided
     place = np.where(on, np.cumsum(on) - 1, -1)
     rest = above[on]
-    return grouped(state["node"][on], place[rest], state["passing"][on], ids[rest] * len(table) + ids[on])
+    node = state["node"][on] if "node" in state else rest
+    return grouped(node, place[rest], state["passing"][on], ids[rest] * len(table) + ids[on])
 
 
 def frequent(state: RDD, parts: int, min_freq: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,12 +223,23 @@ def strings(points: np.ndarray) -> pa.Array:
 
 def grow(wood: RDD, max_length: int, min_freq: int) -> Grams | None:
     """The frequent n-grams of ``trees``, or None if they are too many."""
-    state, parts = blocks(wood, STATE, characters), max(1, min(64, wood.getNumPartitions()))
+    parts = max(1, min(64, wood.getNumPartitions()))
+    keys, freq = frequent(wood.map(pairs), parts, 0)
+    lone = keys < 1 << BITS
+    chars, often = keys[lone], keys[lone & (freq >= min_freq)]
+    out = Grams(chars, often, [])
+    if max_length < 2:
+        return out
+    first, last = np.divmod(keys[~lone & (freq >= min_freq)], 1 << BITS)
+    first -= 1
+    out.tables.append(places(first, often) * len(often) + places(last, often))
+    if max_length < 3:
+        return out
+    two, state = (first << BITS) + last, blocks(wood, STATE, triples)
     try:
-        chars, freq = frequent(state, parts, 0)
-        out, table = Grams(chars, chars[freq >= min_freq], []), chars[freq >= min_freq]
-        total = len(chars)
-        for _ in range(2, max_length + 1):
+        table, _ = frequent(state, parts, min_freq)
+        out.tables.append(places(table >> BITS, two) * len(two) + places(table & (1 << 2 * BITS) - 1, two))
+        for _ in range(4, max_length + 1):
             if not len(table):
                 break
             known = wood.context.broadcast(table)
@@ -215,8 +248,7 @@ def grow(wood: RDD, max_length: int, min_freq: int) -> Grams | None:
             state.unpersist()
             state = longer
             out.tables.append(table)
-            total += len(table)
-            if total > MAX_NGRAMS:
+            if len(chars) + sum(map(len, out.tables)) > MAX_NGRAMS:
                 return None
         return out
     finally:
